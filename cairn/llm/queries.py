@@ -2,8 +2,24 @@
 
 from __future__ import annotations
 
-from cairn.catalog import table
-from cairn.llm import lookalike
+from pyspark.sql import functions as F
+
+from cairn.catalog import content_sql, table
+from cairn.llm import history, lookalike
+from cairn.session import shared_path
+
+
+def p2_found(spark, d):
+    return history.known_ids(table(spark, d, "files"), table(spark, d, "excerpts"))
+
+
+def p2_last_batch(spark, d):
+    """The latest batch, looked up in a stored index of all earlier ones."""
+    files, excerpts = table(spark, d, "files"), table(spark, d, "excerpts")
+    last = files.agg(F.max(F.to_date("scanned_at"))).first()[0]
+    index = history.HistoryIndex(spark, shared_path(spark, "history"))
+    index.append(files.where(F.to_date("scanned_at") < F.lit(last)), excerpts)
+    return index.check(files.where(F.to_date("scanned_at") == F.lit(last)), excerpts)
 
 
 def p4_found(spark, d):
@@ -14,5 +30,16 @@ def p4_forms(spark, d):
     return lookalike.forms(table(spark, d, "files").select("id", "path", "duplicate_of")).select("id", "field", "form").distinct()
 
 
-SPARK = {f.__name__: f for f in (p4_found, p4_forms)}
-SQL: dict[str, str] = {}
+SPARK = {f.__name__: f for f in (p2_found, p2_last_batch, p4_found, p4_forms)}
+_KNOWN = f"""
+WITH f AS (SELECT DISTINCT id, scanned_at::DATE AS day, {content_sql()} AS content FROM files WHERE scanned_at IS NOT NULL AND id IS NOT NULL),
+x AS (SELECT DISTINCT id, day, list_distinct(regexp_extract_all(lower(excerpt), '[\\p{{L}}\\p{{Nd}}]+')) AS w FROM excerpts JOIN f ON file_id = id WHERE excerpt IS NOT NULL)
+SELECT a.id FROM f a JOIN (SELECT content, min(day) AS first FROM f WHERE content IS NOT NULL GROUP BY content) c USING (content) WHERE first < day
+UNION
+SELECT a.id FROM x a JOIN x b ON b.day < a.day AND len(b.w) BETWEEN 0.59 * len(a.w) AND 1.7 * len(a.w)
+WHERE len(list_intersect(a.w, b.w)) * 100 >= 60 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) AND len(a.w) > 0"""
+
+SQL = {
+    "p2_found": _KNOWN,
+    "p2_last_batch": f"SELECT id FROM ({_KNOWN}) JOIN (SELECT DISTINCT id FROM files WHERE scanned_at::DATE = (SELECT max(scanned_at::DATE) FROM files)) USING (id)",
+}

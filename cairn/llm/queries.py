@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cairn.catalog import content_sql, table
-from cairn.llm import history, lookalike, residue
+from cairn.llm import history, lookalike, mixing, packing, residue
 from cairn.session import shared_path
 
 
@@ -30,6 +30,22 @@ def p4_forms(spark, d):
     return lookalike.forms(table(spark, d, "files").select("id", "path", "duplicate_of")).select("id", "field", "form").distinct()
 
 
+def p6_packed(spark, d):
+    return packing.pack(table(spark, d, "documents"), table(spark, d, "containers"))
+
+
+def p6_report(spark, d):
+    return packing.fill_report(p6_packed(spark, d))
+
+
+def p7_mixture(spark, d):
+    return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p7_shares(spark, d):
+    return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
 def p8_found(spark, d):
     return residue.residue_documents(table(spark, d, "documents"))
 
@@ -38,7 +54,7 @@ def p8_validation(spark, d):
     return residue.validation(table(spark, d, "documents"))
 
 
-SPARK = {f.__name__: f for f in (p2_found, p2_last_batch, p4_found, p4_forms, p8_found, p8_validation)}
+SPARK = {f.__name__: f for f in (p2_found, p2_last_batch, p4_found, p4_forms, p6_packed, p6_report, p7_mixture, p7_shares, p8_found, p8_validation)}
 _KNOWN = f"""
 WITH f AS (SELECT DISTINCT id, scanned_at::DATE AS day, {content_sql()} AS content FROM files WHERE scanned_at IS NOT NULL AND id IS NOT NULL),
 x AS (SELECT DISTINCT id, day, list_distinct(regexp_extract_all(lower(excerpt), '[\\p{{L}}\\p{{Nd}}]+')) AS w FROM excerpts JOIN f ON file_id = id WHERE excerpt IS NOT NULL)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cairn.catalog import content_sql, table
-from cairn.llm import history, lookalike, mixing, packing, residue
+from cairn.llm import consensus, history, lookalike, mixing, packing, residue
 from cairn.session import shared_path
 
 
@@ -22,6 +22,14 @@ def p2_last_batch(spark, d):
     return index.check(files.where(F.to_date("scanned_at") == F.lit(last)), excerpts)
 
 
+def p3_found(spark, d):
+    return consensus.trusted(table(spark, d, "files"), table(spark, d, "classifications"))
+
+
+def p3_survivors(spark, d):
+    return consensus.survivors(table(spark, d, "files"), table(spark, d, "classifications"))
+
+
 def p4_found(spark, d):
     return lookalike.lookalike_pairs(table(spark, d, "files"))
 
@@ -54,7 +62,7 @@ def p8_validation(spark, d):
     return residue.validation(table(spark, d, "documents"))
 
 
-SPARK = {f.__name__: f for f in (p2_found, p2_last_batch, p4_found, p4_forms, p6_packed, p6_report, p7_mixture, p7_shares, p8_found, p8_validation)}
+SPARK = {f.__name__: f for f in (p2_found, p2_last_batch, p3_found, p3_survivors, p4_found, p4_forms, p6_packed, p6_report, p7_mixture, p7_shares, p8_found, p8_validation)}
 _KNOWN = f"""
 WITH f AS (SELECT DISTINCT id, scanned_at::DATE AS day, {content_sql()} AS content FROM files WHERE scanned_at IS NOT NULL AND id IS NOT NULL),
 x AS (SELECT DISTINCT id, day, list_distinct(regexp_extract_all(lower(excerpt), '[\\p{{L}}\\p{{Nd}}]+')) AS w FROM excerpts JOIN f ON file_id = id WHERE excerpt IS NOT NULL)
@@ -66,4 +74,13 @@ WHERE len(list_intersect(a.w, b.w)) * 100 >= 60 * (len(a.w) + len(b.w) - len(lis
 SQL = {
     "p2_found": _KNOWN,
     "p2_last_batch": f"SELECT id FROM ({_KNOWN}) JOIN (SELECT DISTINCT id FROM files WHERE scanned_at::DATE = (SELECT max(scanned_at::DATE) FROM files)) USING (id)",
+    "p3_found": f"""
+WITH f AS (SELECT DISTINCT id, path, mtime, scanned_at, {content_sql()} AS c FROM files WHERE id IS NOT NULL),
+g AS (SELECT c FROM f WHERE c IS NOT NULL GROUP BY c HAVING count(DISTINCT id) > 1),
+m AS (SELECT c, arg_min(id, (-epoch_us(mtime), id)) AS i FROM f WHERE mtime IS NOT NULL AND year(mtime) <> 1970 AND NOT coalesce(mtime > scanned_at, false) GROUP BY c),
+p AS (SELECT c, arg_min(id, (len(path) - len(replace(path, '/', '')), id)) AS i FROM f WHERE path IS NOT NULL GROUP BY c),
+k AS (SELECT c, arg_min(k.id, (-confidence, -coalesce(epoch_us(classified_at), -4000000000000000000), k.id)) AS i
+      FROM classifications k JOIN f ON file_id = f.id WHERE confidence BETWEEN 0 AND 1 GROUP BY c)
+SELECT c AS content_hash, coalesce(m.i, 0) AS mtime_id, coalesce(p.i, 0) AS path_id, coalesce(k.i, 0) AS classification_id
+FROM g LEFT JOIN m USING (c) LEFT JOIN p USING (c) LEFT JOIN k USING (c)""",
 }

@@ -247,12 +247,12 @@ k AS (SELECT h.id, h.path, h.size, CASE
 
 _STD = _list(paths.STANDARD_FOLDERS)
 _META = f"""
-{_ONCE}, a AS (SELECT id, path, list_filter(string_split(path, '/'), lambda x: x <> '') AS p FROM once WHERE path IS NOT NULL),
-b AS (SELECT *, coalesce(list_position(list_transform(p, lambda x: x IN ({_STD}) OR (contains(x, ' - ') AND ({_any_of("x", paths.STANDARD_FOLDERS)}))), true), 0) AS i FROM a),
-c AS (SELECT *, CASE WHEN i > 0 THEN p[i] END AS root_folder, CASE WHEN i > 0 AND i < len(p) - 1 THEN p[i + 1:len(p) - 1] ELSE [] END AS parents FROM b),
-e AS (SELECT *, list_filter(parents, lambda x: lower(x) NOT IN ({_list(paths.GENERIC_FOLDERS)})) AS t FROM c),
+{_ONCE}, m1 AS (SELECT id, path, list_filter(string_split(path, '/'), lambda x: x <> '') AS p FROM once WHERE path IS NOT NULL),
+m2 AS (SELECT *, coalesce(list_position(list_transform(p, lambda x: x IN ({_STD}) OR (contains(x, ' - ') AND ({_any_of("x", paths.STANDARD_FOLDERS)}))), true), 0) AS i FROM m1),
+m3 AS (SELECT *, CASE WHEN i > 0 THEN p[i] END AS root_folder, CASE WHEN i > 0 AND i < len(p) - 1 THEN p[i + 1:len(p) - 1] ELSE [] END AS parents FROM m2),
+m4 AS (SELECT *, list_filter(parents, lambda x: lower(x) NOT IN ({_list(paths.GENERIC_FOLDERS)})) AS t FROM m3),
 md AS (SELECT id, path, root_folder, CASE WHEN i > 0 AND i < len(p) THEN array_to_string(parents, '/') END AS relative_path, parents, t,
-  list_filter(t, lambda x: regexp_matches(x, '{paths.DATE_PATTERN}')) AS dt, list_filter(t, lambda x: NOT regexp_matches(x, '{paths.DATE_PATTERN}')) AS ct FROM e)"""
+  list_filter(t, lambda x: regexp_matches(x, '{paths.DATE_PATTERN}')) AS dt, list_filter(t, lambda x: NOT regexp_matches(x, '{paths.DATE_PATTERN}')) AS ct FROM m4)"""
 
 
 def _root_cut(column: str, roots) -> str:

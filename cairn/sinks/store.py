@@ -32,7 +32,7 @@ def upsert_files(old: DataFrame, new: DataFrame, now, clear_flags: bool = False)
     pick["metadata_only"] = F.coalesce(pick["metadata_only"], F.lit(False))
     stale = {c: F.when(hit, F.lit(v)).otherwise(F.col(c)) if clear_flags else F.coalesce(c, F.lit(v)) for c, v in (("is_duplicate", False),)}
     fresh = F.col("__cairn_old").isNull()
-    out = both.withColumns(pick | stale | {"scanned_at": F.when(hit, F.lit(now)).otherwise(F.col("scanned_at"))})
+    out = both.withColumns(pick | stale | {"scanned_at": F.when(hit, F.lit(now).cast("timestamp_ntz")).otherwise(F.col("scanned_at"))})
     kept = out.where(~fresh).select(*FILES.fieldNames())
     from cairn.operators.ranking import running
 
@@ -75,7 +75,7 @@ def save_classifications(old: DataFrame, files: DataFrame, new: DataFrame, now)
     top = old.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
     take = {c: F.when(hit, F.col(f"n.{c}")).otherwise(F.col(c)) for c in ("category", "confidence")}
     keep = {c: F.when(hit, F.coalesce(F.col(f"n.{c}"), F.col(c))).otherwise(F.col(c)) for c in ("owner", "year")}
-    out = both.withColumns(take | keep | {"classified_at": F.when(hit, F.lit(now)).otherwise(F.col("classified_at"))})
+    out = both.withColumns(take | keep | {"classified_at": F.when(hit, F.lit(now).cast("timestamp_ntz")).otherwise(F.col("classified_at"))})
     from cairn.operators.ranking import running
 
     added = running(out.where(fresh).withColumn("__cairn_one", F.lit(1)), ["__cairn_one"], ["file_id"], "__cairn_n").withColumn("id", F.col("__cairn_n") + top + 1)
@@ -96,7 +96,7 @@ def cached_hashes(found: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFr
 
 
 class Store:
-    """Tables under one path, as numbered snapshots; `_current` holds the number that counts."""
+    """Tables under one path, as numbered snapshots; `current.txt` holds the number that counts."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -107,7 +107,7 @@ class Store:
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
     def _current(self, name: str) -> str | None:
-        fs, p = self._fs(f"{self.path}/{name}/_current")
+        fs, p = self._fs(f"{self.path}/{name}/current.txt")
         if not fs.exists(p):
             return None
         return f"{self.path}/{name}/{self.spark.read.text(str(p.toString())).first()[0]}"
@@ -127,7 +127,7 @@ class Store:
         """Write a whole snapshot and then point to it; older ones stay until vacuum()."""
         tag = f"v-{uuid.uuid4().hex}"
         df.select(*TABLES[name].fieldNames()).write.parquet(f"{self.path}/{name}/{tag}")
-        fs, p = self._fs(f"{self.path}/{name}/_current")
+        fs, p = self._fs(f"{self.path}/{name}/current.txt")
         out = fs.create(p, True)
         out.write(bytearray(tag.encode()))
         out.close()

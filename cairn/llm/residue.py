@@ -42,15 +42,66 @@ STATUS = re.compile(
     r"|seite nicht gefunden|page introuvable|página no encontrada|página não encontrada|oops|something went wrong|down for maintenance|your session has expired|sorry, we could not \w+ th\w+ \w+)\W*$",
     re.I,
 )
-PHRASE = re.compile(
-    r"took too long to (?:answer|respond)|unexpected (?:problem|error) occurred|requested (?:\w+ )?could not be loaded|does not exist on .{1,40} or has been moved|do not have permission to view|sign in to .{1,40} first"
-    r"|you have made too many requests|problem persists, contact support|reload the page or come back|go back \| help|n'existe plus|ya no existe|nicht mehr verfügbar|não existe mais|we are working on it|please check back soon|try again in \d+ minutes|checking your browser"
-    r"|could not render this|session has expired|down for maintenance"
-    r"|(?:enable|activate|activer|activez|aktivieren sie|active|ative|habilite) (?:o |el |le )?(?:java)?scripts?\b|(?:java)?scripts? (?:is|are) (?:disabled|turned off|off|required)|without (?:java)?scripts?\b|needs (?:java)?scripts?\b|does not run scripts|scripts turned on|scripting switched on|scripts and cookies must|active los scripts|javascript aktivieren"
-    r"|\blorem ipsum|placeholder (?:copy|text)|(?:sample|dummy|your|body|filler) (?:text|paragraph)|text goes here|text to come|your code here|write your answer|click to add|type your .{1,40} in this cell|replace this (?:text|paragraph)|delete this text|remove these instructions|add (?:two or three|a few|some) sentences|describe your .{1,40} here"
-    r"|hier text zu|écrivez ici|escriba aquí|escreva aqui|inserte aquí|untitled section|section heading|caption of figure [nx]\b|^\W*(?:first|second|third) point|^\W*title\s*$|last edited:\W|^\W*heading \d|subheading",
-    re.I | re.M,
+# Phrases, each with words that a text must hold (in lower case) before the pattern is tried.
+PHRASES = tuple(
+    (key, re.compile(pattern, re.I | re.M))
+    for key, pattern in (
+        ("too long to", r"took too long to (?:answer|respond)"),
+        ("occurred", r"unexpected (?:problem|error) occurred"),
+        ("could not be loaded", r"requested (?:\w+ )?could not be loaded"),
+        ("has been moved", r"does not exist on .{1,40} or has been moved"),
+        ("permission to view", r"do not have permission to view"),
+        ("sign in to", r"sign in to .{1,40} first"),
+        ("too many requests", r"you have made too many requests"),
+        ("contact support", r"problem persists, contact support"),
+        ("come back", r"reload the page or come back"),
+        ("go back", r"go back \| help"),
+        ("n'existe plus", r"n'existe plus"),
+        ("ya no existe", r"ya no existe"),
+        ("nicht mehr verf", r"nicht mehr verfügbar"),
+        ("existe mais", r"não existe mais"),
+        ("working on it", r"we are working on it"),
+        ("check back soon", r"please check back soon"),
+        ("try again in", r"try again in \d+ minutes"),
+        ("checking your", r"checking your browser"),
+        ("could not render", r"could not render this"),
+        ("has expired", r"session has expired"),
+        ("down for", r"down for maintenance"),
+        (
+            "script",
+            r"(?:enable|activate|activer|activez|aktivieren sie|active|ative|habilite) (?:o |el |le )?(?:java)?scripts?\b|(?:java)?scripts? (?:is|are) (?:disabled|turned off|off|required)"
+            r"|without (?:java)?scripts?\b|needs (?:java)?scripts?\b|does not run scripts|scripts turned on|scripts and cookies must|active los scripts|javascript aktivieren",
+        ),
+        ("scripting", r"scripting switched on"),
+        ("lorem", r"\blorem ipsum"),
+        ("placeholder", r"placeholder (?:copy|text)"),
+        ("text", r"(?:sample|dummy|your|body|filler) text|text goes here|text to come|replace this text|delete this text|hier text zu"),
+        ("paragraph", r"(?:sample|dummy|your|body|filler) paragraph|replace this paragraph"),
+        ("your code", r"your code here"),
+        ("write your", r"write your answer"),
+        ("click to", r"click to add"),
+        ("in this cell", r"type your .{1,40} in this cell"),
+        ("instructions", r"remove these instructions"),
+        ("sentences", r"add (?:two or three|a few|some) sentences"),
+        ("describe your", r"describe your .{1,40} here"),
+        ("ici", r"écrivez ici"),
+        ("aqu", r"(?:escriba|escreva|inserte) aqu[ií]"),
+        ("section", r"untitled section|section heading"),
+        ("caption of", r"caption of figure [nx]\b"),
+        ("point", r"^\W*(?:first|second|third) point"),
+        ("title", r"^\W*title\s*$"),
+        ("last edited", r"last edited:\W"),
+        ("heading", r"^\W*heading \d|subheading"),
+    )
 )
+
+
+def phrases(text: str) -> int:
+    """How many phrases of templates, filler and error pages a text holds."""
+    low = text.lower()
+    return sum(len(p.findall(text)) for key, p in PHRASES if key in low)
+
+
 ORDINARY = frozenset(
     "the a an of to in and is are was were for on with that this by from at it be as or not we our but so after before than which has have had keep only no one two all its their there these those will can if into over under then "
     "der die das den dem des ein eine und ist sind war für auf mit von zu im wir bei aus nicht auch nach über dem es sich als wie aber "
@@ -102,7 +153,7 @@ class Text:
         """1 for residue, 0 for content, None where the weak rules are silent."""
         if not self.plain:
             return None
-        phrase = len(PHRASE.findall(self.plain)) if self.n <= LONGEST else 0
+        phrase = phrases(self.plain) if self.n <= LONGEST else 0
         status = self.n <= 45 and STATUS.match(self.title)
         if self.slots and self.n - self.slots <= 7 * self.slots:
             return 1
@@ -275,7 +326,7 @@ def labelled(documents: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
             for text, host in zip(b.column("text"), b.column("unseen"), strict=True):
                 for t in units(text.as_py())[1]:
                     y = t.label()
-                    if y is None or y == 0 and not (t.slots or t.n <= LONGEST and PHRASE.search(t.plain)) and zlib.crc32(t.plain.encode()) % KEEP_NEGATIVE:
+                    if y is None or y == 0 and not (t.slots or t.n <= LONGEST and phrases(t.plain)) and zlib.crc32(t.plain.encode()) % KEEP_NEGATIVE:
                         continue
                     unseen.append(host.as_py())
                     label.append(y)

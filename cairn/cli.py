@@ -64,13 +64,13 @@ def run(a: argparse.Namespace) -> int:
     spark = local_session()
     now = datetime.now(timezone.utc).replace(tzinfo=None)
     tree = scan(spark, a.source, a.filter, a.max_files or None, load_patterns(a.ignore_file), parse_size(a.metadata_only_size))
-    files = tree.where("error is null").withColumn("id", F.row_number().over(_order())).cache()
-    marked = dedup.mark_duplicates(files)
-    for line in dedup.report(files):
+    files = tree.where("error is null").withColumn("seq", F.split("path", "/")).cache()
+    marked = dedup.mark_duplicates(files, "seq")
+    for line in dedup.report(files, "seq"):
         log.info(line)
     if a.duplicate_report:
         with open(a.duplicate_report, "w", encoding="utf-8") as out:
-            out.writelines(f"{x}\n" for x in dedup.report(files))
+            out.writelines(f"{x}\n" for x in dedup.report(files, "seq"))
     planned = organize.plan(classify(dedup.filter_duplicates(marked, not a.skip_duplicates), to="type"), a.base_dir, not a.flat)
     for line in organize.tree_lines(planned):
         print(line)
@@ -91,12 +91,6 @@ def run(a: argparse.Namespace) -> int:
     return 0
 
 
-def _order():
-    from pyspark.sql import Window
-
-    return Window.orderBy(F.split("path", "/"))
-
-
 def keep(spark, path: str, marked, planned, now) -> None:
     store = Store(spark, path)
     store.init()

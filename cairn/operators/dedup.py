@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions.paths import file_name, thousands
+from cairn.operators.ranking import numbered
 from cairn.operators.skew import fragment_join
 from cairn.schemas import METADATA_ONLY
 
@@ -73,6 +74,22 @@ def same_names(files: DataFrame, examples: int = 20) -> DataFrame:
     return counts.join(few, "name")
 
 
+def numbered_groups(files: DataFrame, seq: str = "id") -> DataFrame:
+    """The duplicate groups with their number in the order of hash."""
+    return numbered(duplicate_groups(files, seq), "hash", name="group_no")
+
+
+def with_originals(files: DataFrame) -> DataFrame:
+    """Each row that names an original, with what the catalog holds under that path: its id, hash and size.
+
+    original_id is null where the path is gone. A path that many rows name is cut like any hot key.
+    """
+    rows = files.where("duplicate_of is not null").select("id", "path", "hash", F.col("duplicate_of").alias("original_path"))
+    held = files.where("path is not null").groupBy(F.col("path").alias("original_path")).agg(F.min(F.struct("id", F.col("hash").alias("h"), "size")).alias("o"))
+    held = held.select("original_path", F.col("o.id").alias("original_id"), F.col("o.h").alias("original_hash"), F.col("o.size").alias("original_size"))
+    return fragment_join(rows, held, "original_path", ["id"], "left")
+
+
 def report(files: DataFrame, seq: str = "id", groups: int = 1000) -> list[str]:
     """The duplicate report as lines: totals, then the groups in order of hash, at most so many."""
     t = duplicate_totals(files, seq).first()

@@ -36,3 +36,20 @@ def running(df: DataFrame, group: list[str], identity: list[str], name: str, val
         same = same & F.col(g).eqNullSafe(F.col(f"__cairn_g{i}"))
     joined = local.join(renamed, same)
     return joined.withColumn(name, F.col(name) + F.col(OFFSET)).drop(SHARD, OFFSET, "__cairn_s", *(f"__cairn_g{i}" for i in range(len(group))))
+
+
+def numbered(df: DataFrame, *order: str, name: str = "n") -> DataFrame:
+    """df with 1, 2, 3, ... in the given order, without gathering all rows in one task.
+
+    Rows are sorted by ranges; each range's first number comes from the sizes of those before it.
+    The ranges are kept, since they are drawn from a sample and must not change between both uses.
+    """
+    from cairn.session import cut
+
+    tasks = shuffle_tasks(df.sparkSession)
+    parts = cut(df.repartitionByRange(tasks, *order).withColumn(SHARD, F.spark_partition_id()))
+    sizes = parts.groupBy(SHARD).agg(F.count(F.lit(1)).alias("__cairn_n"))
+    before = Window.orderBy(SHARD).rowsBetween(Window.unboundedPreceding, -1)  # one row a task
+    offsets = sizes.select(SHARD, F.coalesce(F.sum("__cairn_n").over(before), F.lit(0)).alias(OFFSET))
+    own = F.row_number().over(Window.partitionBy(SHARD).orderBy(*order))
+    return parts.withColumn(name, own).join(F.broadcast(offsets), SHARD).withColumn(name, F.col(name) + F.col(OFFSET)).drop(SHARD, OFFSET)

@@ -91,3 +91,14 @@ def enumerate_plan(planned: DataFrame, seq: str = "id", top: int = 1000) -> Data
 
 def category_counts(planned: DataFrame, column: str = "type") -> DataFrame:
     return planned.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+
+
+def parent_folders(planned: DataFrame, column: str = "destination") -> DataFrame:
+    """The different folders that files lie in."""
+    return planned.where(F.col(column).isNotNull()).select(parent(column).alias("dir")).distinct()
+
+
+def run_summary(marked: DataFrame) -> DataFrame:
+    """One row for notices and the console: files, bytes, unique rows (sentinels included) and duplicates."""
+    dup = F.coalesce("is_duplicate", F.lit(False))
+    return marked.agg(F.count(F.lit(1)).alias("n_files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.count_if(~dup).alias("n_unique"), F.count_if(dup).alias("n_duplicates"))

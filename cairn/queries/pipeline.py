@@ -43,6 +43,28 @@ def dup_names(spark, d):
     return dedup.same_names(_once(spark, d))
 
 
+def dup_numbered(spark, d):
+    return dedup.numbered_groups(_once(spark, d)).select("group_no", "hash", "n", "wasted")
+
+
+def dup_originals(spark, d):
+    return dedup.with_originals(_once(spark, d))
+
+
+def run_summary(spark, d):
+    return organize.run_summary(dedup.mark_duplicates(_once(spark, d)))
+
+
+def plan_folders(spark, d):
+    return organize.parent_folders(_plan(spark, d))
+
+
+def scan_filter(spark, d):
+    """The first entries, in path order, below the named folders: a scan with root names and an early stop."""
+    files = _once(spark, d).where(paths.top_folder("path", "/Users").isin("shared", "ivoss") & ~paths.is_hidden("path"))
+    return files.orderBy("path", "id").limit(500).select("id", "path")
+
+
 def meta_only(spark, d):
     size, t = F.col("size"), 1 << 20
     return _once(spark, d).select("id", F.coalesce(size > t, F.lit(False)).alias("is_large"), F.when(size > t, "METADATA_ONLY").otherwise(F.col("hash")).alias("hash"))
@@ -198,7 +220,7 @@ def parse_size(spark, d):
 SPARK = {
     f.__name__: f
     for f in (
-        dup_groups, dup_marked, dup_totals, dup_filtered, dup_names, meta_only, hidden_filter, ignore_filter, package_items, package_sizes, classified, category_counts, path_metadata, date_like, owner_from_path,
+        dup_groups, dup_marked, dup_totals, dup_filtered, dup_names, dup_numbered, dup_originals, run_summary, plan_folders, scan_filter, meta_only, hidden_filter, ignore_filter, package_items, package_sizes, classified, category_counts, path_metadata, date_like, owner_from_path,
         plan, plan_collisions, legacy_plan, tree_counts, plan_prefix, plan_preview, plan_table, reclass_status, reclass_changes, reclass_other, upsert_files, mark_dups, append_ops, save_classes, hash_cache, sidecars, parse_size,
     )
 }
@@ -280,6 +302,11 @@ SQL = {
     "dup_totals": f"WITH {_HASHED} SELECT count(*) FILTER (n > 1) AS n_groups, sum(n - 1)::BIGINT AS n_duplicates, sum(original_size * (n - 1))::BIGINT AS wasted, count(*) AS n_contents, (SELECT count(*) FROM once) AS n_files, (SELECT count(*) FROM once) - sum(n - 1)::BIGINT AS n_unique_rows FROM o",
     "dup_filtered": f"WITH {_MARKED} SELECT id, path FROM m WHERE NOT is_duplicate",
     "dup_names": f"WITH {_ONCE} SELECT name, count(*) AS n, array_to_string(list_sort(list(path))[1:20], ', ') AS paths FROM (SELECT {_NAME} AS name, path FROM once WHERE path IS NOT NULL) GROUP BY name HAVING count(*) > 1",
+    "dup_numbered": f"WITH {_HASHED} SELECT row_number() OVER (ORDER BY hash) AS group_no, hash, n, original_size * (n - 1) AS wasted FROM o WHERE n > 1",
+    "dup_originals": f"WITH {_ONCE} SELECT a.id, a.path, a.hash, a.duplicate_of AS original_path, b.id AS original_id, b.hash AS original_hash, b.size AS original_size FROM once a LEFT JOIN once b ON a.duplicate_of = b.path WHERE a.duplicate_of IS NOT NULL",
+    "run_summary": f"WITH {_MARKED} SELECT count(*) AS n_files, (SELECT sum(size) FROM once)::BIGINT AS bytes, count(*) FILTER (NOT is_duplicate) AS n_unique, count(*) FILTER (is_duplicate) AS n_duplicates FROM m",
+    "plan_folders": f"WITH {_PLAN} SELECT DISTINCT regexp_replace(destination, '/[^/]*$', '') AS dir FROM pl",
+    "scan_filter": f"WITH {_ONCE} SELECT id, path FROM once WHERE (starts_with(path, '/Users/shared/') OR starts_with(path, '/Users/ivoss/')) AND NOT contains(path, '/.') ORDER BY path, id LIMIT 500",
     "meta_only": f"WITH {_ONCE} SELECT id, coalesce(size > 1048576, false) AS is_large, CASE WHEN size > 1048576 THEN 'METADATA_ONLY' ELSE hash END AS hash FROM once",
     "hidden_filter": f"WITH {_ONCE} SELECT id, path FROM once WHERE contains(path, '/.')",
     "ignore_filter": f"WITH {_ONCE} SELECT id, path FROM once WHERE {_NAME} GLOB '*.tmp' OR {_NAME} GLOB '*.log' OR {_NAME} = 'desktop.ini' OR {_NAME} GLOB 'IMG?0[0-4]*' OR {_NAME} GLOB '[!a-zA-Z]*' OR starts_with(path, '/Users/shared/Backups') OR path = '/Users/shared/Projects/README.md'",

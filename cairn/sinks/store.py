@@ -95,6 +95,27 @@ def cached_hashes(found: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFr
     return rows.join(known, same), rows.join(known, same, "left_anti")
 
 
+def cached_by_path(found: DataFrame, cache: DataFrame) -> DataFrame:
+    """found with the hash that a path-only cache knows; its change times are not looked at."""
+    known = cache.where("path is not null and hash is not null").groupBy("path").agg(F.max("hash").alias("hash"))
+    return found.drop("hash").join(known, "path", "left")
+
+
+def load_json_cache(spark: SparkSession, path: str) -> DataFrame:
+    """A cache of path and hash kept as JSON lines; empty if there is none. Broken lines are left out."""
+    try:
+        rows = spark.read.schema(HASH_CACHE).option("mode", "DROPMALFORMED").json(path)
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], HASH_CACHE)
+    return rows.where("path is not null")
+
+
+def save_json_cache(cache: DataFrame, path: str) -> None:
+    cache.select(*HASH_CACHE.fieldNames()).write.mode("overwrite").json(path)
+
+
 class Store:
     """Tables under one path, as numbered snapshots; `current.txt` holds the number that counts."""
 

@@ -27,6 +27,11 @@ def test_dedup(spark, files):
     t = dedup.duplicate_totals(files).first()
     assert (t.n_groups, t.n_duplicates, t.wasted, t.n_contents, t.n_files, t.n_unique_rows) == (2, 3, 20, 3, 9, 6)
     assert {r.name: (r.n, r.paths) for r in dedup.same_names(files).collect()} == {"x.txt": (2, "/a/x.txt, /b/x.txt"), "big": (2, "/a/big, /b/big")}
+    assert [(r.group_no, r.hash) for r in dedup.numbered_groups(files).orderBy("group_no").collect()] == [(1, "empty"), (2, "h1")]
+    named = files.withColumn("duplicate_of", F.when(F.col("id") == 2, "/a/x.txt").when(F.col("id") == 3, "/gone"))
+    assert {r.id: r.original_id for r in dedup.with_originals(named).collect()} == {2: 1, 3: None}
+    s = organize.run_summary(dedup.mark_duplicates(files)).first()
+    assert (s.n_files, s.n_unique, s.n_duplicates) == (9, 6, 3)
     assert any("h1: 3 files" in line for line in dedup.report(files)) and dedup.report(files.where("id in (1, 4)")) == []
     empty = files.limit(0)
     assert dedup.mark_duplicates(empty).count() == 0 and dedup.duplicate_totals(empty).first().n_groups == 0
@@ -99,6 +104,12 @@ def test_store(spark, tmp_path):
     s.vacuum("files")
     assert s.read("files").count() == 3
     assert "metadata_only" in store.add_metadata_only(spark.createDataFrame([(1,)], "id int")).columns
+    cache = spark.createDataFrame([("/a", "h"), (None, "x"), ("/b", None)], "path string, hash string")
+    store.save_json_cache(cache, f"file://{tmp_path}/cache")
+    again = store.load_json_cache(spark, f"file://{tmp_path}/cache")
+    found = spark.createDataFrame([("/a", 1), ("/b", 2)], "path string, mtime int")
+    assert {r.path: r.hash for r in store.cached_by_path(found, again).collect()} == {"/a": "h", "/b": None}
+    assert store.load_json_cache(spark, f"file://{tmp_path}/none").count() == 0
     known, todo = store.cached_hashes(spark.createDataFrame([("/a", 1), ("/a", 2)], "path string, mtime int"), spark.createDataFrame([("/a", 1, "h"), ("/a", 2, None)], "path string, mtime int, hash string"))
     assert known.first().hash == "h" and todo.count() == 1
 

@@ -63,6 +63,29 @@ def p8_validation(spark, d):
 
 
 SPARK = {f.__name__: f for f in (p2_found, p2_last_batch, p3_found, p3_survivors, p4_found, p4_forms, p6_packed, p6_report, p7_mixture, p7_shares, p8_found, p8_validation)}
+def _translation() -> tuple[str, str]:
+    """Characters that have another form, one by one, and these forms; those without any come last."""
+    import unicodedata
+
+    alike = {a: b for x, y in lookalike.LOOKALIKES for a, b in zip(x, y, strict=True)}
+    left, right, gone = [], [], []
+    for n in (*range(0x7F, 0x530), *range(0x115F, 0x1161), *range(0x2000, 0x2070), *range(0xFE00, 0xFE10), 0x3000, 0xFEFF, *range(0xFF01, 0xFFE7), *(ord(c) for c in alike if ord(c) > 0x530)):
+        c = chr(n)
+        if unicodedata.category(c) == "Cf" or any(a <= n <= b for a, b in lookalike.INVISIBLE):
+            gone.append(c)
+            continue
+        wide = unicodedata.normalize("NFKC", c) if unicodedata.decomposition(c).startswith(("<wide>", "<narrow>")) else c
+        to = " " if unicodedata.category(c) == "Zs" else unicodedata.normalize("NFC", "".join(alike.get(x, x) for x in unicodedata.normalize("NFD", wide)))
+        if to != c and len(to) == 1 and c not in left:
+            left.append(c)
+            right.append(to)
+    return "".join(left + gone), "".join(right)
+
+
+_FROM, _TO = (x.replace("'", "''") for x in _translation())
+_FORMS = f"""
+s AS (SELECT DISTINCT id, 'path' AS field, path AS text FROM files WHERE path IS NOT NULL UNION SELECT DISTINCT id, 'duplicate_of', duplicate_of FROM files WHERE duplicate_of IS NOT NULL),
+forms AS (SELECT id, field, text, nfc_normalize(translate(text, '{_FROM}', '{_TO}')) AS form FROM s)"""
 _KNOWN = f"""
 WITH f AS (SELECT DISTINCT id, scanned_at::DATE AS day, {content_sql()} AS content FROM files WHERE scanned_at IS NOT NULL AND id IS NOT NULL),
 x AS (SELECT DISTINCT id, day, list_distinct(regexp_extract_all(lower(excerpt), '[\\p{{L}}\\p{{Nd}}]+')) AS w FROM excerpts JOIN f ON file_id = id WHERE excerpt IS NOT NULL)
@@ -83,4 +106,7 @@ k AS (SELECT c, arg_min(k.id, (-confidence, -coalesce(epoch_us(classified_at), -
       FROM classifications k JOIN f ON file_id = f.id WHERE confidence BETWEEN 0 AND 1 GROUP BY c)
 SELECT c AS content_hash, coalesce(m.i, 0) AS mtime_id, coalesce(p.i, 0) AS path_id, coalesce(k.i, 0) AS classification_id
 FROM g LEFT JOIN m USING (c) LEFT JOIN p USING (c) LEFT JOIN k USING (c)""",
+    "p4_forms": f"WITH {_FORMS} SELECT id, field, form FROM forms",
+    "p4_found": f"""WITH {_FORMS}
+SELECT DISTINCT least(a.id, b.id) AS id_a, greatest(a.id, b.id) AS id_b, a.field FROM forms a JOIN forms b ON a.form = b.form AND b.field = 'path' AND a.id <> b.id AND a.text <> b.text""",
 }

@@ -9,7 +9,7 @@ most meetings before the words themselves are compared. Then the batch's own ent
 Rarity comes from counts in a table of fixed size, made when the index starts and kept since: any
 fixed order of words gives right results, a good one short lists.
 
-Rows without a day belong to no batch and never match. Null or unusable contents match nothing; null
+Rows without a day or an id belong to no batch and never match. Null or unusable contents match nothing; null
 excerpts and excerpts without a word have no near match. Repeated rows give one result. A batch is
 never compared with itself, only with days strictly before each row's own.
 """
@@ -102,28 +102,33 @@ def postings(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The prefix of every set as token, place, and what the filters need; ranked holds its words by rarity."""
     n = F.size("ranked")
     p0, p1 = _picture("ranked")
-    flat = sets.select("c1", "c2", "first", n.alias("n"), p0.alias("p0"), p1.alias("p1"), F.slice("ranked", F.lit(1), n - _needed(n, percent) + 1).alias("prefix"))
-    return flat.select("c1", "c2", "first", "n", "p0", "p1", F.posexplode("prefix").alias("place", "token"))
+    flat = sets.select("c1", "first", n.alias("n"), p0.alias("p0"), p1.alias("p1"), F.slice("ranked", F.lit(1), n - _needed(n, percent) + 1).alias("prefix"))
+    return flat.select("c1", "first", "n", "p0", "p1", F.posexplode("prefix").alias("place", "token"))
 
 
 def probe(batch: DataFrame, index: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs of a batch's set (c1, c2) and an indexed one (o1, o2) of an earlier day that may match."""
-    names = {"c1": "o1", "c2": "o2", "first": "o_first", "n": "m", "p0": "q0", "p1": "q1", "place": "o_place"}
-    old = index.select("token", *(F.col(a).alias(b) for a, b in names.items()))
-    need = F.ceil((F.col("n") + F.col("m")) * percent / (100.0 + percent) - 1e-9)
-    long_enough = (F.col("m") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("m") * percent)
-    by_place = F.least("place", "o_place") + F.least(F.col("n") - F.col("place"), F.col("m") - F.col("o_place")) >= need
-    differ = F.bit_count(F.col("p0").bitwiseXOR(F.col("q0"))) + F.bit_count(F.col("p1").bitwiseXOR(F.col("q1")))
-    by_picture = F.col("n") + F.col("m") - differ >= 2 * need
-    met = batch.join(old.hint("merge"), "token").where((F.col("o_first") < F.col("first")) & long_enough & by_place & by_picture)
-    return met.select("c1", "c2", "first", "o1", "o2", "o_first").distinct()
+    """Pairs (c1, o1) of a batch's set and an indexed one of an earlier day that may match."""
+    # both sides have one shape, so that a table looked up in itself is shuffled once
+    side = lambda df, p: df.select(*(F.col(c).alias(p + c) for c in ("token", "c1", "first", "n", "p0", "p1", "place")))
+    n, m = F.col("a_n"), F.col("b_n")
+    need = F.ceil((n + m) * percent / (100.0 + percent) - 1e-9)
+    long_enough = (m * 100 >= n * percent) & (n * 100 >= m * percent)
+    by_place = F.least("a_place", "b_place") + F.least(n - F.col("a_place"), m - F.col("b_place")) >= need
+    differ = F.bit_count(F.col("a_p0").bitwiseXOR(F.col("b_p0"))) + F.bit_count(F.col("a_p1").bitwiseXOR(F.col("b_p1")))
+    by_picture = n + m - differ >= 2 * need
+    met = side(batch, "a_").join(side(index, "b_").hint("merge"), F.col("a_token") == F.col("b_token"))
+    met = met.where((F.col("b_first") < F.col("a_first")) & long_enough & by_place & by_picture)
+    return met.select(F.col("a_c1").alias("c1"), F.col("b_c1").alias("o1")).distinct()
 
 
 def verified(pairs: DataFrame, new_sets: DataFrame, old_sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Of the pairs, those that share enough words: c1, c2 and the earlier day."""
-    a = new_sets.select("c1", "c2", F.col("words").alias("a"))
-    b = old_sets.select(F.col("c1").alias("o1"), F.col("c2").alias("o2"), F.col("words").alias("b"))
-    met = pairs.join(a, ["c1", "c2"]).join(b, ["o1", "o2"])
+    """Of the pairs, those that share enough words: c1, c2 and the earlier day.
+
+    Pairs are by one half of the sets' keys; whatever shares that half is compared word by word.
+    """
+    a = new_sets.select("c1", "c2", "first", F.col("words").alias("a"))
+    b = old_sets.select(F.col("c1").alias("o1"), F.col("first").alias("o_first"), F.col("words").alias("b"))
+    met = pairs.join(a, "c1").join(b, "o1").where("o_first < first")
     shared = F.size(F.array_intersect("a", "b"))
     return met.where(shared * 100 >= (F.size("a") + F.size("b") - shared) * percent).select("c1", "c2", "o_first")
 
@@ -141,7 +146,7 @@ def known_ids(files: DataFrame, excerpts: DataFrame, percent: int = PERCENT) ->
 
     held = excerpt_sets(files, excerpts)
     sets = cut(distinct_sets(held))
-    ranked = cut(sets.withColumn("ranked", by_rarity(spark, word_counts(sets), "words")).select("c1", "c2", "first", "ranked"))
+    ranked = cut(sets.withColumn("ranked", by_rarity(spark, word_counts(sets), "words")).select("c1", "first", "ranked"))
     entries = postings(ranked, percent)
     near = verified(probe(entries, entries, percent), sets, sets, percent).groupBy("c1", "c2").agg(F.min("o_first").alias("near"))
     earliest = sets.select("c1", "c2", "first").join(near, ["c1", "c2"], "left").select("c1", "c2", F.least("first", "near").alias("known"))
@@ -205,11 +210,11 @@ class HistoryIndex:
             seen = old.groupBy("content").agg(F.min("first").alias("first"))
             found = found.unionByName(rows.join(seen, "content").where("first < day").select("id"))
         held, sets = self._entries(files, excerpts)
-        new = postings(sets.select("c1", "c2", "first", "ranked"), self.percent)
+        new = postings(sets.select("c1", "first", "ranked"), self.percent)
         if (old := self._table("postings", new, "token")) is not None:
             pairs = cut(probe(new, old, self.percent))
             old_sets = self._table("sets", pairs, "o1")
-            near = verified(pairs, sets, old_sets.dropDuplicates(["c1", "c2"]), self.percent).groupBy("c1", "c2").agg(F.min("o_first").alias("known"))
+            near = verified(pairs, sets, old_sets.groupBy("c1", "c2").agg(F.min("first").alias("first"), F.any_value("words").alias("words")), self.percent).groupBy("c1", "c2").agg(F.min("o_first").alias("known"))
             found = found.unionByName(held.join(near, ["c1", "c2"]).where("known < day").select("id"))
         return found.distinct()
 
@@ -218,4 +223,4 @@ class HistoryIndex:
         self._append(first_days(batches(files)).select("content", "first"), "contents", "content")
         _, sets = self._entries(files, excerpts)
         self._append(sets.select("c1", "c2", "first", "words"), "sets", "c1")
-        self._append(postings(sets.select("c1", "c2", "first", "ranked"), self.percent), "postings", "token")
+        self._append(postings(sets.select("c1", "first", "ranked"), self.percent), "postings", "token")

@@ -18,41 +18,44 @@ def _files(spark, d):
     return table(spark, d, "files")
 
 
-def _once(spark, d):
-    """Every file once, whatever the number of its deliveries."""
-    return _files(spark, d).dropDuplicates(["id"])
+def _once(spark, d, *columns: str):
+    """Every file once, whatever the number of its deliveries, which are alike in all columns."""
+    return _files(spark, d).select(*columns or ["*"]).distinct()
+
+
+MAIN = ("id", "path", "size", "hash")
 
 
 def dup_groups(spark, d):
-    return dedup.duplicate_groups(_once(spark, d))
+    return dedup.duplicate_groups(_once(spark, d, *MAIN))
 
 
 def dup_marked(spark, d):
-    return dedup.mark_duplicates(_once(spark, d)).select("id", "path", "hash", "is_duplicate", "original_path")
+    return dedup.mark_duplicates(_once(spark, d, *MAIN)).select("id", "path", "hash", "is_duplicate", "original_path")
 
 
 def dup_totals(spark, d):
-    return dedup.duplicate_totals(_once(spark, d))
+    return dedup.duplicate_totals(_once(spark, d, *MAIN))
 
 
 def dup_filtered(spark, d):
-    return dedup.filter_duplicates(dedup.mark_duplicates(_once(spark, d))).select("id", "path")
+    return dedup.filter_duplicates(dedup.mark_duplicates(_once(spark, d, *MAIN))).select("id", "path")
 
 
 def dup_names(spark, d):
-    return dedup.same_names(_once(spark, d))
+    return dedup.same_names(_once(spark, d, *MAIN))
 
 
 def dup_numbered(spark, d):
-    return dedup.numbered_groups(_once(spark, d)).select("group_no", "hash", "n", "wasted")
+    return dedup.numbered_groups(_once(spark, d, *MAIN)).select("group_no", "hash", "n", "wasted")
 
 
 def dup_originals(spark, d):
-    return dedup.with_originals(_once(spark, d))
+    return dedup.with_originals(_once(spark, d, *MAIN, "duplicate_of"))
 
 
 def run_summary(spark, d):
-    return organize.run_summary(dedup.mark_duplicates(_once(spark, d)))
+    return organize.run_summary(dedup.mark_duplicates(_once(spark, d, *MAIN)))
 
 
 def plan_folders(spark, d):
@@ -61,39 +64,39 @@ def plan_folders(spark, d):
 
 def scan_filter(spark, d):
     """The first entries, in path order, below the named folders: a scan with root names and an early stop."""
-    files = _once(spark, d).where(paths.top_folder("path", "/Users").isin("shared", "ivoss") & ~paths.is_hidden("path"))
+    files = _once(spark, d, "id", "path").where(paths.top_folder("path", "/Users").isin("shared", "ivoss") & ~paths.is_hidden("path"))
     return files.orderBy("path", "id").limit(500).select("id", "path")
 
 
 def meta_only(spark, d):
     size, t = F.col("size"), 1 << 20
-    return _once(spark, d).select("id", F.coalesce(size > t, F.lit(False)).alias("is_large"), F.when(size > t, "METADATA_ONLY").otherwise(F.col("hash")).alias("hash"))
+    return _once(spark, d, *MAIN).select("id", F.coalesce(size > t, F.lit(False)).alias("is_large"), F.when(size > t, "METADATA_ONLY").otherwise(F.col("hash")).alias("hash"))
 
 
 def hidden_filter(spark, d):
-    return _once(spark, d).where(paths.is_hidden("path")).select("id", "path")
+    return _once(spark, d, "id", "path").where(paths.is_hidden("path")).select("id", "path")
 
 
 def ignore_filter(spark, d):
-    return _once(spark, d).where(paths.is_ignored("path", IGNORE)).select("id", "path")
+    return _once(spark, d, "id", "path").where(paths.is_ignored("path", IGNORE)).select("id", "path")
 
 
 def package_items(spark, d):
     """Files that are no part of a package, and the packages: folders whose descendants are left out."""
-    files = _once(spark, d).where("path is not null").select("id", "path")
+    files = _once(spark, d, "id", "path").where("path is not null")
     inner = files.select("id", F.explode(paths.ancestors("path")).alias("above")).where(paths.is_package("above")).select("id").distinct()
     return files.join(inner, "id", "left_anti").withColumn("is_package", paths.is_package("path"))
 
 
 def package_sizes(spark, d):
     """Files, bytes and latest change below every folder."""
-    files = _once(spark, d).where("path is not null")
+    files = _once(spark, d, "id", "path", "size", "mtime").where("path is not null")
     up = files.select(F.explode(paths.ancestors("path")).alias("dir"), "size", "mtime")
     return up.groupBy("dir").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.max("mtime").alias("last_mtime"))
 
 
 def _classified(spark, d):
-    return classify.classify(_once(spark, d).select("id", "path", "size"), to="type")
+    return classify.classify(_once(spark, d, "id", "path", "size"), to="type")
 
 
 def classified(spark, d):
@@ -107,17 +110,17 @@ def category_counts(spark, d):
 def path_metadata(spark, d):
     md = F.col("md")
     join = lambda f: F.array_join(md[f], "|").alias(f)
-    one = _once(spark, d).where("path is not null").withColumn("md", paths.path_metadata("path"))
+    one = _once(spark, d, "id", "path").where("path is not null").withColumn("md", paths.path_metadata("path"))
     return one.select("id", md["root_folder"].alias("root_folder"), md["relative_path"].alias("relative_path"), *map(join, ("parent_folders", "tags", "date_tags", "category_tags")), paths.metadata_label(md).alias("label"))
 
 
 def date_like(spark, d):
-    parts = _once(spark, d).select(F.explode(paths.path_parts("path")).alias("part")).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    parts = _once(spark, d, "id", "path").select(F.explode(paths.path_parts("path")).alias("part")).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     return parts.where(paths.is_date_like("part"))
 
 
 def owner_from_path(spark, d):
-    return _once(spark, d).select("id", paths.owner_from_path("path").alias("owner"), paths.top_folder("path", "/Users").alias("top"))
+    return _once(spark, d, "id", "path").select("id", paths.owner_from_path("path").alias("owner"), paths.top_folder("path", "/Users").alias("top"))
 
 
 def _plan(spark, d):
@@ -159,16 +162,16 @@ def _latest(spark, d):
 
 
 def reclass_status(spark, d):
-    done = reclassify.reclassify(_once(spark, d), _latest(spark, d), existing=_files(spark, d).where("size is not null"), skip_cloud=True)
+    done = reclassify.reclassify(_once(spark, d, "id", "path"), _latest(spark, d), existing=_files(spark, d).where("size is not null"), skip_cloud=True)
     return reclassify.counters(done)
 
 
 def reclass_changes(spark, d):
-    return reclassify.changes(reclassify.reclassify(_once(spark, d), _latest(spark, d)))
+    return reclassify.changes(reclassify.reclassify(_once(spark, d, "id", "path"), _latest(spark, d)))
 
 
 def reclass_other(spark, d):
-    return reclassify.changes(reclassify.reclassify(_once(spark, d), _latest(spark, d), categories=["other"]))
+    return reclassify.changes(reclassify.reclassify(_once(spark, d, "id", "path"), _latest(spark, d), categories=["other"]))
 
 
 NOW = "2025-06-01 00:00:00"
@@ -190,7 +193,7 @@ def mark_dups(spark, d):
 
 
 def append_ops(spark, d):
-    files, ops = _once(spark, d), table(spark, d, "operations")
+    files, ops = _once(spark, d, "id", "path"), table(spark, d, "operations")
     wanted = ops.where("action is not null and target_path is not null").select(F.col("target_path").alias("path"), "action", F.lit(None).cast("string").alias("target_path"))
     wanted = wanted.unionByName(_plan(spark, d).select("path", F.lit("MOVE").alias("action"), F.col("destination").alias("target_path")))
     return store.operation_rows(files, wanted).select("file_id", "action", "target_path", "executed")
@@ -198,7 +201,7 @@ def append_ops(spark, d):
 
 def save_classes(spark, d):
     new = _classified(spark, d).where("type != 'document'").select("path", F.col("type").alias("category"), F.lit(0.8).alias("confidence"))
-    return store.save_classifications(_latest(spark, d), _once(spark, d), new, F.lit(NOW).cast("timestamp_ntz")).select("file_id", "category", "owner", "year", "confidence", "classified_at")
+    return store.save_classifications(_latest(spark, d), _once(spark, d, "id", "path"), new, F.lit(NOW).cast("timestamp_ntz")).select("file_id", "category", "owner", "year", "confidence", "classified_at")
 
 
 def hash_cache(spark, d):
@@ -213,7 +216,7 @@ def sidecars(spark, d):
 
 
 def parse_size(spark, d):
-    sizes = _once(spark, d).where("size is not null").select("id", F.concat((F.col("size") % 1000).cast("string"), F.element_at(F.array(*map(F.lit, ("", "B", "K", "kb", "MB", "g", "TB", " x"))), (F.col("size") % 8 + 1).cast("int"))).alias("text"))
+    sizes = _once(spark, d, "id", "size").where("size is not null").select("id", F.concat((F.col("size") % 1000).cast("string"), F.element_at(F.array(*map(F.lit, ("", "B", "K", "kb", "MB", "g", "TB", " x"))), (F.col("size") % 8 + 1).cast("int"))).alias("text"))
     return sizes.select("id", "text", paths.size_bytes("text").alias("bytes"))
 
 

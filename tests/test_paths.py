@@ -47,12 +47,12 @@ def test_ignored(spark):
 def test_metadata(spark):
     rows = column(
         spark,
-        ["/U/a/Documents/Documents - 2996KD/Pictures/8May16/i.JPG", "/U/Documents/i.JPG", "/U/x/i.JPG", "/U/Music/misc/STAT4010/Q1-2024/a", "/U/x/Documents - n.txt", None],
+        ["/U/a/Documents/Documents - 77AB/Pictures/8May16/i.JPG", "/U/Documents/i.JPG", "/U/x/i.JPG", "/U/Music/misc/STAT4010/Q1-2024/a", "/U/x/Documents - n.txt", None],
         paths.path_metadata("x"),
     )
     a, b, c, d, e, n = rows
-    assert (a.root_folder, a.relative_path, a.tags) == ("Documents", "Documents - 2996KD/Pictures/8May16", ["Documents - 2996KD", "Pictures", "8May16"])
-    assert a.date_tags == ["8May16"] and a.category_tags == ["Documents - 2996KD", "Pictures"]
+    assert (a.root_folder, a.relative_path, a.tags) == ("Documents", "Documents - 77AB/Pictures/8May16", ["Documents - 77AB", "Pictures", "8May16"])
+    assert a.date_tags == ["8May16"] and a.category_tags == ["Documents - 77AB", "Pictures"]
     assert (b.root_folder, b.relative_path, b.parent_folders) == ("Documents", "", [])
     assert (c.root_folder, c.relative_path, c.tags) == (None, None, [])
     assert d.tags == ["STAT4010", "Q1-2024"] and d.date_tags == ["STAT4010"]

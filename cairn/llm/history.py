@@ -3,7 +3,7 @@
 The index holds, for everything accepted so far: the first day of every content, the different word
 sets with the day each first came, and postings of the rarest words of each set (its prefix),
 partitioned by word. A batch is looked up by its own prefixes: two sets that share enough words must
-share one in their prefixes. Lengths, places in the prefix and a 128-bit picture of each set exclude
+share one in their prefixes. Lengths, places in the prefix and a 256-bit picture of each set exclude
 most meetings before the words themselves are compared. Then the batch's own entries are appended.
 
 Rarity comes from counts in a table of fixed size, made when the index starts and kept since: any
@@ -88,33 +88,32 @@ def _needed(n: Column, percent: int) -> Column:
     return F.ceil(n * percent / 100.0 - 1e-9).cast("int")
 
 
-def _picture(c: str) -> tuple[Column, Column]:
-    """A set's words as 128 bits."""
-    one = lambda half: F.aggregate(
-        F.filter(c, lambda w: F.shiftright(w, 6).bitwiseAND(F.lit(1)) == half),
-        F.lit(0).cast("long"),
-        lambda acc, w: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(F.lit(63)).cast("int"))),
+def _picture(c: str) -> dict[str, Column]:
+    """A set's words as 256 bits in four numbers, p0 to p3."""
+    bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(F.lit(63)).cast("int"))
+    one = lambda part: F.aggregate(
+        F.filter(c, lambda w: F.shiftright(w, 6).bitwiseAND(F.lit(3)) == part), F.lit(0).cast("long"), lambda acc, w: acc.bitwiseOR(bit(w))
     )
-    return one(0), one(1)
+    return {f"p{k}": one(k) for k in range(4)}
 
 
 def postings(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The prefix of every set as token, place, and what the filters need; ranked holds its words by rarity."""
     n = F.size("ranked")
-    p0, p1 = _picture("ranked")
-    flat = sets.select("c1", "first", n.alias("n"), p0.alias("p0"), p1.alias("p1"), F.slice("ranked", F.lit(1), n - _needed(n, percent) + 1).alias("prefix"))
-    return flat.select("c1", "first", "n", "p0", "p1", F.posexplode("prefix").alias("place", "token"))
+    drawn = _picture("ranked")
+    flat = sets.select("c1", "first", n.alias("n"), *(p.alias(k) for k, p in drawn.items()), F.slice("ranked", F.lit(1), n - _needed(n, percent) + 1).alias("prefix"))
+    return flat.select("c1", "first", "n", *drawn, F.posexplode("prefix").alias("place", "token"))
 
 
 def probe(batch: DataFrame, index: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Pairs (c1, o1) of a batch's set and an indexed one of an earlier day that may match."""
     # both sides have one shape, so that a table looked up in itself is shuffled once
-    side = lambda df, p: df.select(*(F.col(c).alias(p + c) for c in ("token", "c1", "first", "n", "p0", "p1", "place")))
+    side = lambda df, p: df.select(*(F.col(c).alias(p + c) for c in ("token", "c1", "first", "n", "p0", "p1", "p2", "p3", "place")))
     n, m = F.col("a_n"), F.col("b_n")
     need = F.ceil((n + m) * percent / (100.0 + percent) - 1e-9)
     long_enough = (m * 100 >= n * percent) & (n * 100 >= m * percent)
     by_place = F.least("a_place", "b_place") + F.least(n - F.col("a_place"), m - F.col("b_place")) >= need
-    differ = F.bit_count(F.col("a_p0").bitwiseXOR(F.col("b_p0"))) + F.bit_count(F.col("a_p1").bitwiseXOR(F.col("b_p1")))
+    differ = sum((F.bit_count(F.col(f"a_p{k}").bitwiseXOR(F.col(f"b_p{k}"))) for k in range(4)), F.lit(0))
     by_picture = n + m - differ >= 2 * need
     met = side(batch, "a_").join(side(index, "b_").hint("merge"), F.col("a_token") == F.col("b_token"))
     met = met.where((F.col("b_first") < F.col("a_first")) & long_enough & by_place & by_picture)

@@ -51,20 +51,21 @@ def pack(loads: list[tuple[float, object]], tasks: int) -> tuple[list[tuple[obje
     return placed, [x for x, _ in sorted(heap, key=lambda x: x[1])]
 
 
-def plan_fragments(df: DataFrame, key: str, tasks: int | None = None, fair: float = 0.5, tracked: int = 4096) -> FragmentPlan:
+def plan_fragments(df: DataFrame, key: str, tasks: int | None = None, fair: float = 0.5, tracked: int | None = None) -> FragmentPlan:
     """Estimate the load of each key and lay keys out on tasks.
 
     fair: the part of a task's mean load from which a key is placed by itself; from a whole mean
     load on it is cut into shards. tracked: counters of the sketch, whose error is about
-    rows / tracked. An empty df gives a plan without heavy keys.
+    rows / tracked; eight a task by default, at least 4096. An empty df gives a plan without heavy keys.
     """
     spark = df.sparkSession
     tasks = tasks or shuffle_tasks(spark)
-    buckets = 16 * tasks
+    buckets = max(tasks, min(16 * tasks, 1 << 16))
+    tracked = tracked or min(1_000_000, max(4096, 8 * tasks))
     most = min(int(tasks / fair) + 1, tracked)
     k = df.select(F.col(key).alias("k"))
     kind = k.schema["k"].dataType.simpleString()
-    top, rows, keyed = k.agg(F.expr(f"approx_top_k(k, {most}, {max(tracked, most)})"), F.count(F.lit(1)), F.count("k")).first()
+    top, rows, keyed = k.agg(F.expr(f"approx_top_k(k, {most}, {tracked})"), F.count(F.lit(1)), F.count("k")).first()
     target = max(1.0, keyed / tasks)
     heavy = {r["item"]: float(r["count"]) for r in top or [] if r["item"] is not None and r["count"] >= fair * target}
     counts = [0.0] * buckets

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions.paths import ancestors, file_name, parent, path_metadata
 from cairn.functions.rules import APPLICATION_ROOTS, WEB_ROOTS
+from cairn.operators.ranking import numbered
 
 
 def _from(path: Column, searched: Column, roots: tuple[str, ...]) -> Column:
@@ -82,11 +83,14 @@ def tree_lines(planned: DataFrame, max_depth: int = 5, lines: int = 2000) -> lis
     return out
 
 
-def enumerate_plan(planned: DataFrame, seq: str = "id", top: int = 1000) -> DataFrame:
-    """The plan's first rows, numbered, with sizes in units of a million bytes: what a table view shows."""
-    first = planned.orderBy(seq, "path").limit(top)
-    n = F.row_number().over(Window.orderBy(seq, "path"))  # over at most `top` rows
-    return first.select(n.alias("n"), file_name("path").alias("name"), "type", (F.col("size") / 1_000_000).alias("size_mb"), F.col("path").alias("source"), "destination")
+def enumerate_plan(planned: DataFrame, seq: str = "id", top: int | None = None) -> DataFrame:
+    """The plan's rows, numbered in order, with sizes in units of a million bytes; with top, only the first so many."""
+    rows = planned.select(seq, "path", "type", "size", "destination")
+    if top is None:
+        rows = numbered(rows, seq, "path")
+    else:
+        rows = rows.orderBy(seq, "path").limit(top).withColumn("n", F.row_number().over(Window.orderBy(seq, "path")))  # over at most `top` rows
+    return rows.select("n", file_name("path").alias("name"), "type", (F.col("size") / 1_000_000).alias("size_mb"), F.col("path").alias("source"), "destination")
 
 
 def category_counts(planned: DataFrame, column: str = "type") -> DataFrame:

@@ -155,6 +155,11 @@ def plan_table(spark, d):
     return organize.enumerate_plan(_plan(spark, d), top=200)
 
 
+def plan_rows(spark, d):
+    """The whole plan, numbered; plan_table has its first rows."""
+    return organize.enumerate_plan(_plan(spark, d))
+
+
 def _latest(spark, d):
     """One classification a file: the one with the highest id."""
     c = table(spark, d, "classifications").where("file_id is not null")
@@ -224,7 +229,7 @@ SPARK = {
     f.__name__: f
     for f in (
         dup_groups, dup_marked, dup_totals, dup_filtered, dup_names, dup_numbered, dup_originals, run_summary, plan_folders, scan_filter, meta_only, hidden_filter, ignore_filter, package_items, package_sizes, classified, category_counts, path_metadata, date_like, owner_from_path,
-        plan, plan_collisions, legacy_plan, tree_counts, plan_prefix, plan_preview, plan_table, reclass_status, reclass_changes, reclass_other, upsert_files, mark_dups, append_ops, save_classes, hash_cache, sidecars, parse_size,
+        plan, plan_collisions, legacy_plan, tree_counts, plan_prefix, plan_preview, plan_table, plan_rows, reclass_status, reclass_changes, reclass_other, upsert_files, mark_dups, append_ops, save_classes, hash_cache, sidecars, parse_size,
     )
 }
 
@@ -328,6 +333,7 @@ SQL = {
     "plan_prefix": f"SELECT '{BASE}' AS prefix",
     "plan_preview": f"WITH {_PLAN} SELECT path || ' -> ' || destination AS value FROM pl",
     "plan_table": f"WITH {_PLAN} SELECT row_number() OVER (ORDER BY id, path) AS n, {_NAME} AS name, type, size / 1000000 AS size_mb, path AS source, destination FROM pl ORDER BY id, path LIMIT 200",
+    "plan_rows": f"WITH {_PLAN} SELECT row_number() OVER (ORDER BY id, path) AS n, {_NAME} AS name, type, size / 1000000 AS size_mb, path AS source, destination FROM pl",
     "reclass_status": f"WITH {_RECLASS}, st AS (SELECT CASE WHEN {_any_of('path', paths.CLOUD_PARTS)} THEN 'skipped' WHEN gone THEN 'missing' WHEN old_category <> new_category THEN 'updated' ELSE 'unchanged' END AS s FROM rc) "
     "SELECT count(*) AS total, count(*) FILTER (s IN ('updated', 'unchanged')) AS checked, count(*) FILTER (s = 'updated') AS updated, count(*) FILTER (s = 'unchanged') AS unchanged, count(*) FILTER (s = 'missing') AS missing, count(*) FILTER (s = 'skipped') AS skipped FROM st",
     "reclass_changes": f"WITH {_RECLASS} SELECT old_category, new_category, count(*) AS n FROM rc WHERE old_category <> new_category GROUP BY ALL",

@@ -61,6 +61,13 @@ def test_plan(spark):
     assert {r.target_dir for r in organize.folder_groups(df, "/o").collect()} >= {"/o/Unknown/Unknown_Owner/Unknown_Year", "/o/data file/A B/2020"}
 
 
+def test_the_whole_plan_is_numbered(spark):
+    planned = spark.range(2500).select("id", F.format_string("/a/%d", "id").alias("path"), F.lit("data").alias("type"), F.col("id").alias("size"), F.lit("/o/x").alias("destination"))
+    got = sorted((r.n, r.source) for r in organize.enumerate_plan(planned).collect())
+    assert got == [(i + 1, f"/a/{i}") for i in range(2500)]
+    assert {r.n for r in organize.enumerate_plan(planned, top=20).collect()} == set(range(1, 21))
+
+
 def test_reclassify(spark):
     f = spark.createDataFrame([(1, "/a/x.jpg"), (2, "/a/Dropbox/y.jpg"), (3, "/a/gone.txt"), (4, "/a/d.pdf"), (5, "/a/new.zip")], "id long, path string")
     c = spark.createDataFrame([(1, "other"), (2, "other"), (3, "other"), (4, "document")], "file_id long, category string")

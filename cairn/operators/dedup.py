@@ -62,8 +62,8 @@ def duplicate_totals(files: DataFrame, seq: str = "id") -> DataFrame:
 def same_names(files: DataFrame, examples: int = 20) -> DataFrame:
     """name, n, and the first paths in order, of file names that several rows bear.
 
-    A name that a large part of all rows bear has as many examples as any other; its rows come from
-    a join on the name.
+    A name that a large part of all rows bear has as many examples as any other; all its rows come
+    from name_members.
     """
     from pyspark.sql import Window
 
@@ -74,6 +74,13 @@ def same_names(files: DataFrame, examples: int = 20) -> DataFrame:
     return counts.join(few, "name")
 
 
+def name_members(files: DataFrame, seq: str = "id") -> DataFrame:
+    """name, n and path of every row whose file name several rows bear. A frequent name is cut like any hot key."""
+    named = files.where("path is not null").select(seq, file_name("path").alias("name"), "path")
+    counts = named.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return fragment_join(named, counts, "name", [seq]).select("name", "n", "path")
+
+
 def numbered_groups(files: DataFrame, seq: str = "id") -> DataFrame:
     """The duplicate groups with their number in the order of hash."""
     return numbered(duplicate_groups(files, seq), "hash", name="group_no")

@@ -1,7 +1,8 @@
 """The library of analytic queries over files and classifications.
 
 All sort orders end in path and id, so that ties have one result. Sizes in MB and GB are rounded with
-exact integers. Limits are those of the top-k reports. Example lists hold the first EXAMPLES values.
+exact integers. Limits are those of the top-k reports. Example lists hold the first EXAMPLES values;
+q03_names and q04_extensions have all of them, a row each.
 """
 
 from __future__ import annotations
@@ -70,20 +71,44 @@ def q02(spark, d):
     return _top(g, None, F.desc("count"), "file_extension")
 
 
+def _names(spark, d):
+    return of(spark, d, "other").withColumns({"extension": file_ext("path"), "name": file_name("path")})
+
+
+def _folders(spark, d):
+    return of(spark, d, "other").withColumns({"parent_directory": F.substring_index("path", "/", -2), "extension": file_ext("path")})
+
+
+def _of_largest(rows: DataFrame, key: str, n: int) -> DataFrame:
+    """The rows of the n keys that most rows bear."""
+    top = _top(rows.groupBy(key).agg(F.count(F.lit(1)).alias("file_count")), n, F.desc("file_count"), key)
+    return rows.join(F.broadcast(top.select(key)), key)  # n rows
+
+
 def q03(spark, d):
-    rows = of(spark, d, "other").withColumns({"extension": file_ext("path"), "name": file_name("path")})
+    rows = _names(spark, d)
     g = rows.groupBy("extension").agg(F.count(F.lit(1)).alias("file_count"), mean(MB).alias("avg_size_mb"), hundredths(F.min("size"), KB).alias("min_size_kb"), hundredths(F.max("size"), MB).alias("max_size_mb"))
     top = _top(g, 50, F.desc("file_count"), "extension")
     return top.join(_examples(rows, "extension", "name").withColumnRenamed("found", "example_files"), "extension", "left")
 
 
+def q03_names(spark, d):
+    """The name of every file of q03's extensions."""
+    return _of_largest(_names(spark, d), "extension", 50).select("extension", "name")
+
+
 def q04(spark, d):
-    rows = of(spark, d, "other").withColumns({"parent_directory": F.substring_index("path", "/", -2), "extension": file_ext("path")})
+    rows = _folders(spark, d)
     g = rows.groupBy("parent_directory").agg(F.count(F.lit(1)).alias("file_count"), total(MB).alias("total_size_mb"))
     top = _top(g, 25, F.desc("file_count"), "parent_directory")
     return top.join(_examples(rows, "parent_directory", "extension", True).withColumnRenamed("found", "extensions_found"), "parent_directory", "left")
 
 
+def q04_extensions(spark, d):
+    """Every extension in q04's folders."""
+    return _of_largest(_folders(spark, d), "parent_directory", 25).select("parent_directory", "extension").distinct()
+
+
 def q05(spark, d):
     rows = of(spark, d, "other").where(~F.col("path").like("%.%")).select("path", "size", mb().alias("size_mb"), "scanned_at", "id")
     return _top(rows, 50, F.desc_nulls_last("size"), "path", "id")
@@ -266,6 +291,7 @@ def d29(spark, d):
 
 
 SPARK = {k: v for k, v in list(globals().items()) if callable(v) and len(k) == 3 and k[0] in "qd" and k[1:].isdigit()}
+SPARK |= {"q03_names": q03_names, "q04_extensions": q04_extensions}
 
 # ---- the same in DuckDB's SQL ----
 
@@ -285,6 +311,8 @@ SQL = {
     "q02": f"SELECT {_EXT} AS file_extension, count(*) AS count, sum(size)::BIGINT AS total_size, {_sum(MB)} AS total_size_mb, min(path) AS example_file FROM {_O} GROUP BY ALL",
     "q03": f"SELECT {_EXT} AS extension, count(*) AS file_count, {_avg(MB)} AS avg_size_mb, {_r('min(size)', KB)} AS min_size_kb, {_r('max(size)', MB)} AS max_size_mb, array_to_string(list_sort(list({_NAME}))[1:{EXAMPLES}], ', ') AS example_files FROM {_O} GROUP BY {_EXT} ORDER BY file_count DESC, extension LIMIT 50",
     "q04": f"SELECT array_to_string(string_split(path, '/')[-2:], '/') AS parent_directory, count(*) AS file_count, {_sum(MB)} AS total_size_mb, array_to_string(list_sort(list(DISTINCT {_EXT}))[1:{EXAMPLES}], ', ') AS extensions_found FROM {_O} GROUP BY parent_directory ORDER BY file_count DESC, parent_directory LIMIT 25",
+    "q03_names": f"WITH o AS (SELECT {_EXT} AS extension, {_NAME} AS name FROM {_O}), t AS (SELECT extension, count(*) AS file_count FROM o GROUP BY extension ORDER BY file_count DESC, extension LIMIT 50) SELECT extension, name FROM o JOIN t USING (extension)",
+    "q04_extensions": f"WITH o AS (SELECT array_to_string(string_split(path, '/')[-2:], '/') AS parent_directory, {_EXT} AS extension FROM {_O}), t AS (SELECT parent_directory, count(*) AS file_count FROM o GROUP BY parent_directory ORDER BY file_count DESC, parent_directory LIMIT 25) SELECT DISTINCT parent_directory, extension FROM o JOIN t USING (parent_directory)",
     "q05": f"SELECT path, size, {_r('size', MB)} AS size_mb, scanned_at, id FROM {_O} AND path NOT LIKE '%.%' ORDER BY {_SIZE} LIMIT 50",
     "q06": f"""SELECT 'Total "other" files' AS metric, count(*)::DOUBLE AS value FROM {_O} UNION ALL SELECT 'Total size (GB)', {_sum(GB)} FROM {_O} UNION ALL SELECT 'Average file size (MB)', {_avg(MB)} FROM {_O} UNION ALL SELECT 'Unique extensions', count(DISTINCT {_EXT}) FROM {_O}""",
     "q07": f"SELECT path, {_r('size', MB)} AS size_mb, {_EXT} AS extension, {_NAME} AS filename, scanned_at, id FROM {_O} ORDER BY {_SIZE} LIMIT 50",

@@ -46,6 +46,11 @@ def dup_names(spark, d):
     return dedup.same_names(_once(spark, d, *MAIN))
 
 
+def dup_name_paths(spark, d):
+    """Every path of every repeated name; dup_names has the first of each."""
+    return dedup.name_members(_once(spark, d, "id", "path"))
+
+
 def dup_numbered(spark, d):
     return dedup.numbered_groups(_once(spark, d, *MAIN)).select("group_no", "hash", "n", "wasted")
 
@@ -228,7 +233,7 @@ def parse_size(spark, d):
 SPARK = {
     f.__name__: f
     for f in (
-        dup_groups, dup_marked, dup_totals, dup_filtered, dup_names, dup_numbered, dup_originals, run_summary, plan_folders, scan_filter, meta_only, hidden_filter, ignore_filter, package_items, package_sizes, classified, category_counts, path_metadata, date_like, owner_from_path,
+        dup_groups, dup_marked, dup_totals, dup_filtered, dup_names, dup_name_paths, dup_numbered, dup_originals, run_summary, plan_folders, scan_filter, meta_only, hidden_filter, ignore_filter, package_items, package_sizes, classified, category_counts, path_metadata, date_like, owner_from_path,
         plan, plan_collisions, legacy_plan, tree_counts, plan_prefix, plan_preview, plan_table, plan_rows, reclass_status, reclass_changes, reclass_other, upsert_files, mark_dups, append_ops, save_classes, hash_cache, sidecars, parse_size,
     )
 }
@@ -310,6 +315,7 @@ SQL = {
     "dup_totals": f"WITH {_HASHED} SELECT count(*) FILTER (n > 1) AS n_groups, sum(n - 1)::BIGINT AS n_duplicates, sum(original_size * (n - 1))::BIGINT AS wasted, count(*) AS n_contents, (SELECT count(*) FROM once) AS n_files, (SELECT count(*) FROM once) - sum(n - 1)::BIGINT AS n_unique_rows FROM o",
     "dup_filtered": f"WITH {_MARKED} SELECT id, path FROM m WHERE NOT is_duplicate",
     "dup_names": f"WITH {_ONCE} SELECT name, count(*) AS n, array_to_string(list_sort(list(path))[1:20], ', ') AS paths FROM (SELECT {_NAME} AS name, path FROM once WHERE path IS NOT NULL) GROUP BY name HAVING count(*) > 1",
+    "dup_name_paths": f"WITH {_ONCE} SELECT name, count(*) OVER (PARTITION BY name) AS n, path FROM (SELECT {_NAME} AS name, path FROM once WHERE path IS NOT NULL) QUALIFY n > 1",
     "dup_numbered": f"WITH {_HASHED} SELECT row_number() OVER (ORDER BY hash) AS group_no, hash, n, original_size * (n - 1) AS wasted FROM o WHERE n > 1",
     "dup_originals": f"WITH {_ONCE} SELECT a.id, a.path, a.hash, a.duplicate_of AS original_path, b.id AS original_id, b.hash AS original_hash, b.size AS original_size FROM once a LEFT JOIN once b ON a.duplicate_of = b.path WHERE a.duplicate_of IS NOT NULL",
     "run_summary": f"WITH {_MARKED} SELECT count(*) AS n_files, (SELECT sum(size) FROM once)::BIGINT AS bytes, count(*) FILTER (NOT is_duplicate) AS n_unique, count(*) FILTER (is_duplicate) AS n_duplicates FROM m",

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cairn.operators import dedup, reclassify
 from cairn.plans import organize
+from cairn.queries import corpus
 from cairn.sinks import execute, store
 
 NOW = datetime(2025, 1, 1)
@@ -37,6 +38,18 @@ def test_dedup(spark, files):
     assert dedup.mark_duplicates(empty).count() == 0 and dedup.duplicate_totals(empty).first().n_groups == 0
 
 
+def test_all_values_of_a_frequent_key(spark, tmp_path):
+    rows = [(i, f"/d{i % 2}/f{i}/same.txt", 1) for i in range(50)] + [(50 + i, f"/a.{i}/g/n{i // 30}", 1) for i in range(30)] + [(80 + i, f"/d/h/m{i}.zz", 1) for i in range(30)]
+    files = spark.createDataFrame(rows, "id long, path string, size long")
+    got = dedup.name_members(files).collect()
+    assert {(r.name, r.n) for r in got} == {("same.txt", 50), ("n0", 30)} and sorted(r.path for r in got) == sorted(p for i, p, _ in rows if i < 80)
+    files.withColumn("scanned_at", F.lit(NOW)).write.parquet(f"{tmp_path}/files.parquet")
+    files.select("id", F.col("id").alias("file_id"), F.lit("other").alias("category"), F.lit(1.0).alias("confidence"), F.lit(NOW).alias("classified_at")).write.parquet(f"{tmp_path}/classifications.parquet")
+    names, found = (corpus.SPARK[q](spark, str(tmp_path)).collect() for q in ("q03_names", "q04_extensions"))
+    assert {r.name for r in names if r.extension == "zz"} == {f"m{i}.zz" for i in range(30)} and sum(r.extension == "txt" for r in names) == 50
+    assert {r.extension for r in found if r.parent_directory == "g/n0"} == {f"{i}/g/n0" for i in range(30)}
+
+
 def test_plan(spark):
     rows = [
         (1, "/U/Desktop/a b.txt", "document", None, None, "/o/Desktop/document/a b.txt"),

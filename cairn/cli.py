@@ -69,10 +69,9 @@ def run(a: argparse.Namespace) -> int:
     for line in dedup.report(files, "seq"):
         log.info(line)
     if a.duplicate_report:
-        with open(a.duplicate_report, "w", encoding="utf-8") as out:
-            out.writelines(f"{x}\n" for x in dedup.report(files, "seq"))
+        execute.write_file(dedup.report_lines(files, "seq"), a.duplicate_report)
     planned = organize.plan(classify(dedup.filter_duplicates(marked, not a.skip_duplicates), to="type"), a.base_dir, not a.flat)
-    for line in organize.tree_lines(planned):
+    for line in organize.tree_text(planned):
         print(line)
     for r in organize.category_counts(planned).orderBy("type").collect():
         print(f"{r.type}: {r.n}")

@@ -7,7 +7,7 @@ hash held by a third of all rows costs no more than any other.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from cairn.functions.paths import file_name, thousands
@@ -97,14 +97,39 @@ def with_originals(files: DataFrame) -> DataFrame:
     return fragment_join(rows, held, "original_path", ["id"], "left")
 
 
+def _head(t: Row) -> list[str]:
+    mb = lambda n: f"{n / 1048576:,.2f} MB"
+    return ["DUPLICATE REPORT", f"groups: {t.n_groups:,}", f"duplicates: {t.n_duplicates:,}", f"wasted: {t.wasted:,} bytes ({mb(t.wasted)}, {t.wasted / 1073741824:,.2f} GB)"]
+
+
 def report(files: DataFrame, seq: str = "id", groups: int = 1000) -> list[str]:
-    """The duplicate report as lines: totals, then the groups in order of hash, at most so many."""
+    """The report for the console: totals, at most so many groups in order of hash, and how many are not shown."""
     t = duplicate_totals(files, seq).first()
     if not t.n_groups:
         return []
-    mb = lambda n: f"{n / 1048576:,.2f} MB"
-    lines = ["DUPLICATE REPORT", f"groups: {t.n_groups:,}", f"duplicates: {t.n_duplicates:,}", f"wasted: {t.wasted:,} bytes ({mb(t.wasted)}, {t.wasted / 1073741824:,.2f} GB)"]
+    lines = _head(t)
     top = duplicate_groups(files, seq).orderBy("hash").limit(groups).withColumn("shown", thousands(F.col("wasted")))
     for i, g in enumerate(top.collect(), 1):
         lines.append(f"#{i} {g.hash}: {g.n} files, original {g.original_path}, wasted {g.shown} bytes")
+    if t.n_groups > groups:
+        lines.append(f"{t.n_groups - groups:,} more groups are not shown")
     return lines
+
+
+def report_lines(files: DataFrame, seq: str = "id") -> DataFrame:
+    """The whole report in order, one column `value`: totals, every group with its original, and all its duplicates."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("unknown"))
+    number = lambda c: F.when(c.isNotNull(), thousands(c)).otherwise("unknown")
+    groups = numbered(originals(files, seq).where("n > 1"), "hash", name="group_no")
+    wasted = F.col("original_size") * (F.col("n") - 1)
+    totals = (F.count(F.lit(1)).alias("n_groups"), F.sum(F.col("n") - 1).alias("n_duplicates"), F.coalesce(F.sum(wasted), F.lit(0)).alias("wasted"))
+    t = groups.agg(*totals).first()  # one row, from the groups that numbered() keeps
+    head = [(0, i, line) for i, line in enumerate(_head(t))] if t.n_groups else []
+    top = files.sparkSession.createDataFrame(head, "group_no long, place int, value string").withColumns({"seq": F.lit(None).cast(files.schema[seq].dataType), "path": F.lit(None).cast("string")})
+    first = F.concat(F.lit("#"), F.col("group_no"), F.lit(" "), "hash", F.lit(": "), F.col("n"), F.lit(" files of "), number(F.col("original_size")), F.lit(" bytes, original "), text("original_path"), F.lit(", wasted "), number(wasted), F.lit(" bytes"))
+    first = groups.select("group_no", F.lit(0).alias("place"), first.alias("value"), F.col("original_seq").alias("seq"), F.col("original_path").alias("path"))
+    rows = hashed(files).select(F.col(seq).alias("seq"), "hash", "path")
+    met = fragment_join(rows, groups.select("hash", "group_no", "original_seq", "original_path"), "hash", ["seq"])
+    met = met.where(~(F.col("seq").eqNullSafe(F.col("original_seq")) & F.col("path").eqNullSafe(F.col("original_path"))))
+    rest = met.select("group_no", F.lit(1).alias("place"), F.concat(F.lit("  duplicate "), text("path")).alias("value"), "seq", "path")
+    return top.unionByName(first).unionByName(rest).orderBy("group_no", "place", "seq", "path").select("value")

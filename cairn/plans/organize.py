@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import islice
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,16 +74,25 @@ def common_prefix(paths: DataFrame, column: str = "destination") -> DataFrame:
     return ends.select(F.array_join(F.slice("a", F.lit(1), F.array_max(same)), "/").alias("prefix"))
 
 
-def tree_lines(planned: DataFrame, max_depth: int = 5, lines: int = 2000) -> list[str]:
-    """The tree as text for the console, down to a depth below the common folder."""
+def tree_text(planned: DataFrame, max_depth: int = 5) -> Iterator[str]:
+    """The tree as text, down to a depth below the common folder, with a mark where deeper folders are left out."""
     top = common_prefix(planned).first()[0] or ""
     start = top.count("/")
-    shown = tree_counts(planned).where(F.col("dir").startswith(top) & (F.col("depth") <= start + max_depth)).orderBy(F.split("dir", "/")).limit(lines)
-    out = [top or "/"]
-    for r in shown.collect():
+    shown = tree_counts(planned).where(F.col("dir").startswith(top) & (F.col("depth") <= start + max_depth)).orderBy(F.split("dir", "/"))
+    yield top or "/"
+    for r in shown.toLocalIterator():  # a part of the tree at a time
         if r.dir != top:
-            out.append("  " * (r.depth - start) + r.dir.rsplit("/", 1)[-1] + (f" ({r.direct} files)" if r.direct else ""))
-    return out
+            yield "  " * (r.depth - start) + r.dir.rsplit("/", 1)[-1] + (f" ({r.direct} files)" if r.direct else "")
+        if r.depth == start + max_depth and r.below > r.direct:
+            yield "  " * (max_depth + 1) + "... (deeper folders not shown)"
+
+
+def tree_lines(planned: DataFrame, max_depth: int = 5, lines: int = 2000) -> list[str]:
+    """The first lines of the tree, and how many are not shown."""
+    tree = tree_text(planned, max_depth)
+    out = list(islice(tree, lines + 1))
+    rest = sum(1 for _ in tree)
+    return [*out, f"{rest:,} more lines are not shown"] if rest else out
 
 
 def enumerate_plan(planned: DataFrame, seq: str = "id", top: int | None = None) -> DataFrame:

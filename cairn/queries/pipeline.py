@@ -55,6 +55,10 @@ def dup_numbered(spark, d):
     return dedup.numbered_groups(_once(spark, d, *MAIN)).select("group_no", "hash", "n", "wasted")
 
 
+def dup_report(spark, d):
+    return dedup.report_lines(_once(spark, d, *MAIN))
+
+
 def dup_originals(spark, d):
     return dedup.with_originals(_once(spark, d, *MAIN, "duplicate_of"))
 
@@ -233,7 +237,7 @@ def parse_size(spark, d):
 SPARK = {
     f.__name__: f
     for f in (
-        dup_groups, dup_marked, dup_totals, dup_filtered, dup_names, dup_name_paths, dup_numbered, dup_originals, run_summary, plan_folders, scan_filter, meta_only, hidden_filter, ignore_filter, package_items, package_sizes, classified, category_counts, path_metadata, date_like, owner_from_path,
+        dup_groups, dup_marked, dup_totals, dup_filtered, dup_names, dup_name_paths, dup_numbered, dup_report, dup_originals, run_summary, plan_folders, scan_filter, meta_only, hidden_filter, ignore_filter, package_items, package_sizes, classified, category_counts, path_metadata, date_like, owner_from_path,
         plan, plan_collisions, legacy_plan, tree_counts, plan_prefix, plan_preview, plan_table, plan_rows, reclass_status, reclass_changes, reclass_other, upsert_files, mark_dups, append_ops, save_classes, hash_cache, sidecars, parse_size,
     )
 }
@@ -317,6 +321,10 @@ SQL = {
     "dup_names": f"WITH {_ONCE} SELECT name, count(*) AS n, array_to_string(list_sort(list(path))[1:20], ', ') AS paths FROM (SELECT {_NAME} AS name, path FROM once WHERE path IS NOT NULL) GROUP BY name HAVING count(*) > 1",
     "dup_name_paths": f"WITH {_ONCE} SELECT name, count(*) OVER (PARTITION BY name) AS n, path FROM (SELECT {_NAME} AS name, path FROM once WHERE path IS NOT NULL) QUALIFY n > 1",
     "dup_numbered": f"WITH {_HASHED} SELECT row_number() OVER (ORDER BY hash) AS group_no, hash, n, original_size * (n - 1) AS wasted FROM o WHERE n > 1",
+    "dup_report": f"""WITH {_HASHED}, g AS (SELECT *, row_number() OVER (ORDER BY hash) AS group_no FROM o WHERE n > 1), t AS (SELECT count(*) AS groups, sum(n - 1)::BIGINT AS dups, sum(original_size * (n - 1))::BIGINT AS wasted FROM g)
+SELECT unnest(['DUPLICATE REPORT', format('groups: {{:,}}', groups), format('duplicates: {{:,}}', dups), format('wasted: {{:,}} bytes ({{:,.2f}} MB, {{:,.2f}} GB)', wasted, wasted / 1048576, wasted / 1073741824)]) AS value FROM t WHERE groups > 0
+UNION ALL SELECT '#' || group_no || ' ' || hash || ': ' || n || ' files of ' || coalesce(format('{{:,}}', original_size), 'unknown') || ' bytes, original ' || coalesce(original_path, 'unknown') || ', wasted ' || coalesce(format('{{:,}}', original_size * (n - 1)), 'unknown') || ' bytes' FROM g
+UNION ALL SELECT '  duplicate ' || coalesce(r.path, 'unknown') FROM r JOIN g ON r.hash = g.hash WHERE r.rn > 1""",
     "dup_originals": f"WITH {_ONCE} SELECT a.id, a.path, a.hash, a.duplicate_of AS original_path, b.id AS original_id, b.hash AS original_hash, b.size AS original_size FROM once a LEFT JOIN once b ON a.duplicate_of = b.path WHERE a.duplicate_of IS NOT NULL",
     "run_summary": f"WITH {_MARKED} SELECT count(*) AS n_files, (SELECT sum(size) FROM once)::BIGINT AS bytes, count(*) FILTER (NOT is_duplicate) AS n_unique, count(*) FILTER (is_duplicate) AS n_duplicates FROM m",
     "plan_folders": f"WITH {_PLAN} SELECT DISTINCT regexp_replace(destination, '/[^/]*$', '') AS dir FROM pl",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import shutil
+import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
@@ -66,3 +67,17 @@ def copy_files(planned: DataFrame, execute: bool = False) -> DataFrame:
 def write_lines(df: DataFrame, path: str) -> None:
     """A one-column DataFrame of text as files of lines."""
     df.select(F.col(df.columns[0]).alias("value")).write.mode("overwrite").text(path)
+
+
+def write_file(df: DataFrame, path: str) -> None:
+    """A sorted one-column DataFrame of text as one local file: executors write its parts, which are then joined in order."""
+    at = os.path.abspath(path)
+    parts = tempfile.mkdtemp(prefix=".parts-", dir=os.path.dirname(at))
+    try:
+        write_lines(df, f"file://{parts}")
+        with open(at, "wb") as out:
+            for name in sorted((x for x in os.listdir(parts) if x.startswith("part-")), key=lambda x: int(x.split("-")[1])):
+                with open(os.path.join(parts, name), "rb") as part:
+                    shutil.copyfileobj(part, out)
+    finally:
+        shutil.rmtree(parts)

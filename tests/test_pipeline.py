@@ -38,6 +38,25 @@ def test_dedup(spark, files):
     assert dedup.mark_duplicates(empty).count() == 0 and dedup.duplicate_totals(empty).first().n_groups == 0
 
 
+def test_whole_report(spark, tmp_path):
+    files = spark.range(4400).select("id", F.format_string("/f/%05d", "id").alias("path"), F.lit(3).cast("long").alias("size"), F.format_string("h%04d", F.col("id") % 1100).alias("hash"))
+    execute.write_file(dedup.report_lines(files), str(tmp_path / "report"))
+    lines = (tmp_path / "report").read_text().splitlines()
+    assert lines[:5] == ["DUPLICATE REPORT", "groups: 1,100", "duplicates: 3,300", "wasted: 9,900 bytes (0.01 MB, 0.00 GB)", "#1 h0000: 4 files of 3 bytes, original /f/00000, wasted 9 bytes"]
+    assert lines[-4:] == ["#1100 h1099: 4 files of 3 bytes, original /f/01099, wasted 9 bytes", "  duplicate /f/02199", "  duplicate /f/03299", "  duplicate /f/04399"] and len(lines) == 4 + 4400
+    assert dedup.report(files)[-1] == "100 more groups are not shown" and len(dedup.report(files)) == 1005
+    assert [p.name for p in tmp_path.iterdir()] == ["report"] and dedup.report_lines(files.limit(1)).count() == 0
+    odd = spark.createDataFrame([(1, "/a", None, "h"), (2, None, 5, "h")], "id long, path string, size long, hash string")
+    assert [r.value for r in dedup.report_lines(odd).collect()][4:] == ["#1 h: 2 files of unknown bytes, original /a, wasted unknown bytes", "  duplicate unknown"]
+
+
+def test_whole_tree(spark):
+    planned = spark.range(2100).select(F.format_string("/o/%04d/x", "id").alias("destination")).union(spark.createDataFrame([("/o/a/b/c/d/e/f/g",)], "destination string"))
+    lines = list(organize.tree_text(planned))
+    assert len(lines) == 1 + 2100 + 5 + 1 and lines[-1].strip() == "... (deeper folders not shown)"
+    assert organize.tree_lines(planned)[-1] == "106 more lines are not shown"
+
+
 def test_all_values_of_a_frequent_key(spark, tmp_path):
     rows = [(i, f"/d{i % 2}/f{i}/same.txt", 1) for i in range(50)] + [(50 + i, f"/a.{i}/g/n{i // 30}", 1) for i in range(30)] + [(80 + i, f"/d/h/m{i}.zz", 1) for i in range(30)]
     files = spark.createDataFrame(rows, "id long, path string, size long")

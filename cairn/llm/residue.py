@@ -28,7 +28,6 @@ TRAIN_DOCS = 20_000  #: documents whose cells are labelled for training, at most
 KEEP_NEGATIVE = 8  #: of negative training cells, one in so many
 BITS = 16
 THRESHOLD = 0.5
-LONGEST = 120  #: words up to which a text can be labelled by phrases; longer ones hold more than these
 
 # Slot forms, status titles, phrases and ordinary words of the weak labels.
 SLOT = re.compile(
@@ -122,7 +121,7 @@ CODE_LINE = re.compile(r"^\s*(?:%%?\w+|[!@]|[\w.\[\]']+\s*(?:<-|[+*]?=)\s|(?:imp
 class Text:
     """A cell's counts, from which its label and features come."""
 
-    __slots__ = ("plain", "marked", "slots", "words", "n", "title", "ordinary", "distinct", "most", "_items")
+    __slots__ = ("plain", "marked", "slots", "words", "n", "title", "ordinary", "distinct", "most", "_items", "_phrases")
 
     def __init__(self, raw: str):
         if "$" in raw:
@@ -141,6 +140,7 @@ class Text:
         self.distinct = len([1 for w in kinds if kinds[w]]) / max(1, self.n)
         self.most = max(kinds.values(), default=0) / max(1, self.n)
         self._items: bool | None = None
+        self._phrases: int | None = None
 
     @property
     def only_items(self) -> bool:
@@ -149,11 +149,22 @@ class Text:
             self._items = self.n < 60 and not ITEM.sub("", self.marked).strip()
         return self._items
 
+    @property
+    def phrases(self) -> int:
+        if self._phrases is None:
+            self._phrases = phrases(self.plain)
+        return self._phrases
+
+    @property
+    def mentions(self) -> bool:
+        """Whether a slot, phrase or status stands in running prose."""
+        return self.label() == 0 and bool(self.slots or self.phrases or self.n <= 45 and STATUS.match(self.title))
+
     def label(self) -> int | None:
         """1 for residue, 0 for content, None where the weak rules are silent."""
         if not self.plain:
             return None
-        phrase = phrases(self.plain) if self.n <= LONGEST else 0
+        phrase = self.phrases
         status = self.n <= 45 and STATUS.match(self.title)
         if self.slots and self.n - self.slots <= 7 * self.slots:
             return 1
@@ -283,7 +294,7 @@ def units(text: str) -> tuple[str, list[Text]]:
     """The form and what is judged: every text cell, or the prose of a plain text as a whole.
 
     A plain text has no marks between prose, code and output, so that code and printouts are left
-    out by their looks, and where any block is content the whole is.
+    out by their looks, and where any block is content the whole is: its form is content then.
     """
     form, cells = text_cells(text)
     if form != "plain":
@@ -293,19 +304,21 @@ def units(text: str) -> tuple[str, list[Text]]:
         return form, []
     parts = [Text(c) for c in blocks] if len(blocks) > 1 else []
     if content := [t for t in parts if t.n >= 5 and t.label() == 0 and not t.only_items]:
-        return form, content
+        return "content", content
     return form, [Text("\n\n".join(blocks))]
 
 
 def judge(text: str, model: Model) -> tuple[float, bool]:
     """The highest probability among a text's units, and whether the text is a case.
 
-    A unit counts unless it is running prose that only mentions such things.
+    A unit counts unless it is running prose that only mentions such things, or a block of a plain
+    text that is content as a whole.
     """
     best, case = 0.0, False
-    for t in units(text)[1]:
+    form, judged = units(text)
+    for t in judged:
         p = model.probability(t)
-        best, case = max(best, p), case or (p >= THRESHOLD and t.label() != 0)
+        best, case = max(best, p), case or (p >= THRESHOLD and form != "content" and not t.mentions)
     return best, case
 
 
@@ -326,7 +339,7 @@ def labelled(documents: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
             for text, host in zip(b.column("text"), b.column("unseen"), strict=True):
                 for t in units(text.as_py())[1]:
                     y = t.label()
-                    if y is None or y == 0 and not (t.slots or t.n <= LONGEST and phrases(t.plain)) and zlib.crc32(t.plain.encode()) % KEEP_NEGATIVE:
+                    if y is None or y == 0 and not (t.slots or t.phrases) and zlib.crc32(t.plain.encode()) % KEEP_NEGATIVE:
                         continue
                     unseen.append(host.as_py())
                     label.append(y)

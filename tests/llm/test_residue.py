@@ -1,5 +1,7 @@
 import json
 
+import numpy as np
+
 from cairn.llm import residue
 from cairn.llm.notebooks import text_cells
 from cairn.llm.residue import Text
@@ -43,6 +45,20 @@ def test_weak_labels():
     assert Text("").label() is None
 
 
+def test_only_mentions_are_vetoed():
+    model = residue.Model(np.append(np.zeros(1 << residue.BITS), 1.0))  # takes every text
+    unlisted = "The service behind this page is not there for now, so that nothing of it is shown to you."
+    assert Text(unlisted).label() == 0 and residue.judge(percent(unlisted), model)[1]
+    mention = "The letters of the dock began with lorem ipsum before the words of the author were put in, and none of it is left in the ones that we print here for the readers."
+    assert Text(mention).label() == 0 and not any(residue.judge(f"# %% [markdown]\n# {t}\n", model)[1] for t in GOOD | {mention} if "{{" in t or t == mention)
+    assert not residue.judge(f"{REAL}\n\n404 Not Found", model)[1]
+
+
+def test_phrases_count_in_texts_of_any_length():
+    filler = "This is placeholder copy for paragraph 1; the real one follows later."
+    assert [Text("\n\n".join([filler] * n)).label() for n in (1, 10, 11, 500)] == [1] * 4
+
+
 def test_documents(spark):
     rows, true = [], set()
     n = 0

@@ -200,6 +200,18 @@ def upsert_files(spark, d):
     return store.upsert_files(old, new, F.lit(NOW).cast("timestamp_ntz")).select("path", "size", "hash", "metadata_only", "is_duplicate", "scanned_at")
 
 
+def _before_last_date(spark, d, *columns: str):
+    last = _files(spark, d).agg(F.max(F.to_date("scanned_at")).alias("__cairn_last"))  # one row
+    early = _files(spark, d).crossJoin(F.broadcast(last)).where(F.to_date("scanned_at") < F.col("__cairn_last"))
+    return early.select(*columns or _files(spark, d).columns).distinct()
+
+
+def upsert_rescan(spark, d):
+    """A scan of every file put into the catalog as it was before the last scan date."""
+    new = _files(spark, d).select("path", (F.col("size") + 1).alias("size"), "mtime", "hash", "metadata_only")  # repeated deliveries count once there
+    return store.upsert_files(_before_last_date(spark, d), new, F.lit(NOW).cast("timestamp_ntz")).select("path", "size", "hash", "metadata_only", "is_duplicate", "scanned_at")
+
+
 def mark_dups(spark, d):
     files = _once(spark, d)
     marks = dedup.mark_duplicates(files).where("is_duplicate").select("path", F.col("original_path").alias("duplicate_of"))
@@ -225,6 +237,12 @@ def hash_cache(spark, d):
     return known.select("path", "hash").unionByName(todo.select("path", F.lit(None).cast("string").alias("hash")))
 
 
+def hash_cache_rescan(spark, d):
+    """Every file with the hash that the catalog knew before the last scan date; null where it is to be hashed."""
+    found = _once(spark, d, "id", "path", "mtime")
+    return store.with_cached_hashes(found, _before_last_date(spark, d, "path", "mtime", "hash")).select("path", "hash")
+
+
 def sidecars(spark, d):
     return execute.sidecars(_plan(spark, d).select("path", "destination", "size", "type"))
 
@@ -238,7 +256,7 @@ SPARK = {
     f.__name__: f
     for f in (
         dup_groups, dup_marked, dup_totals, dup_filtered, dup_names, dup_name_paths, dup_numbered, dup_report, dup_originals, run_summary, plan_folders, scan_filter, meta_only, hidden_filter, ignore_filter, package_items, package_sizes, classified, category_counts, path_metadata, date_like, owner_from_path,
-        plan, plan_collisions, legacy_plan, tree_counts, plan_prefix, plan_preview, plan_table, plan_rows, reclass_status, reclass_changes, reclass_other, upsert_files, mark_dups, append_ops, save_classes, hash_cache, sidecars, parse_size,
+        plan, plan_collisions, legacy_plan, tree_counts, plan_prefix, plan_preview, plan_table, plan_rows, reclass_status, reclass_changes, reclass_other, upsert_files, upsert_rescan, mark_dups, append_ops, save_classes, hash_cache, hash_cache_rescan, sidecars, parse_size,
     )
 }
 
@@ -312,6 +330,7 @@ rc AS (SELECT k.id, k.path, coalesce(l.category, 'unknown') AS old_category, l.c
 _UP = """up AS (SELECT string_split(path, '/') AS s, * FROM once WHERE path IS NOT NULL),
 dirs AS (SELECT *, unnest(list_transform(range(2, greatest(len(s) - 1, 2) + 1), lambda n: array_to_string(s[1:n], '/'))) AS dir FROM up)"""
 _NOW = f"TIMESTAMP '{NOW}'"
+_EARLIER = f"{_ONCE}, o AS (SELECT * FROM once WHERE scanned_at::DATE < (SELECT max(scanned_at::DATE) FROM once))"
 
 SQL = {
     "dup_groups": f"WITH {_HASHED} SELECT hash, n, original_path, original_size, original_size * (n - 1) AS wasted FROM o WHERE n > 1",
@@ -355,6 +374,10 @@ UNION ALL SELECT '  duplicate ' || coalesce(r.path, 'unknown') FROM r JOIN g ON
     "upsert_files": f"""WITH {_ONCE}, n0 AS (SELECT path, size + 1 AS size, mtime, hash, metadata_only FROM once WHERE scanned_at >= '2025-05-01' UNION ALL SELECT path, 7, mtime, hash, metadata_only FROM once WHERE id % 2 = 0),
 n AS (SELECT * FROM n0 WHERE path IS NOT NULL QUALIFY row_number() OVER (PARTITION BY path ORDER BY mtime DESC NULLS LAST, hash DESC NULLS LAST, size DESC NULLS LAST, metadata_only DESC NULLS LAST) = 1),
 o AS (SELECT * FROM once WHERE scanned_at < '2025-05-01')
+SELECT coalesce(n.path, o.path) AS path, CASE WHEN n.path IS NOT NULL THEN n.size ELSE o.size END AS size, CASE WHEN n.path IS NOT NULL THEN n.hash ELSE o.hash END AS hash,
+  coalesce(CASE WHEN n.path IS NOT NULL THEN n.metadata_only ELSE o.metadata_only END, false) AS metadata_only, coalesce(o.is_duplicate, false) AS is_duplicate, CASE WHEN n.path IS NOT NULL THEN {_NOW} ELSE o.scanned_at END AS scanned_at
+FROM o FULL JOIN n ON o.path = n.path""",
+    "upsert_rescan": f"""WITH {_EARLIER}, n AS (SELECT path, size + 1 AS size, mtime, hash, metadata_only FROM once WHERE path IS NOT NULL QUALIFY row_number() OVER (PARTITION BY path ORDER BY mtime DESC NULLS LAST, hash DESC NULLS LAST, size DESC NULLS LAST, metadata_only DESC NULLS LAST) = 1)
 SELECT coalesce(n.path, o.path) AS path, CASE WHEN n.path IS NOT NULL THEN n.size ELSE o.size END AS size, CASE WHEN n.path IS NOT NULL THEN n.hash ELSE o.hash END AS hash,
   coalesce(CASE WHEN n.path IS NOT NULL THEN n.metadata_only ELSE o.metadata_only END, false) AS metadata_only, coalesce(o.is_duplicate, false) AS is_duplicate, CASE WHEN n.path IS NOT NULL THEN {_NOW} ELSE o.scanned_at END AS scanned_at
 FROM o FULL JOIN n ON o.path = n.path""",
@@ -366,6 +389,8 @@ SELECT coalesce(n.file_id, l.file_id) AS file_id, coalesce(n.category, l.categor
 FROM latest l FULL JOIN n ON l.file_id = n.file_id""",
     "hash_cache": f"""WITH {_ONCE}, k AS (SELECT path, mtime, min(hash) AS hash FROM once WHERE size % 2 = 0 AND hash IS NOT NULL GROUP BY path, mtime)
 SELECT o.path, k.hash FROM once o LEFT JOIN k ON o.path = k.path AND o.mtime = k.mtime WHERE o.scanned_at >= '2025-01-01'""",
+    "hash_cache_rescan": f"""WITH {_EARLIER}, k AS (SELECT path, mtime, min(hash) AS hash FROM o WHERE hash IS NOT NULL GROUP BY path, mtime)
+SELECT once.path, k.hash FROM once LEFT JOIN k ON once.path = k.path AND once.mtime = k.mtime""",
     "sidecars": f"""WITH {_PLAN} SELECT destination || '.meta.json' AS path, '{{"original_path":' || to_json(path)::VARCHAR || coalesce(',"size":' || size, '') || ',"type":"' || type || '"}}' AS value FROM pl""",
     "parse_size": f"""WITH {_ONCE}, t AS (SELECT id, (size % 1000)::VARCHAR || (['', 'B', 'K', 'kb', 'MB', 'g', 'TB', ' x'])[size % 8 + 1] AS text, size % 1000 AS n, size % 8 AS u FROM once WHERE size IS NOT NULL)
 SELECT id, text, CASE u WHEN 7 THEN NULL ELSE n * ([1, 1, 1024, 1024, 1048576, 1073741824, 1099511627776, 0])[u + 1] END AS bytes FROM t""",

@@ -95,6 +95,12 @@ def cached_hashes(found: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFr
     return rows.join(known, same), rows.join(known, same, "left_anti")
 
 
+def with_cached_hashes(found: DataFrame, cache: DataFrame) -> DataFrame:
+    """found (path, mtime) with the hash known for that mtime, null where it is to be hashed; cached_hashes in one pass."""
+    known = cache.where("hash is not null").groupBy("path", "mtime").agg(F.min("hash").alias("hash"))
+    return found.drop("hash").join(known, ["path", "mtime"], "left")
+
+
 def cached_by_path(found: DataFrame, cache: DataFrame) -> DataFrame:
     """found with the hash that a path-only cache knows; its change times are not looked at."""
     known = cache.where("path is not null and hash is not null").groupBy("path").agg(F.max("hash").alias("hash"))

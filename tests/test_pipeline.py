@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cairn.operators import dedup, reclassify
 from cairn.plans import organize
-from cairn.queries import corpus
+from cairn.queries import corpus, pipeline
 from cairn.sinks import execute, store
 
 NOW = datetime(2025, 1, 1)
@@ -153,6 +153,16 @@ def test_store(spark, tmp_path):
     assert known.first().hash == "h" and todo.count() == 1
 
 
+def test_every_file_meets_the_earlier_catalog(spark, tmp_path):
+    days = [None, datetime(2024, 1, 3), datetime(2024, 1, 4), datetime(2025, 5, 14)]
+    rows = [(i, f"/f{i}", i, NOW, f"h{i}", False, False, days[i % 4]) for i in range(1, 9)]
+    kinds = "id long, path string, size long, mtime timestamp_ntz, hash string, metadata_only boolean, is_duplicate boolean, scanned_at timestamp_ntz"
+    spark.createDataFrame(rows, kinds).withColumn("duplicate_of", F.lit(None).cast("string")).write.parquet(f"{tmp_path}/files.parquet")
+    got = {r.path: r.hash for r in pipeline.SPARK["hash_cache_rescan"](spark, str(tmp_path)).collect()}
+    assert got == {f"/f{i}": f"h{i}" if i % 4 in (1, 2) else None for i in range(1, 9)}
+    assert {r.path: r.size for r in pipeline.SPARK["upsert_rescan"](spark, str(tmp_path)).collect()} == {f"/f{i}": i + 1 for i in range(1, 9)}
+
+
 def test_copy(spark, tmp_path):
     (tmp_path / "a.txt").write_text("x")
     (tmp_path / "there").write_text("old")

@@ -44,10 +44,11 @@ def _json_cells(text: str) -> list[tuple[str, str]] | None:
 
 
 def layout(text: str) -> str:
-    head = text.lstrip()[:4000]
-    if head.startswith("{") and '"cells"' in head:
-        return "json"
     a, b = PERCENT.search(text), PROMPT.search(text)
+    if text.lstrip()[:1] == "{":
+        key = text.find('"cells"')
+        if key >= 0 and (key < 4000 or not any(m and m.start() < key for m in (a, b))):
+            return "json"
     if a and not (b and b.start() < a.start()):
         return "percent"
     return "prompt" if b else "plain"

@@ -35,6 +35,7 @@ def test_cells_of_every_form():
     nb = {"cells": [{"cell_type": "markdown", "source": ["a\n", "b"]}, {"cell_type": "code", "source": "x"}, {"cell_type": "markdown", "source": "c"}], "nbformat": 4}
     assert text_cells(json.dumps(nb)) == ("json", ["a\nb", "c"])
     assert text_cells(json.dumps(nb)[:-30])[1][:1] == ["a\nb"]
+    assert text_cells(json.dumps({"metadata": {"x": "y" * 9000}} | nb)) == ("json", ["a\nb", "c"])
     assert text_cells("a\r\n\r\nb") == ("plain", ["a", "b"])
     assert text_cells("") == ("plain", [])
 

@@ -1,13 +1,15 @@
 """Template residue, filler, error pages and script notices where content should be.
 
-A linear classifier with an L2 penalty judges every text cell and every whole plain text, from hashed
-words, word pairs and letter triples, length and title features. It learns from weak labels: a
+A linear classifier with an L2 penalty decides about every text cell and every whole plain text, from
+hashed words, word pairs and letter triples, length and title features. It learns from weak labels: a
 response status as the title of a short text, phrases of such pages, slots that make up most of a
-text, and filler by its lack of ordinary words. A text that only mentions such things in running
-prose is labelled a negative. Labels come from a bounded sample of documents; some repositories
-("hosts") stay out of the training and measure it. Every document is judged.
+text, and filler by its lack of ordinary words; a text that only mentions such things in running prose
+is a negative. Labels are made for a bounded sample of documents, for training alone: no rule has a say
+in the judgement. Some repositories ("hosts") stay out of training; on them the threshold is tuned.
+Every document is judged.
 
-Null and empty texts are no cases. Repeated documents are judged alike. Ties do not arise.
+Null and empty texts are no cases. Repeated documents are judged alike. A score that equals the
+threshold makes a case.
 """
 
 from __future__ import annotations
@@ -24,10 +26,11 @@ from pyspark.sql import functions as F
 
 from cairn.llm.notebooks import text_cells
 
-TRAIN_DOCS = 20_000  #: documents whose cells are labelled for training, at most about so many
-KEEP_NEGATIVE = 8  #: of negative training cells, one in so many
+TRAIN_DOCS = 10_000  #: documents whose cells are labelled for training, at most about so many
+NEGATIVES = 5_000  #: of the plain negatives among their cells, about so many are kept; of hosts left out four times the part
 BITS = 16
-THRESHOLD = 0.5
+LENIENT = 1 / 6  #: where in a gap between content and residue the threshold lies
+LEAST_WORDS = 5  #: shorter blocks of a plain text are judged with the whole only
 
 # Slot forms, status titles, phrases and ordinary words of the weak labels.
 SLOT = re.compile(
@@ -155,11 +158,6 @@ class Text:
             self._phrases = phrases(self.plain)
         return self._phrases
 
-    @property
-    def mentions(self) -> bool:
-        """Whether a slot, phrase or status stands in running prose."""
-        return self.label() == 0 and bool(self.slots or self.phrases or self.n <= 45 and STATUS.match(self.title))
-
     def label(self) -> int | None:
         """1 for residue, 0 for content, None where the weak rules are silent."""
         if not self.plain:
@@ -200,15 +198,11 @@ def _word(w: str) -> np.ndarray:
     return got
 
 
-def _pairs(first: np.ndarray) -> np.ndarray:
-    return (first[:-1] * 40503 + first[1:] * 7919) & MASK
-
-
-def _shape(t: Text) -> np.ndarray:
-    """Length, title and make-up, each as one feature; their weight grows with the text."""
+def _shape(t: Text) -> list[int]:
+    """Length, make-up and title, each as one feature."""
     title = WORD.findall(t.title.lower())
     level = lambda name, x: _hash(f"{name}:{x}")
-    shape = [
+    return [
         level("n", min(12, int(np.log2(t.n + 1) * 2))),
         level("slots", min(8, int(16 * t.slots / max(1, t.n)))),
         level("ordinary", min(8, int(t.ordinary * 20))),
@@ -217,42 +211,22 @@ def _shape(t: Text) -> np.ndarray:
         level("items", t.only_items),
         level("lines", min(4, t.plain.count("\n"))),
         level("title", min(10, len(title))),
+        *(_hash("t" + w) for w in title if len(title) <= 8),
     ]
-    heads = [_hash("t" + w) for w in title] if len(title) <= 8 else []
-    return np.concatenate((np.array(heads, np.int64), np.repeat(np.array(shape, np.int64), 1 + t.n // 6)))
 
 
 def features(t: Text) -> np.ndarray:
-    """Indices of a text's features, an index as often as the feature occurs."""
-    each = [_word(w) for w in t.words]
-    return np.concatenate([*each, _pairs(np.array([a[0] for a in each], np.int64)), _shape(t)])
-
-
-class Model:
-    """Scores texts; the sum over a word's features is kept, so that a word costs one lookup."""
+    """Indices of a text's features, each once: text that repeats itself counts like one that does not."""
+    if not t.words:
+        return np.zeros(0, np.int64)
+    first = np.array([_word(w)[0] for w in t.words], np.int64)
+    pairs = (first[:-1] * 40503 + first[1:] * 7919) & MASK
+    return np.unique(np.concatenate([*map(_word, dict.fromkeys(t.words)), pairs, np.array(_shape(t), np.int64)]))
 
-    def __init__(self, weights: np.ndarray):
-        self.w, self.kept = weights.astype(np.float64), {}
 
-    def _of(self, word: str) -> tuple[int, int, float]:
-        got = self.kept.get(word)
-        if got is None:
-            if len(self.kept) > 400_000:
-                self.kept.clear()
-            x = _word(word)
-            got = self.kept[word] = (int(x[0]), len(x), float(self.w[x].sum()))
-        return got
-
-    def logit(self, t: Text) -> float:
-        if not t.n:
-            return -30.0
-        first, size, total = zip(*map(self._of, t.words))
-        pairs, shape = _pairs(np.array(first, np.int64)), _shape(t)
-        n = sum(size) + len(pairs) + len(shape)
-        return float((sum(total) + self.w[pairs].sum() + self.w[shape].sum()) / np.sqrt(n) + self.w[-1])
-
-    def probability(self, t: Text) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.logit(t), -30, 30))))
+def logit(weights: np.ndarray, x: np.ndarray) -> float:
+    """The score of a text's features; a text without words is no case."""
+    return float(weights[x].sum() / np.sqrt(len(x)) + weights[-1]) if len(x) else -30.0
 
 
 def fit(rows: list[np.ndarray], labels: np.ndarray, penalty: float = 1e-4, steps: int = 300) -> np.ndarray:
@@ -281,45 +255,37 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, penalty: float = 1e-4, steps
 def _no_prose(block: str) -> bool:
     """Whether a block of a plain text is code, a table or a printout."""
     lines = block.split("\n")
-    if STATUS.match(TAG.sub("", lines[0])):
-        return False
     if all(CODE_LINE.match(x) for x in lines) or sum(bool(GAPS.search(x)) for x in lines) * 2 >= len(lines):
         return True
     words = block.split()
     numbers = sum(w.strip("()[],:%").replace(".", "").isdigit() for w in words)
-    return numbers > 0.3 * len(words) or len(block) > 300 and " " not in block
+    return numbers > max(2, 0.3 * len(words)) or len(block) > 300 and " " not in block
 
 
 def units(text: str) -> tuple[str, list[Text]]:
-    """The form and what is judged: every text cell, or the prose of a plain text as a whole.
+    """The form and what is judged: every text cell; of a plain text its prose as a whole, then block by block.
 
-    A plain text has no marks between prose, code and output, so that code and printouts are left
-    out by their looks, and where any block is content the whole is: its form is content then.
+    A plain text has no marks between prose, code and output, so that code and printouts are left out
+    by their looks.
     """
     form, cells = text_cells(text)
     if form != "plain":
         return form, [t for t in map(Text, cells) if t.n or t.plain]
     blocks = [c for c in cells if not _no_prose(c)]
-    if not blocks:
-        return form, []
     parts = [Text(c) for c in blocks] if len(blocks) > 1 else []
-    if content := [t for t in parts if t.n >= 5 and t.label() == 0 and not t.only_items]:
-        return "content", content
-    return form, [Text("\n\n".join(blocks))]
+    return form, [Text("\n\n".join(blocks)), *(t for t in parts if t.n >= LEAST_WORDS)] if blocks else []
 
 
-def judge(text: str, model: Model) -> tuple[float, bool]:
-    """The highest probability among a text's units, and whether the text is a case.
+def judge(text: str, weights: np.ndarray, threshold: float) -> tuple[float, bool]:
+    """The score that decides about a text, and whether the text is a case.
 
-    A unit counts unless it is running prose that only mentions such things, or a block of a plain
-    text that is content as a whole.
+    A notebook is as bad as its worst cell. A plain text is a case as a whole or not at all: its score
+    is the least among the whole and its blocks.
     """
-    best, case = 0.0, False
     form, judged = units(text)
-    for t in judged:
-        p = model.probability(t)
-        best, case = max(best, p), case or (p >= THRESHOLD and form != "content" and not t.mentions)
-    return best, case
+    scores = [logit(weights, features(t)) for t in judged]
+    score = (min if form == "plain" else max)(scores, default=-30.0)
+    return score, score >= threshold
 
 
 def _hosted(documents: DataFrame) -> DataFrame:
@@ -332,16 +298,18 @@ def labelled(documents: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
     total = documents.count()
     part = min(1.0, train_docs / max(1, total))
     docs = _hosted(documents).where(F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 30)) < int(part * (1 << 30)))
+    thin = max(1, round(4 * part * total / NEGATIVES))  # a document has about four cells that are content
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             unseen, label, xs = [], [], []
-            for text, host in zip(b.column("text"), b.column("unseen"), strict=True):
-                for t in units(text.as_py())[1]:
+            for text, host in zip(b.column("text"), b.column("unseen").to_pylist(), strict=True):
+                form, judged = units(text.as_py())
+                for t in judged[:1] if form == "plain" else judged:  # blocks of plain texts are no units of their own
                     y = t.label()
-                    if y is None or y == 0 and not (t.slots or t.phrases) and zlib.crc32(t.plain.encode()) % KEEP_NEGATIVE:
+                    if y is None or y == 0 and not (t.slots or t.phrases) and zlib.crc32(t.plain.encode()) % (max(1, thin // 4) if host else thin):
                         continue
-                    unseen.append(host.as_py())
+                    unseen.append(host)
                     label.append(y)
                     xs.append(features(t).astype(np.int32))
             yield pa.RecordBatch.from_arrays([pa.array(unseen, pa.bool_()), pa.array(label, pa.int32()), pa.array(xs, pa.list_(pa.int32()))], names=["unseen", "label", "x"])
@@ -349,35 +317,56 @@ def labelled(documents: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
     return docs.mapInArrow(run, "unseen boolean, label int, x array<int>")
 
 
+def tune(scores: np.ndarray, labels: np.ndarray) -> float:
+    """The threshold with the fewest errors on texts of unseen hosts.
+
+    Of the intervals of thresholds that are as good it takes the widest, and there a point near the lower
+    end: residue of a wording that no label knows scores lower than what was learned, content of unseen
+    hosts as low as any.
+    """
+    if not len(scores) or labels.min() == labels.max():
+        return 0.0
+    order = np.argsort(scores)
+    s, y = scores[order], labels[order]
+    # cutting before place k: residue below it is missed, content from it on is taken wrongly
+    errors = np.concatenate(([0], np.cumsum(y == 1))) + np.concatenate((np.cumsum((y == 0)[::-1])[::-1], [0]))
+    edges = np.concatenate(([s[0] - 1.0], s, [s[-1] + 1.0]))
+    best = np.flatnonzero(errors == errors.min())
+    k = best[np.argmax(edges[best + 1] - edges[best])]
+    return float(edges[k] + (edges[k + 1] - edges[k]) * LENIENT)
+
+
 def train(documents: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[np.ndarray, dict[str, float]]:
-    """Weights, and how they do on the hosts that were kept out."""
+    """Weights, and how they do on the hosts that were kept out, with the threshold tuned there."""
     got = labelled(documents, train_docs).toArrow()  # bounded by train_docs
     y = got.column("label").to_numpy().astype(np.int64)
     unseen = np.array(got.column("unseen").to_pylist(), bool)
-    xs = [np.array(x, np.int64) for x in got.column("x").to_pylist()]
+    flat = got.column("x").combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int32()))
+    at, ends = flat.values.to_numpy(), flat.offsets.to_numpy()
+    xs = [at[a:b].astype(np.int64) for a, b in zip(ends[:-1], ends[1:])]
     keep = [i for i in np.flatnonzero(~unseen) if len(xs[i])]
-    weights = fit([xs[i] for i in keep], y[keep]) if len(xs) else fit([], np.zeros(0))
-    score = lambda x: weights[x].sum() / np.sqrt(len(x)) + weights[-1]
-    p = np.array([len(xs[i]) > 0 and score(xs[i]) > 0 for i in np.flatnonzero(unseen)], bool)
-    t = y[unseen] == 1
+    weights = fit([xs[i] for i in keep], y[keep])
+    z = np.array([logit(weights, xs[i]) for i in np.flatnonzero(unseen)])
+    threshold = tune(z, y[unseen])
+    p, t = z >= threshold, y[unseen] == 1
     hit = int((p & t).sum())
-    return weights, {"train": len(keep), "held_out": int(unseen.sum()), "positives": int(t.sum()), "precision": hit / max(1, int(p.sum())), "recall": hit / max(1, int(t.sum()))}
+    return weights, {"train": len(keep), "held_out": len(z), "positives": int(t.sum()), "threshold": threshold, "precision": hit / max(1, int(p.sum())), "recall": hit / max(1, int(t.sum()))}
 
 
 def judged(documents: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
-    """doc_id, the highest probability of residue among a document's units, and whether it is a case."""
-    weights, _ = train(documents, train_docs)
-    kept = documents.sparkSession.sparkContext.broadcast(weights.astype(np.float32))  # 2**BITS numbers
+    """doc_id, the score that decides about a document, and whether it is a case."""
+    weights, m = train(documents, train_docs)
+    kept = documents.sparkSession.sparkContext.broadcast(weights)  # 2**BITS numbers
+    threshold = m["threshold"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(kept.value)
         for b in batches:
-            got = [judge(text.as_py(), model) for text in b.column("text")]
-            best, case = [p for p, _ in got], [c for _, c in got]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(best, pa.float64()), pa.array(case, pa.bool_())], names=["doc_id", "p", "residue"])
+            got = [judge(text.as_py(), kept.value, threshold) for text in b.column("text")]
+            score, case = [s for s, _ in got], [c for _, c in got]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(score, pa.float64()), pa.array(case, pa.bool_())], names=["doc_id", "score", "residue"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return _hosted(documents).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, p double, residue boolean")
+    return _hosted(documents).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, residue boolean")
 
 
 def residue_documents(documents: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
@@ -385,6 +374,6 @@ def residue_documents(documents: DataFrame, train_docs: int = TRAIN_DOCS) -> Dat
 
 
 def validation(documents: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
-    """One row: sizes, precision and recall against the weak labels of unseen hosts."""
+    """One row: sizes, threshold, and precision and recall against the weak labels of unseen hosts."""
     _, m = train(documents, train_docs)
-    return documents.sparkSession.createDataFrame([tuple(m.values())], "train long, held_out long, positives long, precision double, recall double")
+    return documents.sparkSession.createDataFrame([tuple(m.values())], "train long, held_out long, positives long, threshold double, precision double, recall double")

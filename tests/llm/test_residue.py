@@ -46,13 +46,63 @@ def test_weak_labels():
     assert Text("").label() is None
 
 
-def test_only_mentions_are_vetoed():
-    model = residue.Model(np.append(np.zeros(1 << residue.BITS), 1.0))  # takes every text
-    unlisted = "The service behind this page is not there for now, so that nothing of it is shown to you."
-    assert Text(unlisted).label() == 0 and residue.judge(percent(unlisted), model)[1]
-    mention = "The letters of the dock began with lorem ipsum before the words of the author were put in, and none of it is left in the ones that we print here for the readers."
-    assert Text(mention).label() == 0 and not any(residue.judge(f"# %% [markdown]\n# {t}\n", model)[1] for t in GOOD | {mention} if "{{" in t or t == mention)
-    assert not residue.judge(f"{REAL}\n\n404 Not Found", model)[1]
+def test_scores_alone_decide():
+    bias = np.append(np.zeros(1 << residue.BITS), 1.0)  # takes every text
+    assert all(residue.judge(percent(t), bias, 0.5)[1] for t in GOOD | BAD) and not any(residue.judge(percent(t), bias, 1.5)[1] for t in GOOD | BAD)
+    weights = bias.copy()
+    weights[[residue._word(w)[0] for w in Text(REAL).words]] = -9.0
+    assert residue.judge(percent(REAL, "404 Not Found"), weights, 0.0)[1]
+    assert not residue.judge(f"{REAL}\n\n404 Not Found", weights, 0.0)[1]  # as a whole it is none
+    assert residue.judge("", bias, 0.0) == (-30.0, False)
+
+
+def test_threshold_lies_low_in_the_widest_best_gap():
+    z, y = np.array([-3.0, -1.0, 2.0, 5.0]), np.array([0, 0, 1, 1])
+    assert residue.tune(z, y) == -1.0 + 3 * residue.LENIENT
+    assert residue.tune(np.array([-2.0, -1.0, 0.0, 4.0]), np.array([0, 1, 0, 1])) == 4 * residue.LENIENT
+    assert residue.tune(z[:0], y[:0]) == 0.0 == residue.tune(z, np.zeros(4, int))
+
+
+# Families of phrases, by the key words of their patterns, each left out of the labels in turn.
+FAMILIES = {
+    "script notices": ("script", "scripting", "checking your"),
+    "placeholders": ("placeholder",),
+    "sample texts": ("text", "paragraph", "lorem", "section", "heading", "point", "title"),
+    "instructions": ("write your", "click to", "in this cell", "instructions", "sentences", "describe your", "caption of", "your code", "ici", "aqu"),
+    "error sentences": ("too long to", "occurred", "could not be loaded", "has been moved", "permission to view", "sign in to", "too many requests", "contact support", "come back", "go back", "n'existe plus", "ya no existe", "nicht mehr verf", "existe mais", "working on it", "check back soon", "try again in", "could not render", "has expired", "down for"),
+}
+
+
+def test_families_that_were_never_labelled(monkeypatch):
+    """Whole families of wording leave the labels, and their cells the training; scores alone must find them."""
+    import pathlib
+    import zlib
+
+    import pyarrow.parquet as pq
+    import pytest
+
+    at = pathlib.Path("/root/testdata/sf0.1/documents.parquet")
+    if not at.exists():
+        pytest.skip("the driver's tables are not here")
+    phrases, cells = residue.PHRASES, []
+    for text in pq.read_table(at, columns=["text"]).column("text").to_pylist():
+        if text:
+            form, judged = residue.units(text)
+            for t in judged[:1] if form == "plain" else judged:
+                y = t.label()
+                if y == 1 or y == 0 and zlib.crc32(t.plain.encode()) % 8 == 0:
+                    cells.append((t.plain, y, residue.features(t)))
+    y, found, of = np.array([c[1] for c in cells]), {}, {}
+    for family, keys in FAMILIES.items():
+        monkeypatch.setattr(residue, "PHRASES", tuple(p for p in phrases if p[0] not in keys))
+        gone = {i for i, (plain, y, _) in enumerate(cells) if y == 1 and Text(plain).label() != 1}
+        keep = [i for i in range(len(cells)) if i not in gone]
+        weights = residue.fit([cells[i][2] for i in keep], y[keep], steps=150)
+        z = np.array([residue.logit(weights, cells[i][2]) for i in keep])
+        threshold = residue.tune(z, y[keep])
+        found[family], of[family] = sum(residue.logit(weights, cells[i][2]) >= threshold for i in gone), len(gone)
+    print({f: f"{found[f]} of {n}" for f, n in of.items()})
+    assert sum(of.values()) > 100 and sum(found.values()) >= 0.9 * sum(of.values())
 
 
 def test_phrases_count_in_texts_of_any_length():
@@ -75,5 +125,5 @@ def test_documents(spark):
     docs = spark.createDataFrame([(*r, 0.5) for r in rows], "doc_id long, text string, repo string, source string, p double")
     assert {r[0] for r in residue.residue_documents(docs).collect()} == true
     v = residue.validation(docs).first()
-    assert v.precision > 0.9 and v.recall > 0.9
+    assert v.precision > 0.9 and v.recall > 0.9 and v.positives > 0
     assert residue.residue_documents(docs.limit(0)).count() == 0

@@ -51,12 +51,14 @@ def pack(loads: list[tuple[float, object]], tasks: int) -> tuple[list[tuple[obje
     return placed, [x for x, _ in sorted(heap, key=lambda x: x[1])]
 
 
-def plan_fragments(df: DataFrame, key: str, tasks: int | None = None, fair: float = 0.5, tracked: int | None = None) -> FragmentPlan:
+def plan_fragments(df: DataFrame, key: str, tasks: int | None = None, fair: float = 0.5, tracked: int | None = None, power: int = 1) -> FragmentPlan:
     """Estimate the load of each key and lay keys out on tasks.
 
     fair: the part of a task's mean load from which a key is placed by itself; from a whole mean
     load on it is cut into shards. tracked: counters of the sketch, whose error is about
-    rows / tracked; eight a task by default, at least 4096. An empty df gives a plan without heavy keys.
+    rows / tracked; eight a task by default, at least 4096. power: 2 where a key's load is the square of
+    its rows, as when df meets a table of the same kind; keys are then counted without a sketch. An
+    empty df gives a plan without heavy keys.
     """
     spark = df.sparkSession
     tasks = tasks or shuffle_tasks(spark)
@@ -65,13 +67,21 @@ def plan_fragments(df: DataFrame, key: str, tasks: int | None = None, fair: floa
     most = min(int(tasks / fair) + 1, tracked)
     k = df.select(F.col(key).alias("k"))
     kind = k.schema["k"].dataType.simpleString()
-    top, rows, keyed = k.agg(F.expr(f"approx_top_k(k, {most}, {tracked})"), F.count(F.lit(1)), F.count("k")).first()
-    target = max(1.0, keyed / tasks)
-    heavy = {r["item"]: float(r["count"]) for r in top or [] if r["item"] is not None and r["count"] >= fair * target}
+    bucket = F.pmod(F.xxhash64("k"), F.lit(buckets)).alias("b")
+    if power == 1:
+        top, rows, keyed = k.agg(F.expr(f"approx_top_k(k, {most}, {tracked})"), F.count(F.lit(1)), F.count("k")).first()
+        target = max(1.0, keyed / tasks)
+        heavy = {r["item"]: float(r["count"]) for r in top or [] if r["item"] is not None and r["count"] >= fair * target}
+        each = k.where("k is not null").withColumn("load", F.lit(1))
+    else:
+        rows = k.count()
+        each = k.where("k is not null").groupBy("k").agg(F.pow(F.count(F.lit(1)).cast("double"), F.lit(power)).alias("load"))
+        target = max(1.0, (each.agg(F.sum("load")).first()[0] or 0.0) / tasks)
+        heavy = {r["k"]: r["load"] for r in each.where(F.col("load") >= fair * target).collect()}  # at most tasks / fair
     counts = [0.0] * buckets
-    by = k.where("k is not null").groupBy(F.pmod(F.xxhash64("k"), F.lit(buckets)).alias("b"), *([F.col("k").isin(list(heavy)).alias("h")] if heavy else [F.lit(False).alias("h")]))
-    for b, h, n in by.agg(F.count(F.lit(1))).collect():  # at most two rows a bucket
-        counts[b] += 0 if h else n
+    is_heavy = F.col("k").isin(list(heavy)) if heavy else F.lit(False)
+    for b, n in each.where(~is_heavy).groupBy(bucket).agg(F.sum("load")).collect():  # at most a row a bucket
+        counts[b] += n
     items: list[tuple[float, object]] = [(n, ("bucket", b)) for b, n in enumerate(counts)]
     for value, n in heavy.items():
         parts = min(tasks, max(1, ceil(n / target)))

@@ -3,6 +3,7 @@ import re
 from datetime import datetime, timedelta
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from cairn.catalog import content
 from cairn.llm import history
@@ -68,17 +69,62 @@ def test_known_ids_equal_brute_force(spark):
     assert {r.id for r in history.known_ids(f, x.limit(0)).collect()} == brute(files, [])
 
 
-def test_batch_after_batch_equals_one_pass(spark, tmp_path):
+def test_batch_after_batch_equals_one_pass(spark, tmp_path, monkeypatch):
     files, excerpts = data(3, 160)
-    days = sorted({d.date() for _, _, d, *_ in files if d})[:4]
+    days = sorted({d.date() for _, _, d, *_ in files if d})[:6]
     files = [r for r in files if r[2] and r[2].date() in days]
-    index = history.HistoryIndex(spark, f"file://{tmp_path}/index", buckets=3)
-    got = set()
-    for day in days:
-        batch, x = frames(spark, [r for r in files if r[2].date() == day], excerpts)
-        got |= {r.id for r in index.check(batch, x).collect()}
-        index.append(batch, x)
-    assert got == brute(files, excerpts)
+    for small, to in ((history.SMALL, 4), (0, 6)):  # batches that are broadcast, and batches laid out by load
+        monkeypatch.setattr(history, "SMALL", small)
+        index = history.HistoryIndex(spark, f"file://{tmp_path}/index{small}", bucket_rows=32)
+        got = set()
+        for day in days[:to]:
+            batch, x = frames(spark, [r for r in files if r[2].date() == day], excerpts)
+            got |= {r.id for r in index.check(batch, x).collect()}
+            index.append(batch, x)
+        assert got == brute([r for r in files if r[2].date() in days[:to]], excerpts)
+        assert len(index.segments()) < to  # merged
+        index.remove()
+    assert not list(tmp_path.iterdir())
+
+
+def scanned(df):
+    """Bytes of the files that a scan opens."""
+    df.sparkSession.conf.set("spark.sql.adaptive.enabled", "false")
+    plan = df._jdf.queryExecution().executedPlan()
+    plan.execute().count()
+    df.sparkSession.conf.set("spark.sql.adaptive.enabled", "true")
+    leaves = plan.collectLeaves()
+    return sum(leaves.apply(i).metrics().apply("filesSize").value() for i in range(leaves.size()))
+
+
+def test_reads_follow_the_batch(spark, tmp_path):
+    """The same batch against 1, 4 and 16 times the history reads nearly the same bytes."""
+    r = random.Random(5)
+    day, read = datetime(2024, 1, 1), {}
+    text = lambda: " ".join(f"w{r.randrange(40_000)}" for _ in range(12))
+    batch = [(10**6 + i, f"{r.getrandbits(256):064x}", day + timedelta(days=50), "q", 1) for i in range(4)]
+    b, x = frames(spark, batch, [(i, text(), 0) for i, *_ in batch])
+    for times in (1, 4, 16):
+        n = 250 * times
+        files = [(i, f"{r.getrandbits(256):064x}", day, "q", 1) for i in range(n)]
+        index = history.HistoryIndex(spark, f"file://{tmp_path}/{times}", bucket_rows=64)
+        index.append(*frames(spark, files, [(i, text(), 0) for i in range(n)]))
+        rows, held, sets = index._entries(b, x)
+        new = history.postings(sets.select("c1", "first", "ranked"))
+        parts = [index.read("contents", rows, "content"), index.read("postings", new, "token"), index.read("sets", sets, "c1")]
+        read[times] = sum(map(scanned, parts))
+        whole = sum(f.stat().st_size for f in (tmp_path / str(times)).rglob("*.parquet"))
+        print(times, read[times], whole)
+    assert read[16] < 2 * read[1] and read[16] < whole / 3
+
+
+def test_a_word_that_many_sets_hold(spark):
+    """A hot word is cut: its meetings are spread over the tasks."""
+    from cairn.operators.skew import plan_fragments
+
+    sets = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id")).alias("token"))
+    plan = plan_fragments(sets, "token", tasks=8, power=2)
+    assert len(dict(plan.split)[7]) == 8 and max(plan.load) < 2 * sum(plan.load) / 8
 
 
 def test_content_forms(spark):

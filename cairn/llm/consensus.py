@@ -2,10 +2,14 @@
 
 trusted() takes each field from the row that can be trusted most, by given rules. consensus() builds
 the group's common value and picks the existing value closest to it: the values' tokens are aligned
-progressively, most frequent value first; every value votes with its weight in each column; the
-winning tokens make the consensus. A group of any size keeps all votes: its GUIDE most frequent values
-set up the columns, and all others are aligned to these in parallel, their votes summed by the
-cluster. Values equal as strings are aligned once, with their summed weight.
+progressively, heaviest value first; every value votes with its weight in each column; the winning
+tokens make the consensus. survivors() does so for every field, with the trust in a row as its weight.
+
+A value with half of the weight wins every column and needs no alignment. In a group of any other size
+all votes count: its GUIDE heaviest values set up columns one after the other, and all others are
+aligned to these in parallel. A token between two columns opens a place of its own there, counted by
+its offset; it stays if it outweighs the values that have none. Votes are summed by the cluster.
+Values equal as strings are aligned once, with their summed weight.
 
 Null values have no vote; a group without values has no row in consensus(), and zeros in trusted().
 Ties go to the smallest id. Repeated rows count once. Empty tables give empty results.
@@ -17,6 +21,7 @@ import json
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,11 +32,16 @@ from cairn.session import cut
 
 GUIDE = 24
 GAP = -0.4
-CELLS = 4_000_000  #: columns times tokens up to which values are aligned in full; see Profile.place
-FAR = 25_000_000  #: the same in characters for the edit distance
+CELLS = 1 << 24  #: cells of an alignment kept at once; larger ones are divided, with the same score
+COLUMN = 1 << 30  #: offset of a column's own place, behind the tokens inserted before it
 TOKEN = re.compile(r"[^\W_]+|[\W_]")
 
 
+def _sound() -> Column:
+    """Whether a row's mtime is not null, of 1970 or after the row's own scan."""
+    return F.col("mtime").isNotNull() & (F.year("mtime") != 1970) & ~F.coalesce(F.col("mtime") > F.col("scanned_at"), F.lit(False))
+
+
 def trusted(files: DataFrame, classifications: DataFrame) -> DataFrame:
     """content_hash, mtime_id, path_id and classification_id of every content that several ids hold.
 
@@ -44,11 +54,10 @@ def trusted(files: DataFrame, classifications: DataFrame) -> DataFrame:
     best = known.where("id is not null").groupBy(F.col("file_id").alias("id")).agg(F.max(rank).alias("best"))
     rows = files.where("id is not null").select("id", content("hash").alias("content_hash"), "mtime", "scanned_at", F.regexp_count("path", F.lit("/")).alias("depth"))
     rows = rows.where("content_hash is not null")
-    sound = F.col("mtime").isNotNull() & (F.year("mtime") != 1970) & ~F.coalesce(F.col("mtime") > F.col("scanned_at"), F.lit(False))
     rows = rows.select(
         "id",
         "content_hash",
-        F.when(sound, F.struct("mtime", (-F.col("id")).alias("low"))).alias("m"),
+        F.when(_sound(), F.struct("mtime", (-F.col("id")).alias("low"))).alias("m"),
         F.when(F.col("depth").isNotNull(), F.struct("depth", "id")).alias("p"),
     )
     grouped = rows.join(best, "id", "left").groupBy("content_hash")
@@ -57,64 +66,116 @@ def trusted(files: DataFrame, classifications: DataFrame) -> DataFrame:
     return got.select("content_hash", zero(-F.col("m.low")).alias("mtime_id"), zero(F.col("p.id")).alias("path_id"), zero(-F.col("c.low")).alias("classification_id"))
 
 
+def _scores_of(gains: Iterator[np.ndarray], skip: np.ndarray, m: int) -> np.ndarray:
+    """The best score of all columns against each beginning of m tokens; gains gives the columns' rows."""
+    step = GAP * np.arange(m + 1)
+    row = step.copy()
+    for g, s in zip(gains, skip):
+        alone = row + s
+        alone[1:] = np.maximum(alone[1:], row[:-1] + g)
+        row = np.maximum.accumulate(alone - step) + step
+    return row
+
+
+def _paths(gain: np.ndarray, skip: np.ndarray, size: np.ndarray) -> list[list[tuple[int | None, int | None]]]:
+    """Pairs (column, token number) of the best alignment of each value, None for a gap.
+
+    gain: column, value, token; size: the tokens of each value, the rest being padding.
+    """
+    n, many, m = gain.shape
+    step = GAP * np.arange(m + 1)
+    row = np.tile(step, (many, 1))
+    way = np.full((n + 1, many, m + 1), 2, np.int8)  # 0 both, 1 the column alone, 2 the token alone
+    for i in range(n):
+        alone = row + skip[i]
+        both = np.full_like(alone, -np.inf)
+        both[:, 1:] = row[:, :-1] + gain[i]
+        shifted = np.maximum(alone, both) - step
+        reached = np.maximum.accumulate(shifted, axis=1)
+        way[i + 1] = np.where(reached > shifted, 2, np.where(both >= alone, 0, 1))
+        row = reached + step
+    out = []
+    for v in range(many):
+        i, j, path = n, int(size[v]), []
+        while i or j:
+            w = way[i, v, j]
+            i, j = i - (w != 2), j - (w != 1)
+            path.append((i if w != 2 else None, j if w != 1 else None))
+        out.append(path[::-1])
+    return out
+
+
 class Profile:
     """Columns of an alignment: for each the weight of every token, '' where a value has none."""
 
     def __init__(self, columns: list[dict[str, float]] | None = None, weight: float = 0.0):
         self.columns, self.weight = columns or [], weight
-
-    def place(self, tokens: list[str]) -> list[tuple[int | None, int | None]]:
-        """Pairs (column, token number), None for a gap, of the best global alignment.
-
-        Where columns times tokens exceed CELLS, what begins and ends alike is matched from both
-        ends, and the middle place by place with the surplus as gaps.
-        """
-        cols, n, m = self.columns, len(self.columns), len(tokens)
-        if n * m > CELLS:
-            return self._place_long(tokens)
-        total = max(self.weight, 1e-9)
-        gain = [[c.get(t, 0.0) / total for t in tokens] for c in cols]
-        score = [[GAP * j for j in range(m + 1)]]
-        for i in range(1, n + 1):
-            up, g, row = score[-1], gain[i - 1], [GAP * i]
+        self._index: tuple[dict[str, int], np.ndarray, np.ndarray] | None = None
+
+    def _table(self) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
+        """Numbers of the known tokens, their gain in each column (the last is that of unknown ones), and the cost of leaving a column out."""
+        if self._index is None:
+            total = max(self.weight, 1e-9)
+            known = {t: k for k, t in enumerate(dict.fromkeys(t for c in self.columns for t in c if t))}
+            gain = np.zeros((len(self.columns), len(known) + 1))
+            for i, c in enumerate(self.columns):
+                for t, w in c.items():
+                    if t:
+                        gain[i, known[t]] = w / total
             # leaving out a column that most values leave out costs little
-            skip = GAP * (1 - cols[i - 1].get("", 0.0) / total)
-            for j in range(1, m + 1):
-                row.append(max(up[j - 1] + g[j - 1], up[j] + skip, row[j - 1] + GAP))
-            score.append(row)
-        path: list[tuple[int | None, int | None]] = []
-        i, j = n, m
-        while i or j:
-            skip = GAP * (1 - cols[i - 1].get("", 0.0) / total) if i else 0.0
-            if i and j and score[i][j] == score[i - 1][j - 1] + gain[i - 1][j - 1]:
-                i, j = i - 1, j - 1
-                path.append((i, j))
-            elif i and (not j or score[i][j] == score[i - 1][j] + skip):
-                i -= 1
-                path.append((i, None))
+            skip = np.array([GAP * (1 - c.get("", 0.0) / total) for c in self.columns])
+            self._index = known, gain, skip
+        return self._index
+
+    def numbered(self, tokens: list[str]) -> tuple[int, ...]:
+        """The tokens by number; all that no column knows have one, since they gain nothing anywhere."""
+        known = self._table()[0]
+        return tuple(known.get(t, len(known)) for t in tokens)
+
+    def place(self, values: list[tuple[int, ...]]) -> list[list[tuple[int | None, int | None]]]:
+        """The best global alignment of each value with the columns, many values at a time."""
+        _, gain, skip = self._table()
+        out: dict[int, list] = {}
+        order = sorted(range(len(values)), key=lambda k: len(values[k]))
+        at = 0
+        while at < len(order):
+            to = at + 1
+            while to < len(order) and (to - at + 1) * (len(skip) + 1) * (len(values[order[to]]) + 1) <= CELLS // 8:
+                to += 1
+            some = [values[k] for k in order[at:to]]
+            m = len(some[-1])
+            if len(some) == 1 and (len(skip) + 1) * (m + 1) > CELLS:
+                out[order[at]] = self._divided(np.array(some[0], np.int64), 0, len(skip), 0)
             else:
-                j -= 1
-                path.append((None, j))
-        return path[::-1]
-
-    def _place_long(self, tokens: list[str]) -> list[tuple[int | None, int | None]]:
-        n, m = len(self.columns), len(tokens)
-        tail = 0
-        while tail < min(n, m) and tokens[m - 1 - tail] in self.columns[n - 1 - tail]:
-            tail += 1
-        both = min(n, m) - tail
-        out: list[tuple[int | None, int | None]] = [(k, k) for k in range(both)]
-        out += [(k, None) for k in range(both, n - tail)] + [(None, k) for k in range(both, m - tail)]
-        return out + [(n - k, m - k) for k in range(tail, 0, -1)]
+                ids = np.full((len(some), m), gain.shape[1] - 1)
+                for k, v in enumerate(some):
+                    ids[k, : len(v)] = v
+                for k, path in zip(order[at:to], _paths(gain[:, ids], skip, np.array([len(v) for v in some]))):
+                    out[k] = path
+            at = to
+        return [out[k] for k in range(len(values))]
+
+    def _divided(self, ids: np.ndarray, a: int, b: int, offset: int) -> list[tuple[int | None, int | None]]:
+        """The same for one long value: columns a to b are halved where both halves score best together."""
+        _, gain, skip = self._table()
+        if b - a == 1 or (b - a + 1) * (len(ids) + 1) <= CELLS:
+            path = _paths(gain[a:b, ids[None, :]], skip[a:b], np.array([len(ids)]))[0]
+            return [(None if i is None else i + a, None if j is None else j + offset) for i, j in path]
+        mid = (a + b) // 2
+        rows = lambda span, x: (gain[i, x] for i in span)
+        left = _scores_of(rows(range(a, mid), ids), skip[a:mid], len(ids))
+        right = _scores_of(rows(range(b - 1, mid - 1, -1), ids[::-1]), skip[mid:b][::-1], len(ids))[::-1]
+        j = int(np.argmax(left + right))
+        return self._divided(ids[:j], a, mid, offset) + self._divided(ids[j:], mid, b, offset + j)
 
     def add(self, tokens: list[str], weight: float) -> None:
         out = []
-        for i, j in self.place(tokens):
+        for i, j in self.place([self.numbered(tokens)])[0]:
             column = self.columns[i] if i is not None else {"": self.weight} if self.weight else {}
             t = tokens[j] if j is not None else ""
             column[t] = column.get(t, 0.0) + weight
             out.append(column)
-        self.columns, self.weight = out, self.weight + weight
+        self.columns, self.weight, self._index = out, self.weight + weight, None
 
     def consensus(self) -> str:
         """The heaviest token of each column; ties go to the value that came first."""
@@ -129,37 +190,44 @@ def aligned(values: list[tuple[str, float]]) -> Profile:
     return p
 
 
-def common_value(values: list[tuple[str, float]]) -> str:
-    """The consensus of values; one with half of the weight wins or ties, being first, in every column."""
-    first, w = min(values, key=lambda x: (-x[1], x[0]))
-    return first if 2 * w >= sum(x for _, x in values) else aligned(values).consensus()
+def slots(path: list[tuple[int | None, int | None]]) -> Iterator[tuple[int, int, int | None]]:
+    """column, offset and token number of each step of an alignment: COLUMN for the column itself, 1, 2, ... for what is inserted before it."""
+    at = inserted = 0
+    for i, j in path:
+        if i is None:
+            inserted += 1
+            yield at, inserted, j
+        else:
+            yield i, COLUMN, j
+            at, inserted = i + 1, 0
 
 
 def consensus(rows: DataFrame, group: str, value: str, row_id: str, weight: Column | str | None = None, guide: int = GUIDE) -> DataFrame:
     """group, consensus, closest and closest_id: the common value and the existing one nearest to it.
 
-    weight, 1 by default, is a row's vote; null and negative weights count as 0. Nearness is the edit
-    distance by characters; where both lengths multiplied exceed FAR, equality and then the
-    difference of lengths stand for it.
+    weight, 1 by default, is a row's vote; null and negative weights count as 0, and a group all of whose
+    weights are 0 goes to its smallest value. Nearness is the edit distance by characters.
     """
     w = F.lit(1.0) if weight is None else F.greatest(F.coalesce(F.col(weight) if isinstance(weight, str) else weight, F.lit(0.0)).cast("double"), F.lit(0.0))
     once = rows.where(F.col(group).isNotNull() & F.col(value).isNotNull() & F.col(row_id).isNotNull()).select(F.col(group).alias("g"), F.col(value).alias("v"), F.col(row_id).alias("i"), w.alias("w")).groupBy("g", "v", "i").agg(F.max("w").alias("w"))
     values = cut(once.groupBy("g", "v").agg(F.sum("w").alias("w"), F.min("i").alias("i")))
+    kind = values.schema["g"].dataType.simpleString()
+
+    tops = values.groupBy("g").agg(F.min(F.struct((-F.col("w")).alias("w"), "v", "i")).alias("top"), F.sum("w").alias("total"), F.count(F.lit(1)).alias("n"))
+    decided = F.col("top.w") * -2 >= F.col("total")
+    settled = tops.where(decided).select(F.col("g").alias(group), F.col("top.v").alias("consensus"), F.col("top.v").alias("closest"), F.col("top.i").alias("closest_id"))
+    plan = plan_fragments(values, "g")
+    left = cut(fragment_join(values, tops.where(~decided).select("g", "total", F.col("n").alias("n_values")), "g", ["v"], "inner", plan))
 
     first = F.row_number().over(Window.partitionBy("g").orderBy(F.desc("w"), "v"))  # limited by group before the shuffle
-    lists = values.withColumn("rn", first).where(F.col("rn") <= guide + 1).groupBy("g").agg(F.collect_list(F.struct("v", "w")).alias("vs"))
-    kind = values.schema["g"].dataType.simpleString()
+    lists = left.withColumn("rn", first).where(F.col("rn") <= guide).groupBy("g").agg(F.collect_list(F.struct("v", "w")).alias("vs"), F.max("n_values").alias("n"))
 
     def set_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for g, vs in zip(b["g"], b["vs"]):
-                pairs = sorted(((x["v"], x["w"]) for x in vs), key=lambda x: (-x[1], x[0]))
-                if len(pairs) <= guide:
-                    out.append((g, common_value(pairs), None, None))
-                else:
-                    p = aligned(pairs[:guide])
-                    out.append((g, None, json.dumps(p.columns), p.weight))
+            for g, vs, n in zip(b["g"], b["vs"], b["n"]):
+                p = aligned([(x["v"], x["w"]) for x in vs])
+                out.append((g, p.consensus(), None, None) if n <= guide else (g, None, json.dumps(p.columns), p.weight))
             yield pd.DataFrame(out, columns=["g", "consensus", "columns", "weight"])
 
     profiles = cut(lists.mapInPandas(set_up, f"g {kind}, consensus string, columns string, weight double"))
@@ -167,47 +235,64 @@ def consensus(rows: DataFrame, group: str, value: str, row_id: str, weight: Colu
     large = profiles.where("consensus is null").select("g", "columns", "weight")
 
     def vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: dict[object, tuple[Profile, set, dict]] = {}
+        kept: dict[object, Profile] = {}
         for b in batches:
             out = []
-            for g, v, w, columns, weight in zip(b["g"], b["v"], b["w"], b["columns"], b["weight"]):
+            for (g, total), part in b.groupby(["g", "total"], sort=False):
                 if g not in kept:
                     if len(kept) > 200:
                         kept.clear()
-                    p = Profile(json.loads(columns), weight)
-                    kept[g] = p, {t for c in p.columns for t in c}, {}
-                p, known, paths = kept[g]
-                tokens = TOKEN.findall(v)
-                # tokens that no column has gain nothing anywhere, so they share one way of aligning
-                seen = tuple(t if t in known else None for t in tokens)
-                if seen not in paths:
-                    if len(paths) > 20_000:
-                        paths.clear()
-                    paths[seen] = p.place(tokens)
-                out += [(g, i, tokens[j] if j is not None else "", w) for i, j in paths[seen] if i is not None]
-            yield pd.DataFrame(out, columns=["g", "c", "t", "w"])
-
-    plan = plan_fragments(values, "g")
-    votes = fragment_join(values.select("g", "v", "w", "i"), large, "g", ["v"], "inner", plan).select("g", "v", "w", "columns", "weight").mapInPandas(vote, f"g {kind}, c int, t string, w double")
-    won = votes.groupBy("g", "c", "t").agg(F.sum("w").alias("w")).groupBy("g", "c").agg(F.min_by("t", F.struct((-F.col("w")).alias("w"), "t")).alias("t"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c", "t"))), lambda x: x["t"]), "")
+                    kept[g] = Profile(json.loads(part["columns"].iloc[0]), part["weight"].iloc[0])
+                tokens = [TOKEN.findall(v) for v in part["v"]]
+                seen = [kept[g].numbered(t) for t in tokens]
+                unlike = list(dict.fromkeys(seen))
+                path = dict(zip(unlike, kept[g].place(unlike)))
+                sums: dict[tuple[int, int, str], float] = {}
+                for t, s, w in zip(tokens, seen, part["w"]):
+                    for c, o, j in slots(path[s]):
+                        key = c, o, t[j] if j is not None else ""
+                        sums[key] = sums.get(key, 0.0) + w
+                out += [(g, total, *k, w) for k, w in sums.items()]
+            yield pd.DataFrame(out, columns=["g", "total", "c", "o", "t", "w"])
+
+    met = fragment_join(left, large, "g", ["v"], "inner", plan).select("g", "total", "v", "w", "columns", "weight")
+    votes = met.mapInPandas(vote, f"g {kind}, total double, c int, o int, t string, w double")
+    token = votes.groupBy("g", "c", "o", "t").agg(F.sum("w").alias("w"), F.max("total").alias("total"))
+    slot = token.groupBy("g", "c", "o").agg(F.min(F.struct((-F.col("w")).alias("w"), "t")).alias("best"), F.sum("w").alias("voted"), F.max("total").alias("total"))
+    stays = (F.col("o") == COLUMN) | (-F.col("best.w") > F.col("total") - F.col("voted"))  # an inserted token against all who have none
+    won = slot.where(stays).select("g", "c", "o", F.col("best.t").alias("t"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c", "o", "t"))), lambda x: x["t"]), "")  # places of the longest guide at most, and what outweighs them
     common = small.unionByName(won.groupBy("g").agg(joined.alias("consensus")))
 
-    near = fragment_join(values, common, "g", ["v"], "inner", plan)
-    far = F.length("v").cast("long") * F.length("consensus") > FAR
-    distance = F.when(far, F.abs(F.length("v") - F.length("consensus")) + (F.col("v") != F.col("consensus")).cast("int")).otherwise(F.levenshtein("v", "consensus"))
-    best = near.groupBy("g", "consensus").agg(F.min(F.struct(distance.alias("d"), "i", "v")).alias("b"))
-    return best.select(F.col("g").alias(group), "consensus", F.col("b.v").alias("closest"), F.col("b.i").alias("closest_id"))
+    near = fragment_join(left.select("g", "v", "i"), common, "g", ["v"], "inner", plan)
+    best = near.groupBy("g", "consensus").agg(F.min(F.struct(F.levenshtein("v", "consensus").alias("d"), "i", "v")).alias("b"))
+    return settled.unionByName(best.select(F.col("g").alias(group), "consensus", F.col("b.v").alias("closest"), F.col("b.i").alias("closest_id")))
 
 
 def survivors(files: DataFrame, classifications: DataFrame) -> DataFrame:
-    """One record for each content of several ids: trusted mtime, path and category, and the path nearest the group's consensus."""
+    """One record for each content of several ids, every field by weighted consensus of the group's values.
+
+    content_hash; path, size, category, owner and year, each an existing value closest to the consensus
+    of the group's, and path_consensus, which need not exist; mtime and scan_path of the rows that
+    trusted() picks, mtime having an order and no tokens. A files row's weight is its completeness: one,
+    and one more each for a sound mtime, a size and not being marked a duplicate. A classification's
+    weight is its confidence, 0 where that is null or outside 0 to 1. Categories are compared in lower case.
+    """
     picked = trusted(files, classifications)
-    one = lambda df, key, *cs: df.select(F.col("id").alias(key), *cs).dropDuplicates([key])
-    times, paths = one(files, "mtime_id", "mtime"), one(files, "path_id", "path")
-    kinds = one(classifications, "classification_id", F.lower(F.trim("category")).alias("category"), "owner", "year")
-    rows = files.select("id", "path", content("hash").alias("content_hash")).where("content_hash is not null")
-    held = rows.join(picked.select("content_hash"), "content_hash", "left_semi")
-    common = consensus(held, "content_hash", "path", "id").select("content_hash", F.col("consensus").alias("path_consensus"), F.col("closest").alias("typical_path"))
-    out = picked.join(common, "content_hash", "left").join(times, "mtime_id", "left").join(paths, "path_id", "left").join(kinds, "classification_id", "left")
-    return out.select("content_hash", "mtime", "path", "typical_path", "path_consensus", "category", "owner", "year")
+    rows = files.where("id is not null").withColumn("content_hash", content("hash")).where("content_hash is not null")
+    rows = rows.select("id", "content_hash", "path", "size", _sound().alias("sound"), F.coalesce("is_duplicate", F.lit(False)).alias("dup")).dropDuplicates(["id"])
+    held = cut(fragment_join(rows, picked.select("content_hash"), "content_hash", ["id"], "left_semi"))
+    trust = 1.0 + F.col("sound").cast("double") + F.col("size").isNotNull().cast("double") + (~F.col("dup")).cast("double")
+    classes = classifications.where("id is not null").select(F.col("file_id").alias("id"), F.col("id").alias("class_id"), F.lower(F.trim("category")).alias("category"), "owner", F.col("year").cast("string").alias("year"), "confidence").dropDuplicates(["class_id"])
+    classes = held.select("id", "content_hash").join(classes, "id").withColumn("sure", F.when(F.col("confidence").between(0, 1) & ~F.isnan("confidence"), F.col("confidence")).otherwise(0.0))
+    one = lambda df, field, row, weight: df.select(F.concat(F.lit(field + ":"), "content_hash").alias("key"), F.col(field).cast("string").alias("value"), F.col(row).alias("row"), weight.alias("weight"))
+    votes = one(held, "path", "id", trust).unionByName(one(held, "size", "id", trust))
+    for field in ("category", "owner", "year"):
+        votes = votes.unionByName(one(classes, field, "class_id", F.col("sure")))
+    got = consensus(votes, "key", "value", "row", "weight")
+    got = got.select(F.split("key", ":")[1].alias("content_hash"), F.split("key", ":")[0].alias("field"), "closest", "consensus")
+    of = lambda field, c="closest": F.max(F.when(F.col("field") == field, F.col(c)))
+    fields = got.groupBy("content_hash").agg(of("path").alias("path"), of("path", "consensus").alias("path_consensus"), of("size").cast("long").alias("size"), of("category").alias("category"), of("owner").alias("owner"), of("year").cast("int").alias("year"))
+    best = lambda key, *cs: files.select(F.col("id").alias(key), *cs).dropDuplicates([key])
+    out = picked.join(fields, "content_hash", "left").join(best("mtime_id", "mtime"), "mtime_id", "left").join(best("path_id", F.col("path").alias("scan_path")), "path_id", "left")
+    return out.select("content_hash", "mtime", "scan_path", "path", "path_consensus", "size", "category", "owner", "year")

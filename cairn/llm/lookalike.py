@@ -20,6 +20,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairn.operators.skew import fragment_join, plan_fragments
+from cairn.session import cut
+
 # Letters of other scripts (left) that cannot be told from the Latin ones (right).
 LOOKALIKES = (
     ("АВЕЅІЈКМНОРСТУХҮԚԜѴӀԌ", "ABESIJKMHOPCTYXYQWVIG"),  # Cyrillic
@@ -193,16 +196,15 @@ def lookalike_pairs(files: DataFrame) -> DataFrame:
     it shuffles, enter the joins. Strings are compared by 128 bits of hash. Rows without id make no
     pair; rows delivered twice make no further one.
     """
-    from cairn.session import cut
-
     both = lambda c, x, y: (F.xxhash64(c).alias(x), F.xxhash64(F.lit(7), c).alias(y))
     rows = cut(
         forms(files.select("id", "path", "duplicate_of").where("id is not null"))
         .select("id", (F.col("field") == "path").alias("is_path"), *both("form", "f1", "f2"), *both("text", "h1", "h2"))
     )
     one = F.struct("h1", "h2")
-    several = rows.groupBy("f1", "f2").agg(F.min(one).alias("a"), F.max(one).alias("b"), F.bool_or("is_path").alias("p")).where("a != b and p").select("f1", "f2")
-    held = rows.join(several, ["f1", "f2"], "left_semi").distinct()
-    paths = held.where("is_path").select("f1", "f2", F.col("id").alias("to"), F.col("h1").alias("t1"), F.col("h2").alias("t2"))
-    met = held.join(paths, ["f1", "f2"]).where("id != to and (h1 != t1 or h2 != t2)")
+    several = rows.groupBy("f1", "f2").agg(F.min(one).alias("a"), F.max(one).alias("b"), F.bool_or("is_path").alias("p")).where("a != b and p").select("f1", F.col("f2").alias("g2"))
+    # one half of a form's hash leads rows to their task, both must agree; a form that many rows bear is cut
+    held = cut(fragment_join(rows, several, "f1", ["id"]).where("f2 = g2").drop("g2").distinct())
+    paths = held.where("is_path").select("f1", F.col("f2").alias("g2"), F.col("id").alias("to"), F.col("h1").alias("t1"), F.col("h2").alias("t2"))
+    met = fragment_join(held, paths, "f1", ["id", "h1"], "inner", plan_fragments(held, "f1", power=2)).where("f2 = g2 and id != to and (h1 != t1 or h2 != t2)")
     return met.select(F.least("id", "to").alias("id_a"), F.greatest("id", "to").alias("id_b"), F.when(F.col("is_path"), "path").otherwise("duplicate_of").alias("field")).distinct()

@@ -2,9 +2,9 @@
 
 Each source's budget is its share of all tokens. A source is taken whole as often as the budget and its
 cap of repeats allow; the rest of the budget is filled from its counts by exact token length: the
-same part of every length, then by a bounded-knapsack dynamic program over what remains, which hits
-the budget exactly wherever some choice of documents does. Of each length the documents to take are
-picked by a seeded hash.
+same part of every length, then by a bounded-knapsack dynamic program over what remains, in windows
+that widen as long as a gap stays, so that the sum is the largest that any choice of documents within
+the budget has. Of each length the documents to take are picked by a seeded hash.
 
 Source names are compared in lower case, without outer space, `-` as `_`. Documents without tokens and
 of sources without a target are not taken, yet count among all tokens. A source that its cap keeps
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from cairn.llm.tokens import VOCABULARY, sized
 from cairn.operators.ranking import running
 
-EXACT = 1 << 16  #: tokens of a budget's end that the dynamic program fills
+WINDOW = 1 << 16  #: tokens of a budget's end that the dynamic program fills first; see fit_budget
 
 
 def source_name(c: Column | str) -> Column:
@@ -30,25 +30,32 @@ def source_name(c: Column | str) -> Column:
 
 
 def best_subset(lengths: np.ndarray, counts: np.ndarray, budget: int, order: np.ndarray | None = None) -> np.ndarray:
-    """How many of each length to take for the largest sum that is at most budget."""
+    """How many of each length to take for the largest sum that is at most budget.
+
+    The sums that can be reached are the bits of one number: taking a part of weight w shifts it by w.
+    """
     take = np.zeros(len(lengths), np.int64)
     if budget <= 0:
         return take
-    by = np.full(budget + 1, -1, np.int64)  # the part that first reached each sum
-    by[0] = -2
+    by = np.full(budget + 1, -1, np.int32)  # the part that first reached each sum
+    reached, all_bits = 1, (1 << (budget + 1)) - 1
     parts: list[tuple[int, int]] = []
     for i in order if order is not None else range(len(lengths)):
         n, size = min(int(counts[i]), budget // max(1, int(lengths[i]))), 1
         while n > 0:
             k = min(size, n)
-            w = k * int(lengths[i])
-            reached = np.flatnonzero((by[: budget + 1 - w] != -1) & (by[w:] == -1)) if w <= budget else np.zeros(0, int)
-            by[reached + w] = len(parts)
+            new = (reached << k * int(lengths[i])) & all_bits & ~reached
+            if new:
+                bits = np.frombuffer(new.to_bytes(budget // 8 + 1, "little"), np.uint8)
+                at = np.flatnonzero(bits)
+                sums = (at[:, None] * 8 + np.arange(8))[np.unpackbits(bits[at], bitorder="little").reshape(-1, 8) == 1]
+                by[sums] = len(parts)
+                reached |= new
             parts.append((i, k))
             n, size = n - k, size * 2
-        if by[budget] != -1:
+        if reached >> budget & 1:
             break
-    at = int(np.flatnonzero(by != -1)[-1])
+    at = reached.bit_length() - 1
     while at:
         i, k = parts[by[at]]
         take[i] += k
@@ -56,8 +63,28 @@ def best_subset(lengths: np.ndarray, counts: np.ndarray, budget: int, order: np.
     return take
 
 
-def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, max_repeats: int, seed: int = 0) -> tuple[int, np.ndarray]:
-    """Whole repeats of a source, and how many documents of each length to take once more."""
+def _filled(lengths: np.ndarray, counts: np.ndarray, rest: int, order: np.ndarray, window: int) -> np.ndarray:
+    """How many of each length to take for rest: the same part of every length, then the best subset for what lacks, window at most."""
+    take = np.zeros(len(lengths), np.int64)
+    if rest > window:
+        take = np.floor(counts * ((rest - window / 2) / int((lengths * counts).sum()))).astype(np.int64)
+        gap = rest - int((take * lengths).sum())
+        for i in order:  # lengths too rare for a part of their own
+            if gap <= window:
+                break
+            k = min(int(counts[i] - take[i]), (gap - 1) // int(lengths[i]))
+            take[i] += k
+            gap -= k * int(lengths[i])
+        rest = gap
+    return take + best_subset(lengths, counts - take, rest, order)
+
+
+def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, max_repeats: int, seed: int = 0, window: int = WINDOW) -> tuple[int, np.ndarray]:
+    """Whole repeats of a source, and how many documents of each length to take once more.
+
+    Where a window leaves a gap the next one is eight times as wide, until the gap is closed, is smaller
+    than what all lengths are multiples of, or the window holds the whole rest and so proves it least.
+    """
     have = int((lengths * counts).sum())
     take = np.zeros(len(lengths), np.int64)
     if not have or budget <= 0 or max_repeats <= 0:
@@ -67,17 +94,16 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, max_repeats
     if repeats == max_repeats or not rest:
         return repeats, take
     order = np.random.default_rng(seed).permutation(len(lengths))
-    if rest > EXACT:
-        take = np.floor(counts * ((rest - EXACT / 2) / have)).astype(np.int64)
-        gap = rest - int((take * lengths).sum())
-        for i in order:  # lengths too rare for a part of their own
-            if gap <= EXACT:
-                break
-            k = min(int(counts[i] - take[i]), (gap - 1) // int(lengths[i]))
-            take[i] += k
-            gap -= k * int(lengths[i])
-        rest = gap
-    return repeats, take + best_subset(lengths, counts - take, rest, order)
+    unit = int(np.gcd.reduce(lengths[counts > 0]))
+    best = rest + 1
+    while True:
+        got = _filled(lengths, counts, rest, order, window)
+        gap = rest - int((got * lengths).sum())
+        if gap < best:
+            best, take = gap, got
+        if best < unit or window >= rest:
+            return repeats, take
+        window *= 8
 
 
 def mixture(documents: DataFrame, targets: DataFrame, seed: int = 17, path: str = VOCABULARY) -> tuple[DataFrame, DataFrame]:
@@ -119,3 +145,17 @@ def _whole():
     from pyspark.sql import Window
 
     return Window.partitionBy(F.lit(1))  # the report's few rows
+
+
+def mixture_checks(mixed: DataFrame, report: DataFrame) -> DataFrame:
+    """Of each source of the report: whether copies keep to the cap, totals agree, and the budget is hit, or else the source used up."""
+    got = mixed.groupBy("source").agg(F.sum(F.col("copies") * F.col("n_tokens")).alias("t"), F.max("copies").alias("c"))
+    r = report.join(got, "source", "left")
+    t, cap = F.coalesce("t", F.lit(0)), F.greatest("max_repeats", F.lit(0))
+    return r.select(
+        "source",
+        (F.coalesce("c", F.lit(0)) <= cap).alias("within_cap"),
+        (t == F.col("tokens")).alias("totals_agree"),
+        (t <= F.col("budget_tokens")).alias("within_budget"),
+        (t == F.least("budget_tokens", F.col("available_tokens") * cap)).alias("reached"),
+    )

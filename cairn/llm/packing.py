@@ -24,7 +24,8 @@ from cairn.llm.tokens import VOCABULARY, sized
 from cairn.operators.ranking import running
 
 BUCKETS = 256
-FAR = 1 << 44  #: more than any rank
+BUCKETS_OF_A_KIND = 1 << 14  #: more than a kind has
+FAR = 1 << 40  #: more than any rank
 
 
 def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
@@ -107,59 +108,82 @@ def batches(bounds: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[list
     return plan, made
 
 
-def _packed(rest: DataFrame, capacity: int, histogram: tuple[np.ndarray, np.ndarray], buckets: int) -> tuple[DataFrame, int]:
-    """rest with container_no, and the number of containers."""
-    lengths, counts = histogram
-    bounds = boundaries(lengths, counts, buckets)
-    of = np.searchsorted(bounds, np.arange(capacity + 1))
-    plan, made = batches(bounds, np.bincount(of[lengths], counts, len(bounds)).astype(np.int64) if len(lengths) else counts, capacity)
-    ranges = np.array(sorted(plan), np.int64).reshape(-1, 4)
-    start = ranges[:, 0] * FAR + ranges[:, 1]
-
-    @F.arrow_udf("int")
-    def bucket(size: pa.Array) -> pa.Array:
-        return pa.array(of[size.to_numpy(zero_copy_only=False)].astype(np.int32))
-
-    @F.arrow_udf("long")
-    def container(k: pa.Array, rank: pa.Array) -> pa.Array:
-        k, rank = k.to_numpy(zero_copy_only=False).astype(np.int64), rank.to_numpy(zero_copy_only=False)
-        at = np.searchsorted(start, k * FAR + rank, "right") - 1
-        return pa.array(ranges[at, 3] + (rank - ranges[at, 1]) // ranges[at, 2])
-
-    placed = running(rest.withColumn("bucket", bucket("tokens")), ["bucket"], ["doc_id", "tokens"], "rank")
-    return placed.withColumn("container_no", container("bucket", "rank")).drop("bucket", "rank"), made
+class _Plan:
+    """Buckets and ranges of all kinds of containers, in arrays that the executors search."""
+
+    def __init__(self, kinds: list[tuple[str, int]], histograms: dict[int, tuple[np.ndarray, np.ndarray]], buckets: int):
+        self.made, self.capacity, self.of = [], np.array([c for _, c in kinds], np.int64), []
+        start, per, first = [], [], []
+        for k, (_, c) in enumerate(kinds):
+            lengths, counts = histograms[c]
+            bounds = boundaries(lengths, counts, buckets)
+            of = np.searchsorted(bounds, np.arange(c + 1))
+            plan, made = batches(bounds, np.bincount(of[lengths], counts, len(bounds)).astype(np.int64) if len(lengths) else counts, c)
+            ranges = np.array(sorted(plan), np.int64).reshape(-1, 4)
+            start.append((k * BUCKETS_OF_A_KIND + ranges[:, 0]) * FAR + ranges[:, 1])
+            per.append(ranges[:, 2])
+            first.append(ranges[:, 3])
+            self.of.append(of.astype(np.int32))
+            self.made.append(made)
+        self.start, self.per, self.first = map(np.concatenate, (start, per, first))
+
+    def bucket(self, kind: np.ndarray, size: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(kind), np.int32)
+        for k, of in enumerate(self.of):
+            out[kind == k] = of[size[kind == k]]
+        return out
+
+    def container(self, kind: np.ndarray, bucket: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        key = kind.astype(np.int64) * BUCKETS_OF_A_KIND + bucket
+        at = np.searchsorted(self.start, key * FAR + rank, "right") - 1
+        return self.first[at] + (rank - (self.start[at] - key * FAR)) // self.per[at]
 
 
 def pack(documents: DataFrame, containers: DataFrame, buckets: int = BUCKETS, path: str = VOCABULARY) -> DataFrame:
     """container, capacity_tokens, container_no, doc_id, piece, pieces, tokens, space_left.
 
     containers is a small fixed table; its capacities and, of each, at most `capacity` counts reach
-    the driver. Containers without a positive capacity are an error.
+    the driver. All kinds are packed in one pass, each a group of its own. Containers without a positive
+    capacity are an error.
     """
     kinds = sorted({(r[0], int(r[1] or 0)) for r in containers.select("container", "capacity_tokens").collect()}, key=lambda x: (x[1], str(x[0])))
     if not kinds or kinds[0][1] <= 0:
         raise ValueError("containers need names and positive capacities")
+    spark = documents.sparkSession
     sizes = sized(documents, path=path)
-    rests = sizes.select(F.explode(F.array(*(F.lit(c) for c in sorted({c for _, c in kinds})))).alias("c"), "n_tokens").select("c", (F.col("n_tokens") % F.col("c")).alias("rest"))
+    kind = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(name).alias("container"), F.lit(c).cast("long").alias("capacity_tokens")) for k, (name, c) in enumerate(kinds)))).alias("k")
+    each = sizes.select("doc_id", "n_tokens", kind).select("doc_id", "n_tokens", "k.*")
+    each = each.withColumns({"whole": F.expr("n_tokens div capacity_tokens"), "tokens": F.col("n_tokens") % F.col("capacity_tokens")})
+    each = each.withColumn("pieces", F.col("whole") + (F.col("tokens") > 0).cast("long"))
     counted: dict[int, list[tuple[int, int]]] = {c: [] for _, c in kinds}
-    for c, rest, n in rests.where("rest > 0").groupBy("c", "rest").agg(F.count(F.lit(1))).collect():  # at most c rows for each c
-        counted[c].append((rest, n))
-    out = None
-    for name, c in kinds:
-        one = sizes.withColumns({"container": F.lit(name), "capacity_tokens": F.lit(c).cast("long"), "whole": F.floor(F.col("n_tokens") / c), "tokens": (F.col("n_tokens") % c)})
-        one = one.withColumn("pieces", (F.col("whole") + (F.col("tokens") > 0).cast("long")).cast("long"))
-        h = np.array(sorted(counted[c]), np.int64).reshape(-1, 2)
-        rest, made = _packed(one.where("tokens > 0"), c, (h[:, 0], h[:, 1]), buckets)
-        held = Window.partitionBy("container_no")
-        rest = rest.withColumns({"piece": F.col("pieces"), "space_left": F.lit(c).cast("long") - F.sum("tokens").over(held)})
-        whole = running(one.where("whole > 0"), ["container"], ["doc_id", "n_tokens"], "before", "whole")
-        whole = whole.withColumn("piece", F.explode(F.sequence(F.lit(1).cast("long"), F.col("whole").cast("long"))))
-        whole = whole.withColumns({"container_no": F.col("before") + F.col("piece") - 1 + F.lit(made), "tokens": F.lit(c).cast("long"), "space_left": F.lit(0).cast("long")})
-        none = one.where("pieces = 0").withColumns({k: F.lit(None).cast("long") for k in ("container_no", "piece", "space_left")})
-        for part in (rest, whole, none):
-            part = part.select("container", "capacity_tokens", "container_no", "doc_id", "piece", "pieces", "tokens", "space_left")
-            out = part if out is None else out.unionByName(part)
-    return out
+    for k, rest, n in each.where("tokens > 0").groupBy("kind", "tokens").agg(F.count(F.lit(1))).collect():  # at most capacity_tokens rows a kind
+        counted[kinds[k][1]].append((rest, n))
+    histograms = {}
+    for c, rows in counted.items():
+        h = np.array(sorted(set(rows)), np.int64).reshape(-1, 2)
+        histograms[c] = h[:, 0], h[:, 1]
+    plan = spark.sparkContext.broadcast(_Plan(kinds, histograms, buckets))  # a number for each size up to the capacities
+    made = F.element_at(F.array(*map(F.lit, plan.value.made)), F.col("kind") + 1).cast("long")
+    numpy = lambda a: a.to_numpy(zero_copy_only=False)
+
+    @F.arrow_udf("int")
+    def bucket(k: pa.Array, size: pa.Array) -> pa.Array:
+        return pa.array(plan.value.bucket(numpy(k), numpy(size)))
+
+    @F.arrow_udf("long")
+    def container(k: pa.Array, b: pa.Array, rank: pa.Array) -> pa.Array:
+        return pa.array(plan.value.container(numpy(k), numpy(b), numpy(rank)))
+
+    rest = running(each.where("tokens > 0").withColumn("bucket", bucket("kind", "tokens")), ["kind", "bucket"], ["doc_id", "tokens"], "rank")
+    rest = rest.withColumn("container_no", container("kind", "bucket", "rank"))
+    held = Window.partitionBy("kind", "container_no")
+    rest = rest.withColumns({"piece": F.col("pieces"), "space_left": F.col("capacity_tokens") - F.sum("tokens").over(held)})
+    whole = running(each.where("whole > 0"), ["kind"], ["doc_id", "n_tokens"], "before", "whole")
+    whole = whole.withColumn("piece", F.explode(F.sequence(F.lit(1).cast("long"), "whole")))
+    whole = whole.withColumns({"container_no": F.col("before") + F.col("piece") - 1 + made, "tokens": F.col("capacity_tokens"), "space_left": F.lit(0).cast("long")})
+    none = each.where("pieces = 0").withColumns({k: F.lit(None).cast("long") for k in ("container_no", "piece", "space_left")})
+    columns = ["container", "capacity_tokens", "container_no", "doc_id", "piece", "pieces", "tokens", "space_left"]
+    return rest.select(*columns).unionByName(whole.select(*columns)).unionByName(none.select(*columns))
 
 
 def fill_report(packed: DataFrame) -> DataFrame:
@@ -168,3 +192,22 @@ def fill_report(packed: DataFrame) -> DataFrame:
     one = used.groupBy("container", "capacity_tokens", "container_no").agg(F.sum("tokens").alias("t"), F.max("space_left").alias("s"))
     kinds = one.groupBy("container", "capacity_tokens").agg(F.count(F.lit(1)).alias("n_containers"), F.sum("t").alias("tokens"), F.sum("s").alias("space_left"))
     return kinds.withColumn("used_share", F.round(F.col("tokens") / (F.col("n_containers") * F.col("capacity_tokens")), 6))
+
+
+def packing_checks(packed: DataFrame) -> DataFrame:
+    """What must hold of each kind: n_documents, n_empty (without a container), and how often a rule is broken.
+
+    split: documents cut though they fit; incomplete: documents some of whose pieces lack; overfull:
+    containers over their capacity or whose space_left is wrong; gaps: numbers no container has.
+    """
+    docs = packed.groupBy("container", "capacity_tokens", "doc_id").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n"), F.max("pieces").alias("pieces"), F.count("container_no").alias("placed"))
+    per_doc = docs.groupBy("container", "capacity_tokens").agg(
+        F.count(F.lit(1)).alias("n_documents"),
+        F.expr("count_if(placed = 0)").alias("n_empty"),
+        F.expr("count_if(pieces > 1 and t <= capacity_tokens)").alias("split"),
+        F.expr("count_if(placed > 0 and (n != pieces or pieces != ceil(t / capacity_tokens)))").alias("incomplete"),
+    )
+    boxes = packed.where("container_no is not null").groupBy("container", "container_no").agg(F.sum("tokens").alias("t"), F.max("capacity_tokens").alias("c"), F.max("space_left").alias("s"), F.min("space_left").alias("s0"))
+    per_box = boxes.groupBy("container").agg(F.expr("count_if(t > c or s != c - t or s0 != s)").alias("overfull"), (F.max("container_no") + 1 - F.count(F.lit(1))).alias("gaps"))
+    out = per_doc.join(per_box, "container", "left")
+    return out.withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("overfull", "gaps")})

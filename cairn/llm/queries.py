@@ -30,6 +30,15 @@ def p3_survivors(spark, d):
     return consensus.survivors(table(spark, d, "files"), table(spark, d, "classifications"))
 
 
+def p3_trusted(spark, d):
+    """What the rows that trusted() picks hold: the part of a survivor that rules decide."""
+    files, classes = table(spark, d, "files"), table(spark, d, "classifications")
+    one = lambda df, key, *cs: df.select(F.col("id").alias(key), *cs).dropDuplicates([key])
+    out = consensus.trusted(files, classes).join(one(files, "mtime_id", "mtime"), "mtime_id", "left").join(one(files, "path_id", "path"), "path_id", "left")
+    out = out.join(one(classes, "classification_id", F.lower(F.trim("category")).alias("category"), "confidence"), "classification_id", "left")
+    return out.select("content_hash", "mtime", "path", "category", "confidence")
+
+
 def p4_found(spark, d):
     return lookalike.lookalike_pairs(table(spark, d, "files"))
 
@@ -46,6 +55,10 @@ def p6_report(spark, d):
     return packing.fill_report(p6_packed(spark, d))
 
 
+def p6_checks(spark, d):
+    return packing.packing_checks(p6_packed(spark, d))
+
+
 def p7_mixture(spark, d):
     return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
 
@@ -54,6 +67,10 @@ def p7_shares(spark, d):
     return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
+def p7_checks(spark, d):
+    return mixing.mixture_checks(*mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets")))
+
+
 def p8_found(spark, d):
     return residue.residue_documents(table(spark, d, "documents"))
 
@@ -62,7 +79,22 @@ def p8_validation(spark, d):
     return residue.validation(table(spark, d, "documents"))
 
 
-SPARK = {f.__name__: f for f in (p2_found, p2_last_batch, p3_found, p3_survivors, p4_found, p4_forms, p6_packed, p6_report, p7_mixture, p7_shares, p8_found, p8_validation)}
+def p8_checks(spark, d):
+    """One row: documents judged, and how many cases have no text, are no document, or come twice."""
+    docs = table(spark, d, "documents")
+    texts = docs.select("doc_id", (F.length("text") > 0).alias("has_text")).groupBy("doc_id").agg(F.max("has_text").alias("has_text"))
+    found = p8_found(spark, d).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    of = lambda name, c: F.count_if(c).alias(name)
+    none = ~F.coalesce("has_text", F.lit(False))
+    return texts.join(found, "doc_id", "full").agg(of("judged", ~none), of("without_text", F.col("n").isNotNull() & none), of("twice", F.col("n") > 1))
+
+
+SPARK = {
+    f.__name__: f
+    for f in (p2_found, p2_last_batch, p3_found, p3_trusted, p3_survivors, p4_found, p4_forms, p6_packed, p6_report, p6_checks, p7_mixture, p7_shares, p7_checks, p8_found, p8_validation, p8_checks)
+}
+
+
 def _translation() -> tuple[str, str]:
     """Characters that have another form, one by one, and these forms; those without any come last."""
     import unicodedata
@@ -94,19 +126,30 @@ UNION
 SELECT a.id FROM x a JOIN x b ON b.day < a.day AND len(b.w) BETWEEN 0.59 * len(a.w) AND 1.7 * len(a.w)
 WHERE len(list_intersect(a.w, b.w)) * 100 >= 60 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) AND len(a.w) > 0"""
 
-SQL = {
-    "p2_found": _KNOWN,
-    "p2_last_batch": f"SELECT id FROM ({_KNOWN}) JOIN (SELECT DISTINCT id FROM files WHERE scanned_at::DATE = (SELECT max(scanned_at::DATE) FROM files)) USING (id)",
-    "p3_found": f"""
+_TRUSTED = f"""
 WITH f AS (SELECT DISTINCT id, path, mtime, scanned_at, {content_sql()} AS c FROM files WHERE id IS NOT NULL),
 g AS (SELECT c FROM f WHERE c IS NOT NULL GROUP BY c HAVING count(DISTINCT id) > 1),
 m AS (SELECT c, arg_min(id, (-epoch_us(mtime), id)) AS i FROM f WHERE mtime IS NOT NULL AND year(mtime) <> 1970 AND NOT coalesce(mtime > scanned_at, false) GROUP BY c),
 p AS (SELECT c, arg_min(id, (len(path) - len(replace(path, '/', '')), id)) AS i FROM f WHERE path IS NOT NULL GROUP BY c),
 k AS (SELECT c, arg_min(k.id, (-confidence, -coalesce(epoch_us(classified_at), -4000000000000000000), k.id)) AS i
-      FROM classifications k JOIN f ON file_id = f.id WHERE confidence BETWEEN 0 AND 1 GROUP BY c)
-SELECT c AS content_hash, coalesce(m.i, 0) AS mtime_id, coalesce(p.i, 0) AS path_id, coalesce(k.i, 0) AS classification_id
-FROM g LEFT JOIN m USING (c) LEFT JOIN p USING (c) LEFT JOIN k USING (c)""",
+      FROM classifications k JOIN f ON file_id = f.id WHERE confidence BETWEEN 0 AND 1 GROUP BY c),
+picked AS (SELECT c AS content_hash, coalesce(m.i, 0) AS mtime_id, coalesce(p.i, 0) AS path_id, coalesce(k.i, 0) AS classification_id
+           FROM g LEFT JOIN m USING (c) LEFT JOIN p USING (c) LEFT JOIN k USING (c))"""
+
+SQL = {
+    "p2_found": _KNOWN,
+    "p2_last_batch": f"SELECT id FROM ({_KNOWN}) JOIN (SELECT DISTINCT id FROM files WHERE scanned_at::DATE = (SELECT max(scanned_at::DATE) FROM files)) USING (id)",
+    "p3_found": f"{_TRUSTED} SELECT * FROM picked",
+    "p3_trusted": f"""{_TRUSTED}
+SELECT content_hash, f.mtime, g.path, lower(trim(k.category)) AS category, k.confidence FROM picked
+LEFT JOIN (SELECT DISTINCT id, mtime FROM files) f ON f.id = mtime_id LEFT JOIN (SELECT DISTINCT id, path FROM files) g ON g.id = path_id
+LEFT JOIN (SELECT DISTINCT id, category, confidence FROM classifications) k ON k.id = classification_id""",
     "p4_forms": f"WITH {_FORMS} SELECT id, field, form FROM forms",
     "p4_found": f"""WITH {_FORMS}
 SELECT DISTINCT least(a.id, b.id) AS id_a, greatest(a.id, b.id) AS id_b, a.field FROM forms a JOIN forms b ON a.form = b.form AND b.field = 'path' AND a.id <> b.id AND a.text <> b.text""",
+    # what no SQL can compute is held to rules that it can state
+    "p6_checks": """SELECT container, capacity_tokens::BIGINT AS capacity_tokens, (SELECT count(DISTINCT doc_id) FROM documents) AS n_documents,
+(SELECT count(DISTINCT doc_id) FROM documents WHERE coalesce(text, '') = '') AS n_empty, 0::BIGINT AS split, 0::BIGINT AS incomplete, 0::BIGINT AS overfull, 0::BIGINT AS gaps FROM (SELECT DISTINCT * FROM containers)""",
+    "p7_checks": "SELECT DISTINCT replace(lower(trim(source)), '-', '_') AS source, true AS within_cap, true AS totals_agree, true AS within_budget, true AS reached FROM mix_targets",
+    "p8_checks": "SELECT count(DISTINCT doc_id) FILTER (length(text) > 0) AS judged, 0::BIGINT AS without_text, 0::BIGINT AS twice FROM documents",
 }

@@ -6,8 +6,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from cairn.llm.mixing import best_subset, fit_budget, mixture
-from cairn.llm.packing import batches, boundaries, fill_report, pack
+from cairn.llm.mixing import best_subset, fit_budget, mixture, mixture_checks
+from cairn.llm.packing import batches, boundaries, fill_report, pack, packing_checks
 from cairn.llm.tokens import encoding
 
 
@@ -66,6 +66,20 @@ def test_fit_budget_of_many_documents():
     assert fit_budget(np.zeros(0, np.int64), np.zeros(0, np.int64), 10, 2)[0] == 0
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.integers(1, 12).map(lambda x: 6 * x + 4), st.integers(1, 9), min_size=1, max_size=5), st.integers(1, 300), st.integers(4, 40))
+def test_windows_widen_until_nothing_is_left(h, budget, window):
+    lengths, counts = np.array(sorted(h), np.int64), np.array([h[x] for x in sorted(h)], np.int64)
+    have = int((lengths * counts).sum())
+    repeats, take = fit_budget(lengths, counts, budget, 3, window=window)
+    sums = {0}
+    for x, n in h.items():
+        sums = {s + k * x for s in sums for k in range(n + 1)}
+    full = min(budget // have, 3)
+    rest = 0 if full == 3 else max(s for s in sums if s <= budget - full * have)
+    assert repeats == full and int((take * lengths).sum()) == rest and (take <= counts).all()
+
+
 @pytest.fixture(scope="module")
 def documents(spark):
     r = random.Random(2)
@@ -93,6 +107,10 @@ def test_pack_holds_every_token_once(spark, documents):
         assert sorted(held) == list(range(len(held)))
     report = {r.container: r for r in fill_report(pack(documents, kinds, buckets=12)).collect()}
     assert report["l"].used_share > 0.9
+    for r in packing_checks(pack(documents.where("doc_id != 5"), kinds, buckets=12)).collect():
+        assert (r.n_documents, r.n_empty, r.split, r.incomplete, r.overfull, r.gaps) == (302, 2, 0, 0, 0, 0)
+    broken = pack(documents.where("doc_id < 200 and doc_id != 5"), kinds).where("doc_id != 7")
+    assert max(r.overfull for r in packing_checks(broken).collect()) > 0
     assert pack(documents.limit(0), kinds).count() == 0
 
 
@@ -106,5 +124,7 @@ def test_mixture(spark, documents):
         tokens = sum(r.copies * r.n_tokens for r in got if r.source == s)
         assert shares[s].tokens == tokens <= round(part * total)
         assert tokens == round(part * total) or shares[s].most_copies == shares[s].max_repeats
+    for r in mixture_checks(mixed, report).collect():
+        assert r.within_cap and r.totals_agree and r.within_budget and r.reached
     assert shares["none"].tokens == 0 and shares["z"].tokens == 0
     assert mixture(documents.limit(0), targets)[0].count() == 0

@@ -163,7 +163,7 @@ def key_totals(df: DataFrame, key: str = "hash", row_id: str = "id", size: str =
     out = ["k", "n_rows", "n_files", "bytes", "first_path", "last_path"]
     cut_keys = [v for v, _ in plan.split]
     if cut_keys:
-        # only cut keys have parts in several tasks; both branches read the same shuffle
+        # only cut keys have parts in several tasks; the filter goes below the exchange, so that each row is shuffled once and the columns are scanned twice
         is_cut = F.col("k").isin(cut_keys)
         merged = part.where(is_cut).groupBy("k").agg(*(F.sum(c).alias(c) for c in out[1:4]), F.min("first_path").alias("first_path"), F.max("last_path").alias("last_path"))
         part = part.where(~is_cut).select(*out).unionByName(merged)

@@ -12,8 +12,8 @@ from cairn.operators.classify import classify
 def reclassify(files: DataFrame, classifications: DataFrame, categories: list[str] | None = None, existing: DataFrame | None = None, skip_cloud: bool = False) -> DataFrame:
     """id, path, old_category, new_category and status of each file.
 
-    status, in this order: skipped (a cloud folder), missing (not among the paths of existing, when
-    given), updated, unchanged. categories keeps files of these old categories; files without a
+    status, in this order: skipped (a cloud folder), error (no path), missing (not among the paths of
+    existing, when given), updated, unchanged. categories keeps files of these old categories; files without a
     classification have the old category `unknown` and come only when categories is None.
     """
     rows = files.select("id", "path").join(classifications.select(F.col("file_id").alias("id"), F.col("category").alias("old")), "id", "left")
@@ -25,7 +25,7 @@ def reclassify(files: DataFrame, classifications: DataFrame, categories: list[st
     if existing is not None:
         rows = rows.join(existing.select("path", F.lit(True).alias("__cairn_there")).distinct(), "path", "left")
         gone = F.col("__cairn_there").isNull()
-    status = F.when(is_cloud("path") if skip_cloud else F.lit(False), "skipped").when(gone, "missing").when(F.col("new_category") != F.col("old_category"), "updated").otherwise("unchanged")
+    status = F.when(is_cloud("path") if skip_cloud else F.lit(False), "skipped").when(F.col("path").isNull(), "error").when(gone, "missing").when(F.col("new_category") != F.col("old_category"), "updated").otherwise("unchanged")
     return rows.withColumn("status", status).select("id", "path", "old_category", "new_category", "status")
 
 
@@ -37,7 +37,7 @@ def changes(done: DataFrame) -> DataFrame:
 def counters(done: DataFrame) -> DataFrame:
     """One row: all files, checked, and each status."""
     of = lambda s: F.count_if(F.col("status") == s).alias(s)
-    return done.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("status").isin("updated", "unchanged")).alias("checked"), *map(of, ("updated", "unchanged", "missing", "skipped")))
+    return done.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("status").isin("updated", "unchanged")).alias("checked"), *map(of, ("updated", "unchanged", "missing", "skipped", "error")))
 
 
 def updates(done: DataFrame) -> DataFrame:

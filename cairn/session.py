@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import SparkConf
 from pyspark.sql import DataFrame, SparkSession
 
 #: Settings a stand-alone run starts with; a cluster's own session keeps its own.
@@ -19,8 +20,20 @@ DEFAULTS = {
 }
 
 
+def session(name: str = "cairn") -> SparkSession:
+    """The session there is, or one as the cluster's own settings say; only what is unset gets a default."""
+    if (now := SparkSession.getActiveSession()) is not None:
+        return now
+    given = SparkConf()  # what spark-submit and the environment set
+    build = SparkSession.builder.appName(given.get("spark.app.name", name))
+    for k, v in (DEFAULTS | {"spark.master": "local[*]"}).items():
+        if not given.contains(k):
+            build = build.config(k, v)
+    return build.getOrCreate()
+
+
 def local_session(name: str = "cairn", cores: int = 8, memory: str = "12g") -> SparkSession:
-    """A session on this machine, for tests, the bench and the command line."""
+    """A session on this machine, for tests and the bench."""
     build = SparkSession.builder.master(f"local[{cores}]").appName(name)
     for k, v in DEFAULTS.items():
         build = build.config(k, v)

@@ -8,15 +8,19 @@ import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def sidecars(planned: DataFrame) -> DataFrame:
-    """path of the side file beside each destination, and its JSON."""
+def _side(planned: DataFrame) -> Column:
     fields = ("hash", "size", "type", "owner", "year", "is_duplicate", "path_metadata")
     have = [F.col(c) for c in fields if c in planned.columns]
-    return planned.select(F.concat("destination", F.lit(".meta.json")).alias("path"), F.to_json(F.struct(F.col("path").alias("original_path"), *have)).alias("value"))
+    return F.to_json(F.struct(F.col("path").alias("original_path"), *have))
+
+
+def sidecars(planned: DataFrame) -> DataFrame:
+    """path of the side file beside each destination, and its JSON."""
+    return planned.select(F.concat("destination", F.lit(".meta.json")).alias("path"), _side(planned).alias("value"))
 
 
 def document_fields(files: DataFrame) -> DataFrame:
@@ -31,17 +35,28 @@ def document_fields(files: DataFrame) -> DataFrame:
     return files.select("path", F.explode(pairs)).where("value is not null")
 
 
-def copy_files(planned: DataFrame, execute: bool = False) -> DataFrame:
+def existing(files: DataFrame) -> DataFrame:
+    """path of the rows whose file is there, as the executors see it."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b[b["path"].map(os.path.exists)]
+
+    return files.where("path is not null").select("path").mapInPandas(run, "path string")
+
+
+def copy_files(planned: DataFrame, execute: bool = False, metadata: bool = False) -> DataFrame:
     """path, destination, status (copied, planned, exists, missing, error) and error of each row.
 
     Without execute nothing is touched. Rows with one destination are given to one task, where the
-    first by path is copied and the rest find it there.
+    first by path is copied and the rest find it there. With metadata the same task writes the side file
+    of each file it copies.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             status, errors = [], []
-            for src, dst in zip(b["path"], b["destination"]):
+            for src, dst, side in zip(b["path"], b["destination"], b["side"]):
                 s, e = "planned", None
                 try:
                     if not os.path.exists(src):
@@ -54,13 +69,16 @@ def copy_files(planned: DataFrame, execute: bool = False) -> DataFrame:
                         shutil.copy2(src, part)  # a retried task leaves no half file behind
                         os.replace(part, dst)
                         s = "copied"
+                        if metadata:
+                            with open(f"{dst}.meta.json", "w", encoding="utf-8") as out:
+                                out.write(side)
                 except OSError as x:
                     s, e = "error", str(x)
                 status.append(s)
                 errors.append(e)
             yield pd.DataFrame({"path": b["path"], "destination": b["destination"], "status": status, "error": errors})
 
-    rows = planned.select("path", "destination").where("path is not null and destination is not null")
+    rows = planned.select("path", "destination", _side(planned).alias("side")).where("path is not null and destination is not null")
     return rows.repartition("destination").sortWithinPartitions("destination", "path").mapInPandas(run, "path string, destination string, status string, error string")
 
 

@@ -1,12 +1,15 @@
 """The catalog's tables on a shared file system, changed a batch at a time.
 
-A change reads the current snapshot, writes the next one beside it and then moves the pointer, so that
-readers see either and a lost executor costs nothing but a retry. Append-only tables only add files.
+A table lies in buckets by its key. A batch rewrites the buckets that its keys fall into and leaves all
+others as they are; then the list of what counts is replaced, so that readers see the table before or
+after, and a lost executor costs nothing but a retry. Append-only tables only add files.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,19 +18,28 @@ from pyspark.sql.types import StructType
 from cairn.schemas import ACTIONS, CLASSIFICATIONS, FILES, HASH_CACHE, OPERATIONS
 
 TABLES = {"files": FILES, "classifications": CLASSIFICATIONS, "operations": OPERATIONS, "hash_cache": HASH_CACHE}
+KEYS = {"files": "path", "classifications": "file_id", "operations": "file_id", "hash_cache": "path"}
+BUCKET_ROWS = 1 << 20  #: rows of a bucket when a table is written whole; at four times as many it is written whole again
+MOST_BUCKETS = 1 << 14
 
 
-def upsert_files(old: DataFrame, new: DataFrame, now, clear_flags: bool = False) -> DataFrame:
+def _top(old: DataFrame, top: int | None) -> int:
+    """The highest id given so far."""
+    return old.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0] if top is None else top
+
+
+def upsert_files(old: DataFrame, new: DataFrame, now, clear_flags: bool = False, top: int | None = None) -> DataFrame:
     """old with the rows of new (path, size, mtime, hash, metadata_only) put in by path.
 
     A known path keeps its id and, unless clear_flags, its duplicate flags; an unknown one gets the
-    next id. Of several new rows with one path the one with the largest (mtime, hash) counts.
+    next id after top, the highest of old by default. Of several new rows with one path the one with the
+    largest (mtime, hash) counts.
     """
     fields = ("size", "mtime", "hash", "metadata_only")
     batch = new.where("path is not null").groupBy("path").agg(F.max(F.struct("mtime", "hash", "size", "metadata_only")).alias("n"))
     both = old.withColumn("__cairn_old", F.lit(True)).join(batch, "path", "full")
     hit = F.col("n").isNotNull()
-    top = old.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    top = _top(old, top)
     pick = {c: F.when(hit, F.col(f"n.{c}")).otherwise(F.col(c)) for c in fields}
     pick["metadata_only"] = F.coalesce(pick["metadata_only"], F.lit(False))
     stale = {c: F.when(hit, F.lit(v)).otherwise(F.col(c)) if clear_flags else F.coalesce(c, F.lit(v)) for c, v in (("is_duplicate", False),)}
@@ -63,16 +75,20 @@ def operation_rows(files: DataFrame, wanted: DataFrame, after: int = 0) -> DataF
     return rows.select((F.col("__cairn_n") + after + 1).alias("id"), "file_id", "action", "target_path", F.lit(False).alias("executed"), F.lit(None).cast("timestamp_ntz").alias("executed_at"))
 
 
-def save_classifications(old: DataFrame, files: DataFrame, new: DataFrame, now) -> DataFrame:
-    """old with new (path, category, owner, year, confidence; the last three may be absent) put in by file, one row each."""
+def by_file(files: DataFrame, new: DataFrame) -> DataFrame:
+    """file_id and n, what new (path, category, owner, year, confidence; the last three may be absent) says of each file, one row each."""
     for c, kind in (("owner", "string"), ("year", "int"), ("confidence", "double")):
         if c not in new.columns:
             new = new.withColumn(c, F.lit(None).cast(kind))
     ids = files.where("path is not null").groupBy("path").agg(F.min("id").alias("file_id"))
-    batch = new.join(ids, "path").groupBy("file_id").agg(F.max(F.struct("confidence", "category", "owner", "year")).alias("n"))
+    return new.join(ids, "path").groupBy("file_id").agg(F.max(F.struct("confidence", "category", "owner", "year")).alias("n"))
+
+
+def put_classifications(old: DataFrame, batch: DataFrame, now, top: int | None = None) -> DataFrame:
+    """old with batch (file_id, n as by_file gives it) put in, one row a file."""
     both = old.withColumn("__cairn_old", F.lit(True)).join(batch, "file_id", "full")
     hit, fresh = F.col("n").isNotNull(), F.col("__cairn_old").isNull()
-    top = old.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    top = _top(old, top)
     take = {c: F.when(hit, F.col(f"n.{c}")).otherwise(F.col(c)) for c in ("category", "confidence")}
     keep = {c: F.when(hit, F.coalesce(F.col(f"n.{c}"), F.col(c))).otherwise(F.col(c)) for c in ("owner", "year")}
     out = both.withColumns(take | keep | {"classified_at": F.when(hit, F.lit(now).cast("timestamp_ntz")).otherwise(F.col("classified_at"))})
@@ -82,6 +98,11 @@ def save_classifications(old: DataFrame, files: DataFrame, new: DataFrame, now)
     return out.where(~fresh).select(*CLASSIFICATIONS.fieldNames()).unionByName(added.select(*CLASSIFICATIONS.fieldNames()))
 
 
+def save_classifications(old: DataFrame, files: DataFrame, new: DataFrame, now) -> DataFrame:
+    """old with new (path, category, owner, year, confidence; the last three may be absent) put in by file, one row each."""
+    return put_classifications(old, by_file(files, new), now)
+
+
 def add_metadata_only(files: DataFrame) -> DataFrame:
     """The one schema change there was: a metadata_only column, false by default."""
     return files if "metadata_only" in files.columns else files.withColumn("metadata_only", F.lit(False))
@@ -123,21 +144,46 @@ def save_json_cache(cache: DataFrame, path: str) -> None:
 
 
 class Store:
-    """Tables under one path, as numbered snapshots; `current.txt` holds the number that counts."""
+    """Tables under one path. `current.json` of each lists the folders of its buckets, how many there are, and the highest id."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, bucket_rows: int = BUCKET_ROWS):
+        self.spark, self.path, self.bucket_rows = spark, path.rstrip("/"), bucket_rows
 
     def _fs(self, path: str):
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def _current(self, name: str) -> str | None:
-        fs, p = self._fs(f"{self.path}/{name}/current.txt")
-        if not fs.exists(p):
-            return None
-        return f"{self.path}/{name}/{self.spark.read.text(str(p.toString())).first()[0]}"
+    def _current(self, name: str) -> dict | None:
+        fs, p = self._fs(f"{self.path}/{name}/current.json")
+        return json.loads(self.spark.read.text(p.toString(), wholetext=True).first()[0]) if fs.exists(p) else None
+
+    def _point(self, name: str, now: dict) -> None:
+        fs, p = self._fs(f"{self.path}/{name}/current.json")
+        out = fs.create(p, True)
+        out.write(bytearray(json.dumps(now).encode()))
+        out.close()
+
+    def _folders(self, name: str, folders: list[str]) -> DataFrame:
+        schema: StructType = TABLES[name]
+        if not folders:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*(f"{self.path}/{name}/{f}" for f in folders))
+
+    def _write(self, name: str, df: DataFrame, n: int) -> dict[str, list[str]]:
+        """Write rows into new folders, one a bucket: bucket -> folders."""
+        tag = f"v-{uuid.uuid4().hex}"
+        rows = df.select(*TABLES[name].fieldNames()).withColumn("bucket", self._bucket(name, n))
+        rows.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{self.path}/{name}/{tag}")
+        fs, p = self._fs(f"{self.path}/{name}/{tag}")
+        made = [s.getPath().getName() for s in fs.listStatus(p)]
+        return {f.split("=")[1]: [f"{tag}/{f}"] for f in made if f.startswith("bucket=")}
+
+    @staticmethod
+    def _bucket(name: str, n: int):
+        return F.pmod(F.xxhash64(KEYS[name]), F.lit(n)).cast("int")
+
+    def _highest(self, name: str, df: DataFrame) -> int:
+        return _top(df, None) if "id" in TABLES[name].fieldNames() else 0
 
     def init(self) -> None:
         """Create the tables that are not there yet, empty."""
@@ -146,31 +192,56 @@ class Store:
                 self.replace(name, self.spark.createDataFrame([], schema))
 
     def read(self, name: str) -> DataFrame:
-        at = self._current(name)
-        schema: StructType = TABLES[name]
-        return self.spark.createDataFrame([], schema) if at is None else self.spark.read.schema(schema).parquet(at)
+        now = self._current(name)
+        return self._folders(name, [f for fs in now["buckets"].values() for f in fs] if now else [])
 
     def replace(self, name: str, df: DataFrame) -> None:
-        """Write a whole snapshot and then point to it; older ones stay until vacuum()."""
-        tag = f"v-{uuid.uuid4().hex}"
-        df.select(*TABLES[name].fieldNames()).write.parquet(f"{self.path}/{name}/{tag}")
-        fs, p = self._fs(f"{self.path}/{name}/current.txt")
-        out = fs.create(p, True)
-        out.write(bytearray(tag.encode()))
-        out.close()
+        """Write a table whole and then point to it; what counted before stays until vacuum()."""
+        n = max(1, min(MOST_BUCKETS, -(-df.count() // self.bucket_rows)))
+        folders = self._write(name, df, n)
+        written = self._folders(name, [f for fs in folders.values() for f in fs])
+        self._point(name, {"n": n, "buckets": folders, "top": self._highest(name, written), "rows": written.count()})
+
+    def merge(self, name: str, batch: DataFrame, change: Callable[[DataFrame, DataFrame, int], DataFrame]) -> None:
+        """Put a batch in by the table's key: change(old, batch, top) gives the rows of the buckets that batch falls into.
+
+        The numbers of these buckets reach the driver, no more than there are. top is the highest id.
+        """
+        now = self._current(name)
+        if now is None:
+            self.init()
+            now = self._current(name)
+        hit = [str(r[0]) for r in batch.select(self._bucket(name, now["n"]).alias("b")).distinct().collect()]
+        old = self._folders(name, [f for b in hit for f in now["buckets"].get(b, [])])
+        before = old.count()
+        made = self._write(name, change(old, batch, now["top"]), now["n"])
+        new = self._folders(name, [f for fs in made.values() for f in fs])
+        rows = now["rows"] - before + new.count()
+        buckets = {b: fs for b, fs in now["buckets"].items() if b not in hit} | made
+        self._point(name, {"n": now["n"], "buckets": buckets, "top": max(now["top"], self._highest(name, new)), "rows": rows})
+        if rows > 4 * self.bucket_rows * now["n"] and now["n"] < MOST_BUCKETS:
+            self.replace(name, self.read(name))
 
     def append(self, name: str, df: DataFrame) -> None:
-        at = self._current(name)
-        if at is None:
-            self.replace(name, df)
-        else:
-            df.select(*TABLES[name].fieldNames()).write.mode("append").parquet(at)
+        """Add rows to a table without looking at those it holds."""
+        now = self._current(name)
+        if now is None:
+            return self.replace(name, df)
+        made = self._write(name, df, now["n"])
+        new = self._folders(name, [f for fs in made.values() for f in fs])
+        buckets = {b: now["buckets"].get(b, []) + made.get(b, []) for b in now["buckets"] | made}
+        self._point(name, {"n": now["n"], "buckets": buckets, "top": max(now["top"], self._highest(name, new)), "rows": now["rows"] + new.count()})
 
     def vacuum(self, name: str) -> None:
-        """Delete the snapshots that no longer count."""
-        keep = self._current(name)
+        """Delete the folders that no longer count."""
+        keep = {f for fs in (self._current(name) or {"buckets": {}})["buckets"].values() for f in fs}
         fs, p = self._fs(f"{self.path}/{name}")
         for s in fs.listStatus(p):
             tag = s.getPath().getName()
-            if tag.startswith("v-") and not (keep or "").endswith(tag):
+            if not tag.startswith("v-"):
+                continue
+            for t in fs.listStatus(s.getPath()):
+                if t.isDirectory() and f"{tag}/{t.getPath().getName()}" not in keep:
+                    fs.delete(t.getPath(), True)
+            if not any(f.startswith(f"{tag}/") for f in keep):
                 fs.delete(s.getPath(), True)

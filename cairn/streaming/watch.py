@@ -22,12 +22,12 @@ def by_period(stream: DataFrame, delay: str = "7 days", period: str = "1 day") -
 
 
 def keep(stream: DataFrame, store, checkpoint: str) -> StreamingQuery:
-    """Upsert every batch into the store's files table; a batch that is run again changes nothing."""
+    """Upsert every batch into the buckets of the store's files table that it touches; a batch that is run again changes nothing."""
     from cairn.sinks.store import upsert_files
 
     def put(batch: DataFrame, _: int) -> None:
         now = batch.agg(F.max("scanned_at")).first()[0]
         if now is not None:
-            store.replace("files", upsert_files(store.read("files"), batch, now))
+            store.merge("files", batch.where("path is not null"), lambda old, new, top: upsert_files(old, new, now, top=top))
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

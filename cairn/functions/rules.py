@@ -2,47 +2,71 @@
 
 from __future__ import annotations
 
-import mimetypes
+# Extensions whose MIME type decides, by the category it stands for. They are those of
+# Python 3.13's own table, kept here so that neither the interpreter nor the machine has a say.
+MIME_EXTENSIONS = (
+    ("image", (
+        ".avif", ".bmp", ".gif", ".heic", ".heif", ".ico", ".ief", ".jpe", ".jpeg", ".jpg", ".pbm", ".pgm", ".png", ".pnm", ".ppm", ".ras", ".rgb", ".svg",
+        ".tif", ".tiff", ".webp", ".xbm", ".xpm", ".xwd",
+    )),
+    ("video", (".avi", ".m1v", ".mov", ".movie", ".mp4", ".mpa", ".mpe", ".mpeg", ".mpg", ".qt", ".webm")),
+    ("audio", (".3g2", ".3gp", ".3gpp", ".3gpp2", ".aac", ".adts", ".aif", ".aifc", ".aiff", ".ass", ".au", ".loas", ".mp2", ".mp3", ".opus", ".ra", ".snd", ".wav")),
+    ("document", (
+        ".bat", ".c", ".css", ".doc", ".dot", ".etx", ".h", ".htm", ".html", ".js", ".ksh", ".markdown", ".md", ".mjs", ".n3", ".pdf", ".pl", ".py", ".rst",
+        ".rtf", ".rtx", ".sgm", ".sgml", ".srt", ".tsv", ".txt", ".vcf", ".vtt", ".wiz", ".xml",
+    )),
+    ("spreadsheet", (".csv", ".xlb", ".xls")),
+    ("presentation", (".pot", ".ppa", ".pps", ".ppt", ".pwz")),
+    ("archive", (".tar", ".zip")),
+    ("data", (".json", ".rdf", ".wsdl", ".xpdl", ".xsl")),
+    ("code", (".sh",)),
+)
+#: Fixed values of that table: short suffixes and what they stand for, and encodings that are taken off.
+SUFFIX_MAP = {".svgz": ".svg.gz", ".tgz": ".tar.gz", ".taz": ".tar.gz", ".tz": ".tar.gz", ".tbz2": ".tar.bz2", ".txz": ".tar.xz"}
+ENCODINGS = (".gz", ".Z", ".bz2", ".xz", ".br")
 
 # Extensions by category, in order of evaluation. Extensions whose MIME type already
 # decides, and those that an earlier category holds, are left out.
 EXTENSIONS = (
-    ("image", ".raw .cr2 .nef .dng .psd .ai .eps .indd"),
-    ("video", ".wmv .flv .mkv .m4v .ogv .vob .ts .mts .m2ts"),
-    ("audio", ".flac .ogg .m4a .wma .ape .alac .mid .midi"),
-    ("document", ".docx .odt .tex .pages .epub .mobi .azw .djvu"),
-    ("spreadsheet", ".xlsx .ods .numbers"),
-    ("presentation", ".pptx .odp .key"),
-    (
-        "code",
-        ".java .cpp .hpp .cs .rb .go .rs .bash .zsh .php .swift .kt .scala .r .m .vb .lua .groovy .jsx .tsx .sql .scss .sass .less .vue .dart .f90 .f .asm .s .lisp .cl .scm .el .clj .coffee .hs .ml"
-        " .erl .ex .jl .nim .scpt .applescript .cmd .ps1 .psm1 .class .pyc .pyo .pyd .o .obj .a .lib .jar .war .ear",
-    ),
-    ("archive", ".gz .bz2 .7z .rar .xz .lz .lzma .iso .dmg .img .vhd .vmdk .vdi .ova .ovf .qcow2 .toast .cdr .nrg .mds .mdf .mdzip .sitx .cab .ace .arj .cpio"),
-    ("data", ".yaml .yml .toml .ini .conf .cfg .sqlite .db .mdb .accdb .sqlite3 .sqlite-wal .sqlite-shm .dat .data .prefs .properties .config .settings"),
-    ("font", ".ttf .otf .woff .woff2 .eot .fon .dfont"),
-    ("installer", ".exe .msi .app .pkg .mpkg .deb .rpm .apk .ipa .run .bin .out .elf .dll .so .dylib .msu .appx .msix .flatpak .snap .appimage"),
-    ("certificate", ".p7b .p12 .pfx .cer .crt .pem .der .csr .p7c .spc .pub .wzd"),
-    ("shortcut", ".lnk .url .webloc .desktop .rdp .vncloc"),
-    ("scientific", ".mat .fig .hdf5 .h5 .nc .fits .npy .npz .rdata .rds .sav .dta .pkl .pickle"),
-    ("financial", ".qdf .qel .qfx .qif .qpb .qsd .qph .qxf .qmtf .qnx .txf"),
-    ("backup", ".bak .backup .old .orig .save .swp .tmp~"),
-    ("temporary", ".tmp .temp .cache .crdownload .part .download .partial .filepart"),
-    ("system", ".strings .plist .nib .xib .storyboard .mobileprovision .entitlements .car .tbd .framework .bundle .xcuserstate .xcworkspacedata .xcscheme .xcbkptlist"),
-    ("code", ".xcodeproj .xcworkspace .pbxproj"),
+    ("image", (".raw", ".cr2", ".nef", ".dng", ".psd", ".ai", ".eps", ".indd")),
+    ("video", (".wmv", ".flv", ".mkv", ".m4v", ".ogv", ".vob", ".ts", ".mts", ".m2ts")),
+    ("audio", (".flac", ".ogg", ".m4a", ".wma", ".ape", ".alac", ".mid", ".midi")),
+    ("document", (".docx", ".odt", ".tex", ".pages", ".epub", ".mobi", ".azw", ".djvu")),
+    ("spreadsheet", (".xlsx", ".ods", ".numbers")),
+    ("presentation", (".pptx", ".odp", ".key")),
+    ("code", (
+        ".java", ".cpp", ".hpp", ".cs", ".rb", ".go", ".rs", ".bash", ".zsh", ".php", ".swift", ".kt", ".scala", ".r", ".m", ".vb", ".lua", ".groovy",
+        ".jsx", ".tsx", ".sql", ".scss", ".sass", ".less", ".vue", ".dart", ".f90", ".f", ".asm", ".s", ".lisp", ".cl", ".scm", ".el", ".clj", ".coffee",
+        ".hs", ".ml", ".erl", ".ex", ".jl", ".nim", ".scpt", ".applescript", ".cmd", ".ps1", ".psm1", ".class", ".pyc", ".pyo", ".pyd", ".o", ".obj", ".a",
+        ".lib", ".jar", ".war", ".ear",
+    )),
+    ("archive", (
+        ".gz", ".bz2", ".7z", ".rar", ".xz", ".lz", ".lzma", ".iso", ".dmg", ".img", ".vhd", ".vmdk", ".vdi", ".ova", ".ovf", ".qcow2", ".toast", ".cdr",
+        ".nrg", ".mds", ".mdf", ".mdzip", ".sitx", ".cab", ".ace", ".arj", ".cpio",
+    )),
+    ("data", (
+        ".yaml", ".yml", ".toml", ".ini", ".conf", ".cfg", ".sqlite", ".db", ".mdb", ".accdb", ".sqlite3", ".sqlite-wal", ".sqlite-shm", ".dat", ".data",
+        ".prefs", ".properties", ".config", ".settings",
+    )),
+    ("font", (".ttf", ".otf", ".woff", ".woff2", ".eot", ".fon", ".dfont")),
+    ("installer", (
+        ".exe", ".msi", ".app", ".pkg", ".mpkg", ".deb", ".rpm", ".apk", ".ipa", ".run", ".bin", ".out", ".elf", ".dll", ".so", ".dylib", ".msu", ".appx",
+        ".msix", ".flatpak", ".snap", ".appimage",
+    )),
+    ("certificate", (".p7b", ".p12", ".pfx", ".cer", ".crt", ".pem", ".der", ".csr", ".p7c", ".spc", ".pub", ".wzd")),
+    ("shortcut", (".lnk", ".url", ".webloc", ".desktop", ".rdp", ".vncloc")),
+    ("scientific", (".mat", ".fig", ".hdf5", ".h5", ".nc", ".fits", ".npy", ".npz", ".rdata", ".rds", ".sav", ".dta", ".pkl", ".pickle")),
+    ("financial", (".qdf", ".qel", ".qfx", ".qif", ".qpb", ".qsd", ".qph", ".qxf", ".qmtf", ".qnx", ".txf")),
+    ("backup", (".bak", ".backup", ".old", ".orig", ".save", ".swp", ".tmp~")),
+    ("temporary", (".tmp", ".temp", ".cache", ".crdownload", ".part", ".download", ".partial", ".filepart")),
+    ("system", (
+        ".strings", ".plist", ".nib", ".xib", ".storyboard", ".mobileprovision", ".entitlements", ".car", ".tbd", ".framework", ".bundle", ".xcuserstate",
+        ".xcworkspacedata", ".xcscheme", ".xcbkptlist",
+    )),
+    ("code", (".xcodeproj", ".xcworkspace", ".pbxproj")),
 )
 #: Prefixes of financial extensions, tested after the financial ones above.
 FINANCIAL_PREFIXES = (".tax", ".q2", ".t2", ".h2")
-# MIME types that decide a category, besides those by their first part.
-MIME_CATEGORIES = {
-    "document": "application/pdf application/msword application/vnd.openxmlformats-officedocument.wordprocessingml.document application/rtf",
-    "spreadsheet": "application/vnd.ms-excel application/vnd.openxmlformats-officedocument.spreadsheetml.sheet",
-    "presentation": "application/vnd.ms-powerpoint application/vnd.openxmlformats-officedocument.presentationml.presentation",
-    "archive": "application/zip application/x-tar application/x-gzip application/x-bzip2 application/x-7z-compressed application/x-rar-compressed application/x-iso9660-image",
-    "data": "application/json application/xml",
-    "installer": "application/x-executable application/x-mach-binary application/x-msdownload",
-    "code": "application/x-sh",
-}
 # Fixed values of the name and path stage.
 CODE_NAMES = ("Makefile", "makefile", "Rakefile", "Gemfile")
 SYSTEM_NAMES = ("CodeResources", "Info.plist", "PkgInfo", "version.plist", "Dockerfile", "Vagrantfile", ".gitignore", ".dockerignore", "bootstrap", "jquery", "LICENSE", "README", "CHANGELOG")
@@ -53,29 +77,20 @@ WEB_ROOTS = ("/http/", "/https/", "/www/", "/website/", "/websites/", "/web/", "
 APPLICATION_ROOTS = ("/packettracer/", "/packet tracer/")
 CATEGORIES = ("image", "video", "audio", "font", "document", "spreadsheet", "presentation", "archive", "data", "installer", "code", "certificate", "shortcut", "scientific", "financial", "backup", "temporary", "system", "education", "web", "application", "other")
 
-#: The interpreter's own tables, without the files of the machine, so that every host decides alike.
-TYPES = mimetypes.MimeTypes(filenames=())
-
 
-def mime_category(mime: str | None) -> str | None:
-    if mime is None:
-        return None
-    first = mime.split("/", 1)[0]
-    if first in ("image", "video", "audio", "font"):
-        return first
-    if first == "text":
-        return "spreadsheet" if mime == "text/csv" else "document"
-    return next((c for c, types in MIME_CATEGORIES.items() if mime in types.split()), None)
+def _first(groups: tuple) -> list[tuple[str, str]]:
+    """(extension, category), each extension with the first category that names it."""
+    out: dict[str, str] = {}
+    for category, names in groups:
+        for e in names:
+            out.setdefault(e, category)
+    return sorted(out.items())
 
 
 def mime_table() -> list[tuple[str, str]]:
     """(extension, category) of the extensions whose MIME type decides."""
-    return [(e, c) for e, m in sorted(TYPES.types_map[True].items()) if (c := mime_category(m))]
+    return _first(MIME_EXTENSIONS)
 
 
 def extension_table() -> list[tuple[str, str]]:
-    out: dict[str, str] = {}
-    for category, names in EXTENSIONS:
-        for e in names.split():
-            out.setdefault(e, category)
-    return sorted(out.items())
+    return _first(EXTENSIONS)

@@ -21,11 +21,11 @@ def mime_extension(path: Column | str) -> Column:
     name = file_name(path)
     own = _raw_ext(name)
     full = name
-    for short, long in sorted(rules.TYPES.suffix_map.items()):
+    for short, long in sorted(rules.SUFFIX_MAP.items()):
         full = F.when(F.lower(own) == short, F.concat(F.substring(name, F.lit(1), F.length(name) - len(short)), F.lit(long))).otherwise(full)
     last = _raw_ext(full)
     inner = _raw_ext(F.substring(full, F.lit(1), F.length(full) - F.length(last)))
-    return F.lower(F.when(last.isin(*rules.TYPES.encodings_map), inner).otherwise(last))
+    return F.lower(F.when(last.isin(*rules.ENCODINGS), inner).otherwise(last))
 
 
 def by_name_and_path(path: Column | str) -> Column:

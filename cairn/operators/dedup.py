@@ -59,22 +59,7 @@ def duplicate_totals(files: DataFrame, seq: str = "id") -> DataFrame:
     return out.withColumn("n_unique_rows", F.col("n_files") - F.col("n_duplicates"))
 
 
-def same_names(files: DataFrame, examples: int = 20) -> DataFrame:
-    """name, n, and the first paths in order, of file names that several rows bear.
-
-    A name that a large part of all rows bear has as many examples as any other; all its rows come
-    from name_members.
-    """
-    from pyspark.sql import Window
-
-    named = files.where("path is not null").select(file_name("path").alias("name"), "path")
-    counts = named.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    rn = F.row_number().over(Window.partitionBy("name").orderBy("path"))  # limited by name before the shuffle
-    few = named.withColumn("rn", rn).where(F.col("rn") <= examples).groupBy("name").agg(F.array_join(F.array_sort(F.collect_list("path")), ", ").alias("paths"))
-    return counts.join(few, "name")
-
-
-def name_members(files: DataFrame, seq: str = "id") -> DataFrame:
+def same_names(files: DataFrame, seq: str = "id") -> DataFrame:
     """name, n and path of every row whose file name several rows bear. A frequent name is cut like any hot key."""
     named = files.where("path is not null").select(seq, file_name("path").alias("name"), "path")
     counts = named.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1")

@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 from itertools import islice
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions.paths import ancestors, file_name, parent, path_metadata
 from cairn.functions.rules import APPLICATION_ROOTS, WEB_ROOTS
 from cairn.operators.ranking import numbered
+from cairn.operators.skew import fragment_join
 
 
 def _from(path: Column, searched: Column, roots: tuple[str, ...]) -> Column:
@@ -40,7 +41,7 @@ def plan(files: DataFrame, base: str, keep_root: bool = True) -> DataFrame:
 def mark_collisions(planned: DataFrame, seq: str = "id") -> DataFrame:
     """planned with status: the first of several files for one destination is `planned`, the rest `collision`."""
     first = planned.groupBy("destination").agg(F.min(F.struct(F.col(seq).alias("s"), F.col("path").alias("p"))).alias("__cairn_first"))
-    met = planned.join(first, "destination", "left")
+    met = fragment_join(planned, first, "destination", [seq, "path"], "left")  # a destination that many files share is cut
     wins = (F.col("__cairn_first.s") == F.col(seq)) & (F.col("__cairn_first.p") == F.col("path"))
     return met.withColumn("status", F.when(F.coalesce(wins, F.lit(False)), "planned").otherwise("collision")).drop("__cairn_first")
 
@@ -59,6 +60,14 @@ def preview(planned: DataFrame, fmt: str = "txt") -> DataFrame:
     return planned.select(F.concat_ws(" -> ", "path", "destination").alias("value"))
 
 
+def dry_run(planned: DataFrame, fmt: str = "txt") -> DataFrame:
+    """One column `value`: every record of a run that changes nothing, with all its columns and its destination."""
+    if fmt == "json":
+        return planned.select(F.to_json(F.struct(*planned.columns)).alias("value"))
+    field = lambda c: F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("None")))
+    return planned.select(F.concat_ws(", ", *(field(c) for c, kind in planned.dtypes if not kind.startswith(("struct", "array", "map")))).alias("value"))
+
+
 def tree_counts(planned: DataFrame, column: str = "destination") -> DataFrame:
     """dir, depth, direct files and all files below, of every folder of the plan."""
     parents = planned.where(F.col(column).isNotNull()).groupBy(parent(column).alias("d")).agg(F.count(F.lit(1)).alias("n"))
@@ -95,13 +104,9 @@ def tree_lines(planned: DataFrame, max_depth: int = 5, lines: int = 2000) -> lis
     return [*out, f"{rest:,} more lines are not shown"] if rest else out
 
 
-def enumerate_plan(planned: DataFrame, seq: str = "id", top: int | None = None) -> DataFrame:
-    """The plan's rows, numbered in order, with sizes in units of a million bytes; with top, only the first so many."""
-    rows = planned.select(seq, "path", "type", "size", "destination")
-    if top is None:
-        rows = numbered(rows, seq, "path")
-    else:
-        rows = rows.orderBy(seq, "path").limit(top).withColumn("n", F.row_number().over(Window.orderBy(seq, "path")))  # over at most `top` rows
+def enumerate_plan(planned: DataFrame, seq: str = "id") -> DataFrame:
+    """The plan's rows, numbered in order, with sizes in units of a million bytes."""
+    rows = numbered(planned.select(seq, "path", "type", "size", "destination"), seq, "path")
     return rows.select("n", file_name("path").alias("name"), "type", (F.col("size") / 1_000_000).alias("size_mb"), F.col("path").alias("source"), "destination")
 
 

@@ -1,24 +1,29 @@
 """The library of analytic queries over files and classifications.
 
 All sort orders end in path and id, so that ties have one result. Sizes in MB and GB are rounded with
-exact integers. Limits are those of the top-k reports. Example lists hold the first EXAMPLES values;
-q03_names and q04_extensions have all of them, a row each.
+exact integers. Limits are those of the top-k reports. Concatenated lists are whole and in order, in
+parts of PART values, a row each, so that no value is cut and no row grows with the data.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.catalog import table
 from cairn.functions.paths import file_ext, file_name, hundredths, path_metadata
+from cairn.operators.ranking import numbered
 
 KB, MB, GB = 1 << 10, 1 << 20, 1 << 30
-EXAMPLES = 20
+PART = 1000  #: values of a concatenated list in one row
 EDUCATION = ("%/cs%", "%/ceg%", "%/stat%", "%/mat%", "%/econ%", "%homework%", "%assignment%", "%lab%", "%project%")  # fixed values
 INSTALLERS = ("exe", "msi", "pkg", "mpkg", "app", "deb", "rpm", "dmg", "iso", "img", "apk", "ipa", "flatpak", "snap")  # fixed values
 
 
+#: Endings that the queries for kinds of files which the tables lack put behind paths, by id.
+ENDINGS = ("", ".exe", ".dat", ".bin", ".TMP", ".h264", ".so.1", ".dylib", ".sqlite-wal")
+
+
 def joined(spark, d, how: str = "left") -> DataFrame:
     f = table(spark, d, "files")
     c = table(spark, d, "classifications").select("file_id", "category", "confidence", "classified_at", F.col("id").alias("class_id"))
@@ -52,14 +57,17 @@ def _by_ext(df: DataFrame, name: str = "extension"):
     return df.groupBy(file_ext("path").alias(name))
 
 
-def _examples(df: DataFrame, key: str, value: str, distinct: bool = False) -> DataFrame:
-    """The first values of each key in order, in one string; limited by key before the shuffle."""
-    if distinct:
-        df = df.select(key, value).distinct()
-    order = [value] if distinct else [value, "id", "class_id"]
-    rn = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    few = df.withColumn("rn", rn).where(F.col("rn") <= EXAMPLES)
-    return few.groupBy(key).agg(F.expr(f"listagg({value}, ', ') WITHIN GROUP (ORDER BY {value})").alias("found"))
+def _lists(rows: DataFrame, top: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """top, the rows of a report, with the values of each key: the whole list in order, in parts of PART."""
+    held = rows.where(F.col(value).isNotNull()).join(F.broadcast(top.select(key)), key)  # the report's few rows
+    placed = numbered(held, key, value, name="at")
+    first = placed.groupBy(key).agg(F.min("at").alias("first"))
+    parts = placed.join(F.broadcast(first), key).groupBy(key, F.expr(f"cast((at - first) div {PART} + 1 as int)").alias("part"))
+    return top.join(parts.agg(F.expr(f"listagg({value}, ', ') WITHIN GROUP (ORDER BY {value})").alias(name)), key, "left")
+
+
+def _with_endings(df: DataFrame) -> DataFrame:
+    return df.withColumn("path", F.concat("path", F.element_at(F.array(*map(F.lit, ENDINGS)), (F.col("id") % len(ENDINGS) + 1).cast("int"))))
 
 
 def q01(spark, d):
@@ -79,34 +87,18 @@ def _folders(spark, d):
     return of(spark, d, "other").withColumns({"parent_directory": F.substring_index("path", "/", -2), "extension": file_ext("path")})
 
 
-def _of_largest(rows: DataFrame, key: str, n: int) -> DataFrame:
-    """The rows of the n keys that most rows bear."""
-    top = _top(rows.groupBy(key).agg(F.count(F.lit(1)).alias("file_count")), n, F.desc("file_count"), key)
-    return rows.join(F.broadcast(top.select(key)), key)  # n rows
-
-
 def q03(spark, d):
     rows = _names(spark, d)
     g = rows.groupBy("extension").agg(F.count(F.lit(1)).alias("file_count"), mean(MB).alias("avg_size_mb"), hundredths(F.min("size"), KB).alias("min_size_kb"), hundredths(F.max("size"), MB).alias("max_size_mb"))
     top = _top(g, 50, F.desc("file_count"), "extension")
-    return top.join(_examples(rows, "extension", "name").withColumnRenamed("found", "example_files"), "extension", "left")
-
-
-def q03_names(spark, d):
-    """The name of every file of q03's extensions."""
-    return _of_largest(_names(spark, d), "extension", 50).select("extension", "name")
+    return _lists(rows.select("extension", "name"), top, "extension", "name", "example_files")
 
 
 def q04(spark, d):
     rows = _folders(spark, d)
     g = rows.groupBy("parent_directory").agg(F.count(F.lit(1)).alias("file_count"), total(MB).alias("total_size_mb"))
     top = _top(g, 25, F.desc("file_count"), "parent_directory")
-    return top.join(_examples(rows, "parent_directory", "extension", True).withColumnRenamed("found", "extensions_found"), "parent_directory", "left")
-
-
-def q04_extensions(spark, d):
-    """Every extension in q04's folders."""
-    return _of_largest(_folders(spark, d), "parent_directory", 25).select("parent_directory", "extension").distinct()
+    return _lists(rows.select("parent_directory", "extension").distinct(), top, "parent_directory", "extension", "extensions_found")
 
 
 def q05(spark, d):
@@ -114,13 +106,11 @@ def q05(spark, d):
     return _top(rows, 50, F.desc_nulls_last("size"), "path", "id")
 
 
-def _summary(df: DataFrame) -> DataFrame:
-    one = lambda name, v: df.agg(v.cast("double").alias("value")).select(F.lit(name).alias("metric"), "value")
-    return one('Total "other" files', F.count(F.lit(1))).union(one("Total size (GB)", total(GB))).union(one("Average file size (MB)", mean(MB))).union(one("Unique extensions", F.count_distinct(file_ext("path"))))
-
-
 def q06(spark, d):
-    return _summary(of(spark, d, "other"))
+    """Four figures from one aggregate, a row each."""
+    one = of(spark, d, "other").agg(F.count(F.lit(1)).alias("n"), total(GB).alias("gb"), mean(MB).alias("mb"), F.count_distinct(file_ext("path")).alias("e"))
+    each = (('Total "other" files', "n"), ("Total size (GB)", "gb"), ("Average file size (MB)", "mb"), ("Unique extensions", "e"))
+    return one.select(F.inline(F.array(*(F.struct(F.lit(name).alias("metric"), F.col(c).cast("double").alias("value")) for name, c in each))))
 
 
 def q07(spark, d):
@@ -141,11 +131,11 @@ def q09(spark, d, pattern: str = "report"):
 
 
 def q10(spark, d):
-    rows = joined(spark, d)
-    n = table(spark, d, "files").count()
-    whole = rows.agg(F.count(F.lit(1)).alias("count")).select(F.lit("Total files").alias("category"), "count", F.lit(100.0).alias("percentage"))
-    part = rows.where("category is not null").groupBy("category").agg(F.count(F.lit(1)).alias("count"))
-    part = part.withColumn("percentage", F.call_function("div", F.col("count") * 20000 + n, F.lit(2 * max(n, 1)).cast("long")) / F.lit(100.0))
+    """The whole and each category, from one count by category; the files are counted in a scalar subquery."""
+    by = joined(spark, d).groupBy("category").agg(F.count(F.lit(1)).alias("count"))
+    n = table(spark, d, "files").agg(F.greatest(F.count(F.lit(1)), F.lit(1)).cast("long")).scalar()
+    whole = by.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("count")).select(F.lit("Total files").alias("category"), "count", F.lit(100.0).alias("percentage"))
+    part = by.where("category is not null").withColumn("percentage", F.call_function("div", F.col("count") * 20000 + n, n * 2) / F.lit(100.0))
     return whole.union(part).orderBy(F.desc("count"), "category")
 
 
@@ -163,11 +153,11 @@ def d02(spark, d):
 
 
 def d03(spark, d):
-    """The duplicates of one path: all rows with the hash of the smallest path that the most frequent name bears."""
+    """The duplicates of one path: all rows with the hash of the smallest path that has a content hash."""
     f = table(spark, d, "files")
-    one = f.where(F.col("hash") != "METADATA_ONLY").agg(F.min("path").alias("p")).first()[0]
-    f.createOrReplaceTempView("cairn_files")
-    return spark.sql("SELECT id, path, size, hash FROM cairn_files WHERE hash = (SELECT max(hash) FROM cairn_files WHERE path = {p})", p=one)
+    one = f.where(F.col("hash") != "METADATA_ONLY").agg(F.min("path")).scalar()
+    same = f.where(F.col("path") == one).agg(F.max("hash")).scalar()
+    return f.where(F.col("hash") == same).select("id", "path", "size", "hash")
 
 
 def d04(spark, d):
@@ -193,7 +183,7 @@ def d07(spark, d):
 
 
 def d08(spark, d):
-    return joined(spark, d, "inner").where((F.col("category") == "other") & F.col("path").like("%.exe")).select("id", "path", "class_id")
+    return _with_endings(joined(spark, d, "inner")).where((F.col("category") == "other") & F.col("path").like("%.exe")).select("id", "path", "class_id")
 
 
 def d09(spark, d):
@@ -220,7 +210,7 @@ def d13(spark, d):
 
 def d14(spark, d):
     p = F.lower("path")
-    return of(spark, d, "other").where(p.like("%.dat") | p.like("%.bin") | p.like("%.tmp") | p.like("%.h264")).select("id", "class_id", "path", mb().alias("size_mb"))
+    return _with_endings(of(spark, d, "other")).where(p.like("%.dat") | p.like("%.bin") | p.like("%.tmp") | p.like("%.h264")).select("id", "class_id", "path", mb().alias("size_mb"))
 
 
 def d15(spark, d):
@@ -273,7 +263,7 @@ def d25(spark, d):
 
 def d26(spark, d):
     p = F.col("path")
-    return of(spark, d, "application", "other", "data").where(p.like("%.so%") | p.like("%.dylib%") | p.like("%.sqlite%")).select("id", "class_id", "path", "size", mb().alias("size_mb")).orderBy(F.desc_nulls_last("size"), "path", "id")
+    return _with_endings(of(spark, d, "application", "other", "data")).where(p.like("%.so%") | p.like("%.dylib%") | p.like("%.sqlite%")).select("id", "class_id", "path", "size", mb().alias("size_mb")).orderBy(F.desc_nulls_last("size"), "path", "id")
 
 
 def d27(spark, d):
@@ -291,7 +281,6 @@ def d29(spark, d):
 
 
 SPARK = {k: v for k, v in list(globals().items()) if callable(v) and len(k) == 3 and k[0] in "qd" and k[1:].isdigit()}
-SPARK |= {"q03_names": q03_names, "q04_extensions": q04_extensions}
 
 # ---- the same in DuckDB's SQL ----
 
@@ -305,14 +294,17 @@ _O = f"{_L} WHERE category = 'other'"
 _SIZE = "size DESC NULLS LAST, path, id"
 _likes = lambda c, ps: " OR ".join(f"{c} LIKE '{p}'" for p in ps)
 _quoted = lambda xs: ", ".join(f"'{x}'" for x in xs)
+_parts = lambda key, value, distinct="": (
+    f"v AS (SELECT {distinct} {key}, {value} FROM o SEMI JOIN t USING ({key}) WHERE {value} IS NOT NULL), n AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY {value}) - 1 AS place FROM v),"
+    f" p AS (SELECT {key}, (place // {PART} + 1)::INT AS part, string_agg({value}, ', ' ORDER BY {value}) AS list FROM n GROUP BY ALL)"
+)
+_ended = lambda rows: f"(SELECT * REPLACE (path || ([{_quoted(ENDINGS)}])[id % {len(ENDINGS)} + 1] AS path) FROM {rows})"
 
 SQL = {
     "q01": f"SELECT path, size, hash, category, scanned_at, id FROM {_O} ORDER BY {_SIZE}",
     "q02": f"SELECT {_EXT} AS file_extension, count(*) AS count, sum(size)::BIGINT AS total_size, {_sum(MB)} AS total_size_mb, min(path) AS example_file FROM {_O} GROUP BY ALL",
-    "q03": f"SELECT {_EXT} AS extension, count(*) AS file_count, {_avg(MB)} AS avg_size_mb, {_r('min(size)', KB)} AS min_size_kb, {_r('max(size)', MB)} AS max_size_mb, array_to_string(list_sort(list({_NAME}))[1:{EXAMPLES}], ', ') AS example_files FROM {_O} GROUP BY {_EXT} ORDER BY file_count DESC, extension LIMIT 50",
-    "q04": f"SELECT array_to_string(string_split(path, '/')[-2:], '/') AS parent_directory, count(*) AS file_count, {_sum(MB)} AS total_size_mb, array_to_string(list_sort(list(DISTINCT {_EXT}))[1:{EXAMPLES}], ', ') AS extensions_found FROM {_O} GROUP BY parent_directory ORDER BY file_count DESC, parent_directory LIMIT 25",
-    "q03_names": f"WITH o AS (SELECT {_EXT} AS extension, {_NAME} AS name FROM {_O}), t AS (SELECT extension, count(*) AS file_count FROM o GROUP BY extension ORDER BY file_count DESC, extension LIMIT 50) SELECT extension, name FROM o JOIN t USING (extension)",
-    "q04_extensions": f"WITH o AS (SELECT array_to_string(string_split(path, '/')[-2:], '/') AS parent_directory, {_EXT} AS extension FROM {_O}), t AS (SELECT parent_directory, count(*) AS file_count FROM o GROUP BY parent_directory ORDER BY file_count DESC, parent_directory LIMIT 25) SELECT DISTINCT parent_directory, extension FROM o JOIN t USING (parent_directory)",
+    "q03": f"WITH o AS (SELECT *, {_EXT} AS extension, {_NAME} AS name FROM {_O}), t AS (SELECT extension, count(*) AS file_count, {_avg(MB)} AS avg_size_mb, {_r('min(size)', KB)} AS min_size_kb, {_r('max(size)', MB)} AS max_size_mb FROM o GROUP BY extension ORDER BY file_count DESC, extension LIMIT 50), {_parts('extension', 'name')} SELECT t.*, part, list AS example_files FROM t LEFT JOIN p USING (extension)",
+    "q04": f"WITH o AS (SELECT *, array_to_string(string_split(path, '/')[-2:], '/') AS parent_directory, {_EXT} AS extension FROM {_O}), t AS (SELECT parent_directory, count(*) AS file_count, {_sum(MB)} AS total_size_mb FROM o GROUP BY parent_directory ORDER BY file_count DESC, parent_directory LIMIT 25), {_parts('parent_directory', 'extension', 'DISTINCT')} SELECT t.*, part, list AS extensions_found FROM t LEFT JOIN p USING (parent_directory)",
     "q05": f"SELECT path, size, {_r('size', MB)} AS size_mb, scanned_at, id FROM {_O} AND path NOT LIKE '%.%' ORDER BY {_SIZE} LIMIT 50",
     "q06": f"""SELECT 'Total "other" files' AS metric, count(*)::DOUBLE AS value FROM {_O} UNION ALL SELECT 'Total size (GB)', {_sum(GB)} FROM {_O} UNION ALL SELECT 'Average file size (MB)', {_avg(MB)} FROM {_O} UNION ALL SELECT 'Unique extensions', count(DISTINCT {_EXT}) FROM {_O}""",
     "q07": f"SELECT path, {_r('size', MB)} AS size_mb, {_EXT} AS extension, {_NAME} AS filename, scanned_at, id FROM {_O} ORDER BY {_SIZE} LIMIT 50",
@@ -327,13 +319,13 @@ SQL = {
     "d05": "SELECT hash, count(*) AS n FROM files WHERE hash IS NOT NULL GROUP BY hash HAVING count(*) > 1",
     "d06": "SELECT is_duplicate, count(*) AS n, sum(size)::BIGINT AS total_size FROM files GROUP BY is_duplicate",
     "d07": "SELECT category, count(*) AS n, coalesce(category IN ('other', 'temporary', 'system'), false) AS asked FROM classifications GROUP BY category",
-    "d08": f"SELECT id, path, class_id FROM {_I} WHERE category = 'other' AND path LIKE '%.exe'",
+    "d08": f"SELECT id, path, class_id FROM {_ended(_I)} WHERE category = 'other' AND path LIKE '%.exe'",
     "d09": f"SELECT count(*) AS n FROM {_I} WHERE category = 'other' AND scanned_at > TIMESTAMP '2025-01-01'",
     "d10": "SELECT DISTINCT category FROM classifications",
     "d11": "SELECT id, path FROM files f WHERE NOT EXISTS (SELECT 1 FROM classifications c WHERE c.file_id = f.id)",
     "d12": "SELECT count(*) AS n FROM classifications WHERE category = 'other'",
     "d13": f"SELECT count(*) AS n, {_sum(GB)} AS gb, {_avg(MB)} AS avg_mb, count(DISTINCT {_EXT}) AS extensions FROM {_O}",
-    "d14": f"SELECT id, class_id, path, {_r('size', MB)} AS size_mb FROM {_O} AND ({_likes('lower(path)', ('%.dat', '%.bin', '%.tmp', '%.h264'))})",
+    "d14": f"SELECT id, class_id, path, {_r('size', MB)} AS size_mb FROM {_ended(_L)} WHERE category = 'other' AND ({_likes('lower(path)', ('%.dat', '%.bin', '%.tmp', '%.h264'))})",
     "d15": f"SELECT category, count(*) AS n, {_sum(GB)} AS gb FROM {_L} GROUP BY category",
     "d16": f"SELECT id, path FROM {_L} WHERE class_id IS NULL ORDER BY path, id LIMIT 100",
     "d17": f"SELECT {_EXT} AS extension, count(*) AS n, {_sum(MB)} AS mb FROM {_L} WHERE category = 'financial' GROUP BY ALL",
@@ -345,7 +337,7 @@ SQL = {
     "d23": f"SELECT id, class_id, category, path, {_r('size', MB)} AS size_mb FROM {_L} WHERE category IN ('web', 'application', 'archive')",
     "d24": f"SELECT CASE WHEN path LIKE '%/http/%' THEN 'http' WHEN path LIKE '%/https/%' THEN 'https' WHEN path LIKE '%/www/%' THEN 'www' WHEN path LIKE '%/website/%' THEN 'website' WHEN path LIKE '%/websites/%' THEN 'websites' ELSE 'other_web' END AS web_root, count(*) AS file_count, {_sum(MB)} AS total_mb FROM {_L} WHERE category IN ('web', 'document', 'image') GROUP BY ALL",
     "d25": f"SELECT {_EXT} AS extension, count(*) AS n, {_sum(MB)} AS mb FROM {_L} WHERE category = 'data' GROUP BY ALL ORDER BY n DESC, extension LIMIT 10",
-    "d26": f"SELECT id, class_id, path, size, {_r('size', MB)} AS size_mb FROM {_L} WHERE category IN ('application', 'other', 'data') AND ({_likes('path', ('%.so%', '%.dylib%', '%.sqlite%'))})",
+    "d26": f"SELECT id, class_id, path, size, {_r('size', MB)} AS size_mb FROM {_ended(_L)} WHERE category IN ('application', 'other', 'data') AND ({_likes('path', ('%.so%', '%.dylib%', '%.sqlite%'))})",
     "d27": f"SELECT id, class_id, path, category FROM {_I} WHERE category IN ('font', 'installer', 'temporary')",
     "d28": "SELECT id, path FROM (SELECT *, string_split(path, '/') AS p FROM files) WHERE list_filter(p, lambda x: x IN ('Desktop', 'Documents', 'Downloads', 'Pictures', 'Movies', 'Music') OR (contains(x, ' - ') AND regexp_matches(x, 'Desktop|Documents|Downloads|Pictures|Movies|Music')))[1] = 'Documents' AND list_contains(p[list_position(p, 'Documents') + 1:len(p) - 1], 'STAT2210')",
     "d29": f"SELECT id, class_id, path, category FROM {_I} WHERE path LIKE '/Users/shared/%/budget%'",

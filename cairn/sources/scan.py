@@ -1,11 +1,13 @@
 """A directory tree as a table: a Python data source that lists, prunes and hashes in the readers.
 
 `spark.dataSource.register(FileTree)`, then `spark.read.format("file_tree").option("path", root).load()`
-gives path, is_dir, size, mtime, hash, metadata_only, error. Each folder below a root is read by a
-task of its own, up to `partitions`; the driver lists two levels at most.
+gives path, is_dir, size, mtime, hash, metadata_only, error. The driver lists folders level by level until
+there are `partitions` of them to give to tasks; a folder of many files is given to several, each taking
+the names that fall to it.
 
 Options: path, filter (names of folders below path, comma-separated), ignore (patterns, one a line),
-hash (true), metadata_only_size (bytes; larger entries get no content hash), follow_symlinks (true).
+hash (true), metadata_only_size (bytes; larger entries get no content hash), follow_symlinks (true),
+rules (true; without them every regular file comes, hidden or in a package), partitions (64).
 Hidden entries are left out; packages are one entry each, and their content is not listed unless the
 package is ignored, when its files come one by one.
 """
@@ -14,6 +16,8 @@ from __future__ import annotations
 
 import hashlib
 import os
+import zlib
+from collections import deque
 from collections.abc import Iterator
 from datetime import datetime, timezone
 from fnmatch import fnmatchcase
@@ -26,6 +30,7 @@ from cairn.functions.paths import PACKAGE_EXTENSIONS
 from cairn.schemas import METADATA_ONLY, SCAN
 
 CHUNK = 1 << 16
+FILES_A_TASK = 2_000  #: of one folder
 
 
 def read_patterns(text: str) -> list[str]:
@@ -97,8 +102,10 @@ def package_size(top: str) -> int:
 
 
 class Folder(InputPartition):
-    def __init__(self, path: str, deep: bool):
-        self.path, self.deep = path, deep
+    """A folder with all below it, or only the entries of one part of it."""
+
+    def __init__(self, path: str, deep: bool, part: int = 0, parts: int = 1):
+        self.path, self.deep, self.part, self.parts = path, deep, part, parts
 
 
 class TreeReader(DataSourceReader):
@@ -110,25 +117,37 @@ class TreeReader(DataSourceReader):
         limit = options.get("metadata_only_size")
         self.limit = None if limit in (None, "") else int(limit)
         self.links = (options.get("follow_symlinks") or "true").lower() == "true"
+        self.rules = (options.get("rules") or "true").lower() == "true"
+        self.many = int(options.get("partitions") or 64)
 
     def partitions(self) -> list[Folder]:
         tops = list(dict.fromkeys(os.path.join(self.root, n) for n in self.names)) if self.names else [self.root]
         tops = [t for t in tops if os.path.isdir(t)]
         tops = [t for t in tops if not any(t != u and t.startswith(u + os.sep) for u in tops)]
-        out = []
-        for t in tops:
-            if any(part.startswith(".") for part in t.split(os.sep) if part):
+        wait = deque(t for t in tops if not (self.rules and any(part.startswith(".") for part in t.split(os.sep) if part)))
+        out: list[Folder] = []
+        while wait and len(out) + len(wait) < self.many:
+            t = wait.popleft()
+            folders, files = [], 0
+            try:
+                with os.scandir(t) as entries:
+                    for e in entries:
+                        if e.is_dir() and self._descend(e.path):
+                            folders.append(e.path)
+                        else:
+                            files += 1
+            except OSError:
                 continue
-            out.append(Folder(t, False))
-            with os.scandir(t) as entries:
-                out += [Folder(e.path, True) for e in sorted(entries, key=lambda e: e.name) if e.is_dir() and self._descend(e.path)]
-        return out
+            parts = max(1, -(-files // FILES_A_TASK))
+            out += [Folder(t, False, k, parts) for k in range(parts)]
+            wait.extend(sorted(folders))
+        return out + [Folder(t, True) for t in wait]
 
     def _descend(self, path: str) -> bool:
         name = os.path.basename(path)
-        if name.startswith(".") or os.path.islink(path):
+        if os.path.islink(path):
             return False
-        return not is_package(path) or ignored(path, self.patterns)
+        return not self.rules or not name.startswith(".") and (not is_package(path) or ignored(path, self.patterns))
 
     def _entry(self, path: str, package: bool) -> tuple:
         is_dir = size = mtime = digest = error = None
@@ -146,25 +165,28 @@ class TreeReader(DataSourceReader):
             error = str(e)
         return path, bool(is_dir), size, mtime, digest, only, error
 
-    def _walk(self, top: str, deep: bool) -> Iterator[tuple]:
+    def _walk(self, top: str, deep: bool, part: int = 0, parts: int = 1) -> Iterator[tuple]:
         try:
             with os.scandir(top) as it:
                 entries = sorted(it, key=lambda e: e.name)
         except OSError:
             return
         for e in entries:
-            if e.name.startswith(".") or (e.is_symlink() and not self.links):
+            if parts > 1 and zlib.crc32(os.fsencode(e.name)) % parts != part:
+                continue
+            if self.rules and e.name.startswith(".") or (e.is_symlink() and not self.links):
                 continue
-            if is_package(e.path) and not ignored(e.path, self.patterns):
+            package = self.rules and is_package(e.path)
+            if package and not ignored(e.path, self.patterns):
                 yield self._entry(e.path, True)
             elif e.is_dir():
                 if deep and self._descend(e.path):
                     yield from self._walk(e.path, True)
-            elif not is_package(e.path) and e.is_file() and not ignored(e.path, self.patterns):
+            elif not package and e.is_file() and not (self.rules and ignored(e.path, self.patterns)):
                 yield self._entry(e.path, False)
 
     def read(self, partition: Folder) -> Iterator[tuple]:
-        return self._walk(partition.path, partition.deep)
+        return self._walk(partition.path, partition.deep, partition.part, partition.parts)
 
 
 class FileTree(DataSource):
@@ -180,7 +202,7 @@ class FileTree(DataSource):
 
 
 def scan(spark: SparkSession, root: str, names: list[str] | None = None, max_files: int | None = None, patterns: list[str] | None = None, metadata_only_size: int | None = None, hashes: bool = True) -> DataFrame:
-    """The tree below root; with max_files the first so many entries in the order of their path parts."""
+    """The tree below root; with max_files the first so many entries in the order of their path parts, hashed once they are known."""
     from pyspark.sql import functions as F
 
     spark.dataSource.register(FileTree)
@@ -189,7 +211,17 @@ def scan(spark: SparkSession, root: str, names: list[str] | None = None, max_fil
     if metadata_only_size is not None:
         read = read.option("metadata_only_size", str(metadata_only_size))
     df = read.load()
-    return df.orderBy(F.split("path", "/")).limit(max_files) if max_files else df
+    if not max_files:
+        return df
+    first = df.orderBy(F.split("path", "/")).limit(max_files)
+    return hash_column(first) if hashes else first
+
+
+def walk(spark: SparkSession, root: str) -> DataFrame:
+    """path and size of every regular file below root, without any rule; what cannot be read is left out."""
+    spark.dataSource.register(FileTree)
+    df = spark.read.format("file_tree").option("path", root).option("hash", "false").option("rules", "false").load()
+    return df.where("error is null").select("path", "size")
 
 
 def hash_column(df: DataFrame) -> DataFrame:

@@ -42,13 +42,35 @@ def test_options(spark, tree):
     assert "d/e/three.tmp" not in got and "I.app" not in got and "I.app/inner/f.txt" in got
     assert got["T.app"].hash == "METADATA_ONLY" and got["T.app"].metadata_only and not got["one.txt"].metadata_only
     assert set(listed(s.scan(spark, str(tree), names=["d", "d", "none"]), tree)) == {"d/two.txt", "d/_under.txt", "d/e/three.tmp"}
-    assert s.scan(spark, str(tree), max_files=3).count() == 3
+    few = s.scan(spark, str(tree), max_files=3).collect()
+    assert len(few) == 3 and all(r.hash for r in few)
     assert s.scan(spark, str(tree), max_files=0).count() == 8
     bare = s.scan(spark, str(tree), hashes=False)
     assert {r.hash for r in bare.collect()} == {None}
     assert {r.hash for r in s.hash_column(bare).collect()} == {r.hash for r in s.scan(spark, str(tree)).collect()}
 
 
+def test_walk_without_rules(spark, tree):
+    got = {os.path.relpath(r.path, tree): r.size for r in s.walk(spark, str(tree)).collect()}
+    assert len(got) == 14 and got[".git/config"] == 1 and got["T.app/Contents/MacOS/T"] == 12
+
+
+def test_tasks_follow_the_folders(tmp_path, monkeypatch):
+    """One big folder is not one task, whether its files lie below it or in it."""
+    monkeypatch.setattr(s, "FILES_A_TASK", 10)
+    for k in range(40):
+        p = tmp_path / "one" / f"sub{k % 4}" / "x"
+        p.mkdir(parents=True, exist_ok=True)
+        (p / f"f{k}").write_text("x")
+        (tmp_path / "one" / f"g{k}").write_text("x")
+    for many in ("3", "64"):
+        reader = s.TreeReader({"path": str(tmp_path), "partitions": many})
+        parts = reader.partitions()
+        got = [r[0] for p in parts for r in reader.read(p)]
+        assert len(got) == len(set(got)) == 80 and len(parts) >= 3
+    assert max(sum(1 for _ in reader.read(p)) for p in parts) < 30
+
+
 def test_patterns(tmp_path):
     assert s.read_patterns("# c\n\n *.tmp \n/a*\n") == ["*.tmp", "/a*"]
     assert s.load_patterns(str(tmp_path / "none")) == []

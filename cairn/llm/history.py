@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from cairn.catalog import content
 from cairn.operators.skew import fragment_join, plan_fragments
-from cairn.session import cut, shared_path
+from cairn.session import cut, remove, shared_path
 
 WORD = r"[\p{L}\p{Nd}]+"
 COUNTERS = 1 << 17  #: size of the table of word counts that orders words
@@ -202,8 +202,7 @@ class HistoryIndex:
         out.close()
 
     def remove(self) -> None:
-        fs, p = self._fs(self.path)
-        fs.delete(p, True)
+        remove(self.spark, self.path)
 
     @staticmethod
     def _bucket(key: str, n: int) -> Column:

@@ -47,7 +47,7 @@ def layout(text: str) -> str:
     a, b = PERCENT.search(text), PROMPT.search(text)
     if text.lstrip()[:1] == "{":
         key = text.find('"cells"')
-        if key >= 0 and (key < 4000 or not any(m and m.start() < key for m in (a, b))):
+        if key >= 0 and not any(m and m.start() < key for m in (a, b)):  # JSON has no line that begins with a mark
             return "json"
     if a and not (b and b.start() < a.start()):
         return "percent"

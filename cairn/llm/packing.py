@@ -151,7 +151,7 @@ def pack(documents: DataFrame, containers: DataFrame, buckets: int = BUCKETS, pa
         raise ValueError("containers need names and positive capacities")
     spark = documents.sparkSession
     sizes = sized(documents, path=path)
-    kind = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(name).alias("container"), F.lit(c).cast("long").alias("capacity_tokens")) for k, (name, c) in enumerate(kinds)))).alias("k")
+    kind = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(name).cast("string").alias("container"), F.lit(c).cast("long").alias("capacity_tokens")) for k, (name, c) in enumerate(kinds)))).alias("k")
     each = sizes.select("doc_id", "n_tokens", kind).select("doc_id", "n_tokens", "k.*")
     each = each.withColumns({"whole": F.expr("n_tokens div capacity_tokens"), "tokens": F.col("n_tokens") % F.col("capacity_tokens")})
     each = each.withColumn("pieces", F.col("whole") + (F.col("tokens") > 0).cast("long"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cairn.catalog import content_sql, table
 from cairn.llm import consensus, history, lookalike, mixing, packing, residue
-from cairn.session import shared_path
+from cairn.session import cut, shared_path
 
 
 def p2_found(spark, d):
@@ -18,8 +18,11 @@ def p2_last_batch(spark, d):
     files, excerpts = table(spark, d, "files"), table(spark, d, "excerpts")
     last = files.agg(F.max(F.to_date("scanned_at"))).first()[0]
     index = history.HistoryIndex(spark, shared_path(spark, "history"))
-    index.append(files.where(F.to_date("scanned_at") < F.lit(last)), excerpts)
-    return index.check(files.where(F.to_date("scanned_at") == F.lit(last)), excerpts)
+    try:
+        index.append(files.where(F.to_date("scanned_at") < F.lit(last)), excerpts)
+        return cut(index.check(files.where(F.to_date("scanned_at") == F.lit(last)), excerpts))
+    finally:
+        index.remove()
 
 
 def p3_found(spark, d):

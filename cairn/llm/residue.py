@@ -115,10 +115,11 @@ WORD = re.compile(r"§|[^\W\d_]+|0|\.{3}")
 GAPS = re.compile(r"\S {2,}\S.*\S {2,}\S|^\S+ {3,}\S+$|^ {4,}\S+ {2,}\S+")
 DIGITS = re.compile(r"\d+")
 MAY_SLOT = re.compile(r"[{<\[$@]|%%|__|XXX|goes here")
-MATH = re.compile(r"\$\$.*?\$\$|\$[^$\n]*[\\_^=][^$\n]*\$", re.S)
+MATH = re.compile(r"\$\$[^$]*\$\$|\$[^$\n\\_^=]*[\\_^=][^$\n]*\$")
 TAG = re.compile(r"</?(?:html|body|div|span|p|h[1-6]|noscript|center|b|i|br|hr|title|head)\b[^>]*>", re.I)
-ITEM = re.compile(r"^\s*(?:[-*+]\s+|#+\s).*$", re.M)
-CODE_LINE = re.compile(r"^\s*(?:%%?\w+|[!@]|[\w.\[\]']+\s*(?:<-|[+*]?=)\s|(?:import|from|def|for|if|return|print|assert|library|using|function|end|class|with|try|except|while)\b|\S+\(.*\)\s*$|#\s*your code here)")
+ITEM = re.compile(r"^[^\S\n]*(?:[-*+]\s+|#+\s).*$", re.M)
+CODE_LINE = re.compile(r"^\s*(?:%%?\w+|[!@]|[\w.\[\]']+\s*(?:<-|[+*]?=)\s|(?:import|from|def|for|if|return|print|assert|library|using|function|end|class|with|try|except|while)\b|#\s*your code here)")
+CALL = re.compile(r"\s*\S[^\s(]*\(")
 
 
 class Text:
@@ -255,7 +256,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, penalty: float = 1e-4, steps
 def _no_prose(block: str) -> bool:
     """Whether a block of a plain text is code, a table or a printout."""
     lines = block.split("\n")
-    if all(CODE_LINE.match(x) for x in lines) or sum(bool(GAPS.search(x)) for x in lines) * 2 >= len(lines):
+    if all(CODE_LINE.match(x) or CALL.match(x) and x.rstrip().endswith(")") for x in lines) or sum(bool(GAPS.search(x)) for x in lines) * 2 >= len(lines):
         return True
     words = block.split()
     numbers = sum(w.strip("()[],:%").replace(".", "").isdigit() for w in words)

@@ -36,6 +36,7 @@ def test_cells_of_every_form():
     assert text_cells(json.dumps(nb)) == ("json", ["a\nb", "c"])
     assert text_cells(json.dumps(nb)[:-30])[1][:1] == ["a\nb"]
     assert text_cells(json.dumps({"metadata": {"x": "y" * 9000}} | nb)) == ("json", ["a\nb", "c"])
+    assert text_cells("{x}\n\n" + percent("see \"cells\"", "c"))[0] == "percent"
     assert text_cells("a\r\n\r\nb") == ("plain", ["a", "b"])
     assert text_cells("") == ("plain", [])
 
@@ -110,6 +111,17 @@ def test_phrases_count_in_texts_of_any_length():
     assert [Text("\n\n".join([filler] * n)).label() for n in (1, 10, 11, 500)] == [1] * 4
 
 
+def test_very_long_texts():
+    import time
+
+    weights, began = np.zeros((1 << residue.BITS) + 1), time.perf_counter()
+    for text in ("f(" * 200_000, "a$_" * 200_000, "$_" + "_" * 300_000, "x\n" + "\n" * 300_000 + "y", "a  b" * 100_000, "{" * 200_000, "# %% [markdown]\n" * 20_000, "a" * 500_000, REAL * 3000):
+        residue.judge(text, weights, 0.0)
+        residue.judge(percent(text), weights, 0.0)
+        [t.label() for t in residue.units(text)[1]]
+    assert time.perf_counter() - began < 60
+
+
 def test_documents(spark):
     rows, true = [], set()
     n = 0

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 
 from pyspark.sql import functions as F
 
@@ -10,7 +11,7 @@ from cairn.catalog import table
 from cairn.functions import paths, rules
 from cairn.operators import classify, dedup, reclassify
 from cairn.plans import organize
-from cairn.session import shared_path
+from cairn.session import cut, remove, shared_path
 from cairn.sinks import execute, store
 from cairn.sources import scan
 
@@ -271,8 +272,11 @@ def hash_cache(spark, d):
 def hash_cache_by_path(spark, d):
     """Every file with the hash that a cache by path alone knew before the last scan date, kept as JSON and read again."""
     at = shared_path(spark, "hash-cache")
-    store.save_json_cache(_before_last_date(spark, d, "path", "hash").where("path is not null and hash is not null"), at)
-    return store.cached_by_path(_once(spark, d, "id", "path"), store.load_json_cache(spark, at)).select("id", "path", "hash")
+    try:
+        store.save_json_cache(_before_last_date(spark, d, "path", "hash").where("path is not null and hash is not null"), at)
+        return cut(store.cached_by_path(_once(spark, d, "id", "path"), store.load_json_cache(spark, at)).select("id", "path", "hash"))
+    finally:
+        remove(spark, at)
 
 
 def migrated(spark, d):
@@ -309,13 +313,15 @@ def _tree(spark) -> str:
 
 
 def _below(df, at: str):
-    return df.withColumn("path", F.substring("path", F.lit(len(os.path.realpath(at)) + 2), F.lit(1 << 30)))
+    """What a scan found, kept, with names below the tree."""
+    return cut(df.withColumn("path", F.substring("path", F.lit(len(os.path.realpath(at)) + 2), F.lit(1 << 30))))
 
 
 def scan_tree(spark, d):
     """A scan of TREE: names, sizes, times and content hashes of files and packages."""
     at = _tree(spark)
     files = _below(scan.scan(spark, at), at)
+    shutil.rmtree(at)
     return files.select("path", "is_dir", "size", F.when(~F.col("is_dir"), F.unix_seconds("mtime")).alias("changed"), "hash")
 
 
@@ -328,13 +334,16 @@ def scan_options(spark, d):
     whole = _below(scan.scan(spark, at, patterns=patterns, metadata_only_size=2), at).withColumn("kind", F.lit("whole"))
     named = _below(scan.scan(spark, at, ["d", "I.app", "d", "none"], patterns=patterns, metadata_only_size=2), at).withColumn("kind", F.lit("named"))
     first = _below(scan.scan(spark, at, max_files=3, metadata_only_size=2), at).withColumn("kind", F.lit("first"))
+    shutil.rmtree(at)
     return whole.unionByName(named).unionByName(first).select("kind", "path", "metadata_only", (F.col("hash") == "METADATA_ONLY").alias("unhashed"))
 
 
 def scan_plain(spark, d):
     """Every regular file of TREE, without rules."""
     at = _tree(spark)
-    return _below(scan.walk(spark, at), at)
+    files = _below(scan.walk(spark, at), at)
+    shutil.rmtree(at)
+    return files
 
 
 def parse_size(spark, d):

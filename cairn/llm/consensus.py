@@ -5,8 +5,8 @@ the group's common value and picks the existing value closest to it: the values'
 progressively, heaviest value first; every value votes with its weight in each column; the winning
 tokens make the consensus. survivors() does so for every field, with the trust in a row as its weight.
 
-A value with half of the weight wins every column and needs no alignment. In a group of any other size
-all votes count: its GUIDE heaviest values set up columns one after the other, and all others are
+A value with half of the weight wins every column and needs no alignment, nor do values of one token
+each, of which the heaviest wins. In any other group, whatever its size, all votes count: its GUIDE heaviest values set up columns one after the other, and all others are
 aligned to these in parallel. A token between two columns opens a place of its own there, counted by
 its offset; it stays if it outweighs the values that have none. Votes are summed by the cluster.
 Values equal as strings are aligned once, with their summed weight.
@@ -35,6 +35,7 @@ GAP = -0.4
 CELLS = 1 << 24  #: cells of an alignment kept at once; larger ones are divided, with the same score
 COLUMN = 1 << 30  #: offset of a column's own place, behind the tokens inserted before it
 TOKEN = re.compile(r"[^\W_]+|[\W_]")
+ONE_TOKEN = r"(?s)^([\p{L}\p{N}]*|.)$"  #: a value of one token, or of none
 
 
 def _sound() -> Column:
@@ -86,13 +87,14 @@ def _paths(gain: np.ndarray, skip: np.ndarray, size: np.ndarray) -> list[list[tu
     step = GAP * np.arange(m + 1)
     row = np.tile(step, (many, 1))
     way = np.full((n + 1, many, m + 1), 2, np.int8)  # 0 both, 1 the column alone, 2 the token alone
+    both = np.full((many, m + 1), -np.inf)
     for i in range(n):
         alone = row + skip[i]
-        both = np.full_like(alone, -np.inf)
-        both[:, 1:] = row[:, :-1] + gain[i]
+        np.add(row[:, :-1], gain[i], out=both[:, 1:])
         shifted = np.maximum(alone, both) - step
         reached = np.maximum.accumulate(shifted, axis=1)
-        way[i + 1] = np.where(reached > shifted, 2, np.where(both >= alone, 0, 1))
+        way[i + 1] = both < alone
+        way[i + 1][reached > shifted] = 2
         row = reached + step
     out = []
     for v in range(many):
@@ -133,8 +135,23 @@ class Profile:
         return tuple(known.get(t, len(known)) for t in tokens)
 
     def place(self, values: list[tuple[int, ...]]) -> list[list[tuple[int | None, int | None]]]:
-        """The best global alignment of each value with the columns, many values at a time."""
+        """The best global alignment of each value with the columns, many values at a time.
+
+        Columns at either end that hold one token in all values go to that token: no alignment scores
+        more, since nothing gains more than they do and nothing is dearer to leave out.
+        """
         _, gain, skip = self._table()
+        if len(values) == 1 and gain.size:
+            full = np.where(gain.max(1) == 1, gain.argmax(1), -1).tolist()
+            v, n, m = values[0], len(full), len(values[0])
+            a = next((k for k in range(min(n, m)) if full[k] != v[k]), min(n, m))
+            b = next((k for k in range(min(n, m) - a) if full[n - 1 - k] != v[m - 1 - k]), min(n, m) - a)
+            if a + b:
+                inner = Profile()
+                inner._index = {}, gain[a : n - b], skip[a : n - b]
+                middle = inner.place([v[a : m - b]])[0] if n > a + b or m > a + b else []
+                shifted = [(None if i is None else i + a, None if j is None else j + a) for i, j in middle]
+                return [[(k, k) for k in range(a)] + shifted + [(n - k, m - k) for k in range(b, 0, -1)]]
         out: dict[int, list] = {}
         order = sorted(range(len(values)), key=lambda k: len(values[k]))
         at = 0
@@ -202,22 +219,25 @@ def slots(path: list[tuple[int | None, int | None]]) -> Iterator[tuple[int, int,
             at, inserted = i + 1, 0
 
 
-def consensus(rows: DataFrame, group: str, value: str, row_id: str, weight: Column | str | None = None, guide: int = GUIDE) -> DataFrame:
+def consensus(rows: DataFrame, group: str, value: str, row_id: str, weight: Column | str | None = None, guide: int = GUIDE, repeated: bool = True) -> DataFrame:
     """group, consensus, closest and closest_id: the common value and the existing one nearest to it.
 
-    weight, 1 by default, is a row's vote; null and negative weights count as 0, and a group all of whose
+    repeated: whether a row may come several times, to be counted once with its largest weight. weight, 1 by default, is a row's vote; null and negative weights count as 0, and a group all of whose
     weights are 0 goes to its smallest value. Nearness is the edit distance by characters.
     """
     w = F.lit(1.0) if weight is None else F.greatest(F.coalesce(F.col(weight) if isinstance(weight, str) else weight, F.lit(0.0)).cast("double"), F.lit(0.0))
-    once = rows.where(F.col(group).isNotNull() & F.col(value).isNotNull() & F.col(row_id).isNotNull()).select(F.col(group).alias("g"), F.col(value).alias("v"), F.col(row_id).alias("i"), w.alias("w")).groupBy("g", "v", "i").agg(F.max("w").alias("w"))
+    once = rows.where(F.col(group).isNotNull() & F.col(value).isNotNull() & F.col(row_id).isNotNull()).select(F.col(group).alias("g"), F.col(value).alias("v"), F.col(row_id).alias("i"), w.alias("w"))
+    if repeated:
+        once = once.groupBy("g", "v", "i").agg(F.max("w").alias("w"))
     values = cut(once.groupBy("g", "v").agg(F.sum("w").alias("w"), F.min("i").alias("i")))
     kind = values.schema["g"].dataType.simpleString()
 
-    tops = values.groupBy("g").agg(F.min(F.struct((-F.col("w")).alias("w"), "v", "i")).alias("top"), F.sum("w").alias("total"), F.count(F.lit(1)).alias("n"))
-    decided = F.col("top.w") * -2 >= F.col("total")
+    tops = values.groupBy("g").agg(F.min(F.struct((-F.col("w")).alias("w"), "v", "i")).alias("top"), F.sum("w").alias("total"), F.count(F.lit(1)).alias("n"), F.bool_and(F.col("v").rlike(ONE_TOKEN)).alias("one_token"))
+    decided = (F.col("top.w") * -2 >= F.col("total")) | F.col("one_token")
     settled = tops.where(decided).select(F.col("g").alias(group), F.col("top.v").alias("consensus"), F.col("top.v").alias("closest"), F.col("top.i").alias("closest_id"))
     plan = plan_fragments(values, "g")
-    left = cut(fragment_join(values, tops.where(~decided).select("g", "total", F.col("n").alias("n_values")), "g", ["v"], "inner", plan))
+    undecided = cut(tops.where(~decided).select("g", "total", F.col("n").alias("n_values")))
+    left = cut(fragment_join(values, undecided, "g", ["v"], "inner", plan))
 
     first = F.row_number().over(Window.partitionBy("g").orderBy(F.desc("w"), "v"))  # limited by group before the shuffle
     lists = left.withColumn("rn", first).where(F.col("rn") <= guide).groupBy("g").agg(F.collect_list(F.struct("v", "w")).alias("vs"), F.max("n_values").alias("n"))
@@ -278,19 +298,20 @@ def survivors(files: DataFrame, classifications: DataFrame) -> DataFrame:
     and one more each for a sound mtime, a size and not being marked a duplicate. A classification's
     weight is its confidence, 0 where that is null or outside 0 to 1. Categories are compared in lower case.
     """
-    picked = trusted(files, classifications)
-    rows = files.where("id is not null").withColumn("content_hash", content("hash")).where("content_hash is not null")
-    rows = rows.select("id", "content_hash", "path", "size", _sound().alias("sound"), F.coalesce("is_duplicate", F.lit(False)).alias("dup")).dropDuplicates(["id"])
-    held = cut(fragment_join(rows, picked.select("content_hash"), "content_hash", ["id"], "left_semi"))
+    picked = cut(trusted(files, classifications))
+    key = F.base64(F.unhex(content("hash"))).alias("content")
+    rows = files.where("id is not null").select("id", key, "path", "size", _sound().alias("sound"), F.coalesce("is_duplicate", F.lit(False)).alias("dup"))
+    rows = rows.where("content is not null").repartition("id").dropDuplicates(["id"])
     trust = 1.0 + F.col("sound").cast("double") + F.col("size").isNotNull().cast("double") + (~F.col("dup")).cast("double")
-    classes = classifications.where("id is not null").select(F.col("file_id").alias("id"), F.col("id").alias("class_id"), F.lower(F.trim("category")).alias("category"), "owner", F.col("year").cast("string").alias("year"), "confidence").dropDuplicates(["class_id"])
-    classes = held.select("id", "content_hash").join(classes, "id").withColumn("sure", F.when(F.col("confidence").between(0, 1) & ~F.isnan("confidence"), F.col("confidence")).otherwise(0.0))
-    one = lambda df, field, row, weight: df.select(F.concat(F.lit(field + ":"), "content_hash").alias("key"), F.col(field).cast("string").alias("value"), F.col(row).alias("row"), weight.alias("weight"))
-    votes = one(held, "path", "id", trust).unionByName(one(held, "size", "id", trust))
-    for field in ("category", "owner", "year"):
-        votes = votes.unionByName(one(classes, field, "class_id", F.col("sure")))
-    got = consensus(votes, "key", "value", "row", "weight")
-    got = got.select(F.split("key", ":")[1].alias("content_hash"), F.split("key", ":")[0].alias("field"), "closest", "consensus")
+    sure = F.when(F.col("confidence").between(0, 1) & ~F.isnan("confidence"), F.col("confidence")).otherwise(0.0)
+    classes = classifications.where("id is not null and file_id is not null").select(F.col("file_id").alias("id"), F.col("id").alias("class_id"), F.lower(F.trim("category")).alias("category"), "owner", F.col("year").cast("string").alias("year"), sure.alias("sure"))
+    # laid out by file both are deduplicated and joined where they are
+    classes = classes.repartition("id").dropDuplicates(["id", "class_id"]).join(rows.select("id", "content"), "id")
+    vote = lambda field, weight: F.struct(F.concat(F.lit(field + ":"), "content").alias("key"), F.col(field).cast("string").alias("value"), weight.alias("weight"))
+    each = lambda df, row, *votes: df.select(F.col(row).alias("row"), F.inline(F.array(*votes)))
+    votes = each(rows, "id", vote("path", trust), vote("size", trust)).unionByName(each(classes, "class_id", *(vote(f, F.col("sure")) for f in ("category", "owner", "year"))))
+    got = consensus(votes, "key", "value", "row", "weight", repeated=False)
+    got = got.select(F.lower(F.hex(F.unbase64(F.split("key", ":")[1]))).alias("content_hash"), F.split("key", ":")[0].alias("field"), "closest", "consensus")
     of = lambda field, c="closest": F.max(F.when(F.col("field") == field, F.col(c)))
     fields = got.groupBy("content_hash").agg(of("path").alias("path"), of("path", "consensus").alias("path_consensus"), of("size").cast("long").alias("size"), of("category").alias("category"), of("owner").alias("owner"), of("year").cast("int").alias("year"))
     best = lambda key, *cs: files.select(F.col("id").alias(key), *cs).dropDuplicates([key])

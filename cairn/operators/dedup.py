@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions.paths import file_name, thousands
 from cairn.operators.ranking import numbered
-from cairn.operators.skew import fragment_join
+from cairn.operators.skew import fragment_join, plan_fragments
 from cairn.schemas import METADATA_ONLY
 
 
@@ -27,11 +27,14 @@ def originals(files: DataFrame, seq: str = "id") -> DataFrame:
     return g.select("hash", "n", F.col("f.s").alias("original_seq"), F.col("f.p").alias("original_path"), F.col("f.z").alias("original_size"))
 
 
-def mark_duplicates(files: DataFrame, seq: str = "id") -> DataFrame:
-    """files with is_duplicate and original_path: all rows of a group but the original are duplicates."""
+def mark_duplicates(files: DataFrame, seq: str = "id", loads: DataFrame | None = None) -> DataFrame:
+    """files with is_duplicate and original_path: all rows of a group but the original are duplicates.
+
+    loads: rows whose hashes tell the load of each, where that is cheaper than to ask files itself.
+    """
     several = originals(files, seq).where("n > 1").select("hash", F.col("original_seq").alias("__cairn_seq"), F.col("original_path").alias("__cairn_path"))
     rows = files.drop("is_duplicate", "original_path")
-    met = fragment_join(rows, several, "hash", [seq], "left")
+    met = fragment_join(rows, several, "hash", [seq], "left", plan_fragments(files if loads is None else loads, "hash"))
     dup = F.col("__cairn_path").isNotNull() & ((F.col(seq) != F.col("__cairn_seq")) | (F.col("path") != F.col("__cairn_path")))
     return met.withColumns({"is_duplicate": dup, "original_path": F.when(dup, F.col("__cairn_path"))}).drop("__cairn_seq", "__cairn_path")
 
@@ -59,11 +62,13 @@ def duplicate_totals(files: DataFrame, seq: str = "id") -> DataFrame:
     return out.withColumn("n_unique_rows", F.col("n_files") - F.col("n_duplicates"))
 
 
-def same_names(files: DataFrame, seq: str = "id") -> DataFrame:
+def same_names(files: DataFrame, seq: str = "id", loads: DataFrame | None = None) -> DataFrame:
     """name, n and path of every row whose file name several rows bear. A frequent name is cut like any hot key."""
-    named = files.where("path is not null").select(seq, file_name("path").alias("name"), "path")
+    name = lambda df, *cs: df.where("path is not null").select(file_name("path").alias("name"), *cs)
+    named = name(files, seq, "path")
     counts = named.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return fragment_join(named, counts, "name", [seq]).select("name", "n", "path")
+    plan = plan_fragments(name(files if loads is None else loads), "name")
+    return fragment_join(named, counts, "name", [seq], plan=plan).select("name", "n", "path")
 
 
 def numbered_groups(files: DataFrame, seq: str = "id") -> DataFrame:
@@ -71,7 +76,7 @@ def numbered_groups(files: DataFrame, seq: str = "id") -> DataFrame:
     return numbered(duplicate_groups(files, seq), "hash", name="group_no")
 
 
-def with_originals(files: DataFrame) -> DataFrame:
+def with_originals(files: DataFrame, loads: DataFrame | None = None) -> DataFrame:
     """Each row that names an original, with what the catalog holds under that path: its id, hash and size.
 
     original_id is null where the path is gone. A path that many rows name is cut like any hot key.
@@ -79,7 +84,8 @@ def with_originals(files: DataFrame) -> DataFrame:
     rows = files.where("duplicate_of is not null").select("id", "path", "hash", F.col("duplicate_of").alias("original_path"))
     held = files.where("path is not null").groupBy(F.col("path").alias("original_path")).agg(F.min(F.struct("id", F.col("hash").alias("h"), "size")).alias("o"))
     held = held.select("original_path", F.col("o.id").alias("original_id"), F.col("o.h").alias("original_hash"), F.col("o.size").alias("original_size"))
-    return fragment_join(rows, held, "original_path", ["id"], "left")
+    plan = plan_fragments((files if loads is None else loads).where("duplicate_of is not null"), "duplicate_of")
+    return fragment_join(rows, held, "original_path", ["id"], "left", plan)
 
 
 def _head(t: Row) -> list[str]:

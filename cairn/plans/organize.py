@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from cairn.functions.paths import ancestors, file_name, parent, path_metadata
 from cairn.functions.rules import APPLICATION_ROOTS, WEB_ROOTS
 from cairn.operators.ranking import numbered
-from cairn.operators.skew import fragment_join
 
 
 def _from(path: Column, searched: Column, roots: tuple[str, ...]) -> Column:
@@ -39,11 +38,16 @@ def plan(files: DataFrame, base: str, keep_root: bool = True) -> DataFrame:
 
 
 def mark_collisions(planned: DataFrame, seq: str = "id") -> DataFrame:
-    """planned with status: the first of several files for one destination is `planned`, the rest `collision`."""
-    first = planned.groupBy("destination").agg(F.min(F.struct(F.col(seq).alias("s"), F.col("path").alias("p"))).alias("__cairn_first"))
-    met = fragment_join(planned, first, "destination", [seq, "path"], "left")  # a destination that many files share is cut
-    wins = (F.col("__cairn_first.s") == F.col(seq)) & (F.col("__cairn_first.p") == F.col("path"))
-    return met.withColumn("status", F.when(F.coalesce(wins, F.lit(False)), "planned").otherwise("collision")).drop("__cairn_first")
+    """planned with status: the first of several files for one destination is `planned`, the rest `collision`.
+
+    The first ones come from an aggregate and are met by their own seq and path, so that a destination
+    which many files share gathers nowhere. Rows without seq or path are collisions.
+    """
+    first = planned.groupBy("destination").agg(F.min(F.struct(F.col(seq).alias("s"), F.col("path").alias("p"))).alias("f"))
+    first = first.select(F.col("destination").alias("__cairn_d"), F.col("f.s").alias("__cairn_s"), F.col("f.p").alias("__cairn_p"))
+    same = (F.col(seq) == F.col("__cairn_s")) & (F.col("path") == F.col("__cairn_p")) & (F.col("destination") == F.col("__cairn_d"))
+    met = planned.join(first, same, "left")
+    return met.withColumn("status", F.when(F.col("__cairn_s").isNotNull(), "planned").otherwise("collision")).drop("__cairn_d", "__cairn_s", "__cairn_p")
 
 
 def folder_groups(files: DataFrame, base: str) -> DataFrame:

@@ -55,7 +55,7 @@ def dup_groups(spark, d):
 
 
 def dup_marked(spark, d):
-    return dedup.mark_duplicates(_once(spark, d, *MAIN)).select("id", "path", "hash", "is_duplicate", "original_path")
+    return dedup.mark_duplicates(_once(spark, d, *MAIN), loads=_files(spark, d)).select("id", "path", "hash", "is_duplicate", "original_path")
 
 
 def dup_totals(spark, d):
@@ -63,12 +63,12 @@ def dup_totals(spark, d):
 
 
 def dup_filtered(spark, d):
-    return dedup.filter_duplicates(dedup.mark_duplicates(_once(spark, d, *MAIN))).select("id", "path")
+    return dedup.filter_duplicates(dedup.mark_duplicates(_once(spark, d, *MAIN), loads=_files(spark, d))).select("id", "path")
 
 
 def dup_names(spark, d):
     """Every path of every name that several files bear."""
-    return dedup.same_names(_once(spark, d, "id", "path"))
+    return dedup.same_names(_once(spark, d, "id", "path"), loads=_files(spark, d))
 
 
 def dup_numbered(spark, d):
@@ -80,11 +80,11 @@ def dup_report(spark, d):
 
 
 def dup_originals(spark, d):
-    return dedup.with_originals(_once(spark, d, *MAIN, "duplicate_of"))
+    return dedup.with_originals(_once(spark, d, *MAIN, "duplicate_of"), _files(spark, d))
 
 
 def run_summary(spark, d):
-    return organize.run_summary(dedup.mark_duplicates(_once(spark, d, *MAIN)))
+    return organize.run_summary(dedup.mark_duplicates(_once(spark, d, *MAIN), loads=_files(spark, d)))
 
 
 def plan_folders(spark, d):
@@ -247,7 +247,7 @@ def upsert_files(spark, d):
 
 def mark_dups(spark, d):
     files = _once(spark, d)
-    marks = dedup.mark_duplicates(files).where("is_duplicate").select("path", F.col("original_path").alias("duplicate_of"))
+    marks = dedup.mark_duplicates(files, loads=_files(spark, d)).where("is_duplicate").select("path", F.col("original_path").alias("duplicate_of"))
     return store.mark_duplicates(files, marks).select("id", "is_duplicate", "duplicate_of")
 
 
@@ -285,7 +285,7 @@ def migrated(spark, d):
 
 
 def sidecars(spark, d):
-    kept = classify.classify(dedup.mark_duplicates(_once(spark, d, *MAIN)), to="type").where("path is not null").withColumn("path_metadata", paths.path_metadata("path"))
+    kept = classify.classify(dedup.mark_duplicates(_once(spark, d, *MAIN), loads=_files(spark, d)), to="type").where("path is not null").withColumn("path_metadata", paths.path_metadata("path"))
     return execute.sidecars(organize.plan(kept, BASE))
 
 

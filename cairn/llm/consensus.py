@@ -220,7 +220,7 @@ def slots(path: list[tuple[int | None, int | None]]) -> Iterator[tuple[int, int,
 
 
 def consensus(rows: DataFrame, group: str, value: str, row_id: str, weight: Column | str | None = None, guide: int = GUIDE, repeated: bool = True) -> DataFrame:
-    """group, consensus, closest and closest_id: the common value and the existing one nearest to it.
+    """group, consensus, closest, closest_id and aligned: the common value, the existing one nearest to it, and whether that took an alignment.
 
     repeated: whether a row may come several times, to be counted once with its largest weight. weight, 1 by default, is a row's vote; null and negative weights count as 0, and a group all of whose
     weights are 0 goes to its smallest value. Nearness is the edit distance by characters.
@@ -234,7 +234,7 @@ def consensus(rows: DataFrame, group: str, value: str, row_id: str, weight: Colu
 
     tops = values.groupBy("g").agg(F.min(F.struct((-F.col("w")).alias("w"), "v", "i")).alias("top"), F.sum("w").alias("total"), F.count(F.lit(1)).alias("n"), F.bool_and(F.col("v").rlike(ONE_TOKEN)).alias("one_token"))
     decided = (F.col("top.w") * -2 >= F.col("total")) | F.col("one_token")
-    settled = tops.where(decided).select(F.col("g").alias(group), F.col("top.v").alias("consensus"), F.col("top.v").alias("closest"), F.col("top.i").alias("closest_id"))
+    settled = tops.where(decided).select(F.col("g").alias(group), F.col("top.v").alias("consensus"), F.col("top.v").alias("closest"), F.col("top.i").alias("closest_id"), F.lit(False).alias("aligned"))
     plan = plan_fragments(values, "g")
     undecided = cut(tops.where(~decided).select("g", "total", F.col("n").alias("n_values")))
     left = cut(fragment_join(values, undecided, "g", ["v"], "inner", plan))
@@ -286,14 +286,14 @@ def consensus(rows: DataFrame, group: str, value: str, row_id: str, weight: Colu
 
     near = fragment_join(left.select("g", "v", "i"), common, "g", ["v"], "inner", plan)
     best = near.groupBy("g", "consensus").agg(F.min(F.struct(F.levenshtein("v", "consensus").alias("d"), "i", "v")).alias("b"))
-    return settled.unionByName(best.select(F.col("g").alias(group), "consensus", F.col("b.v").alias("closest"), F.col("b.i").alias("closest_id")))
+    return settled.unionByName(best.select(F.col("g").alias(group), "consensus", F.col("b.v").alias("closest"), F.col("b.i").alias("closest_id"), F.lit(True).alias("aligned")))
 
 
 def survivors(files: DataFrame, classifications: DataFrame) -> DataFrame:
     """One record for each content of several ids, every field by weighted consensus of the group's values.
 
     content_hash; path, size, category, owner and year, each an existing value closest to the consensus
-    of the group's, and path_consensus, which need not exist; mtime and scan_path of the rows that
+    of the group's, and path_consensus, which need not exist, with path_aligned, whether it took an alignment; mtime and scan_path of the rows that
     trusted() picks, mtime having an order and no tokens. A files row's weight is its completeness: one,
     and one more each for a sound mtime, a size and not being marked a duplicate. A classification's
     weight is its confidence, 0 where that is null or outside 0 to 1. Categories are compared in lower case.
@@ -311,9 +311,9 @@ def survivors(files: DataFrame, classifications: DataFrame) -> DataFrame:
     each = lambda df, row, *votes: df.select(F.col(row).alias("row"), F.inline(F.array(*votes)))
     votes = each(rows, "id", vote("path", trust), vote("size", trust)).unionByName(each(classes, "class_id", *(vote(f, F.col("sure")) for f in ("category", "owner", "year"))))
     got = consensus(votes, "key", "value", "row", "weight", repeated=False)
-    got = got.select(F.lower(F.hex(F.unbase64(F.split("key", ":")[1]))).alias("content_hash"), F.split("key", ":")[0].alias("field"), "closest", "consensus")
+    got = got.select(F.lower(F.hex(F.unbase64(F.split("key", ":")[1]))).alias("content_hash"), F.split("key", ":")[0].alias("field"), "closest", "consensus", "aligned")
     of = lambda field, c="closest": F.max(F.when(F.col("field") == field, F.col(c)))
-    fields = got.groupBy("content_hash").agg(of("path").alias("path"), of("path", "consensus").alias("path_consensus"), of("size").cast("long").alias("size"), of("category").alias("category"), of("owner").alias("owner"), of("year").cast("int").alias("year"))
+    fields = got.groupBy("content_hash").agg(of("path").alias("path"), of("path", "consensus").alias("path_consensus"), of("path", "aligned").alias("path_aligned"), of("size").cast("long").alias("size"), of("category").alias("category"), of("owner").alias("owner"), of("year").cast("int").alias("year"))
     best = lambda key, *cs: files.select(F.col("id").alias(key), *cs).dropDuplicates([key])
     out = picked.join(fields, "content_hash", "left").join(best("mtime_id", "mtime"), "mtime_id", "left").join(best("path_id", F.col("path").alias("scan_path")), "path_id", "left")
-    return out.select("content_hash", "mtime", "scan_path", "path", "path_consensus", "size", "category", "owner", "year")
+    return out.select("content_hash", "mtime", "scan_path", "path", "path_consensus", "path_aligned", "size", "category", "owner", "year")

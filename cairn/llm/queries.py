@@ -42,6 +42,14 @@ def p3_trusted(spark, d):
     return out.select("content_hash", "mtime", "path", "category", "confidence")
 
 
+def p3_majority(spark, d):
+    """Of the survivors, the sizes, and the paths that need no alignment: what SQL can compute, too."""
+    got = p3_survivors(spark, d)
+    of = lambda field, c: F.when(c, F.struct(F.lit(field).alias("field"), F.col(field).cast("string").alias("value")))
+    fields = F.array_compact(F.array(of("path", ~F.col("path_aligned")), of("size", F.col("size").isNotNull())))
+    return got.select("content_hash", F.inline(fields))
+
+
 def p4_found(spark, d):
     return lookalike.lookalike_pairs(table(spark, d, "files"))
 
@@ -94,7 +102,7 @@ def p8_checks(spark, d):
 
 SPARK = {
     f.__name__: f
-    for f in (p2_found, p2_last_batch, p3_found, p3_trusted, p3_survivors, p4_found, p4_forms, p6_packed, p6_report, p6_checks, p7_mixture, p7_shares, p7_checks, p8_found, p8_validation, p8_checks)
+    for f in (p2_found, p2_last_batch, p3_found, p3_trusted, p3_survivors, p3_majority, p4_found, p4_forms, p6_packed, p6_report, p6_checks, p7_mixture, p7_shares, p7_checks, p8_found, p8_validation, p8_checks)
 }
 
 
@@ -147,6 +155,12 @@ SQL = {
 SELECT content_hash, f.mtime, g.path, lower(trim(k.category)) AS category, k.confidence FROM picked
 LEFT JOIN (SELECT DISTINCT id, mtime FROM files) f ON f.id = mtime_id LEFT JOIN (SELECT DISTINCT id, path FROM files) g ON g.id = path_id
 LEFT JOIN (SELECT DISTINCT id, category, confidence FROM classifications) k ON k.id = classification_id""",
+    "p3_majority": f"""{_TRUSTED},
+w AS (SELECT c, path, size::VARCHAR AS size, 1.0 + (mtime IS NOT NULL AND year(mtime) <> 1970 AND NOT coalesce(mtime > scanned_at, false))::INT + (size IS NOT NULL)::INT + (NOT coalesce(is_duplicate, false))::INT AS weight
+      FROM (SELECT DISTINCT id, path, mtime, scanned_at, size, is_duplicate, {content_sql()} AS c FROM files WHERE id IS NOT NULL) JOIN g USING (c)),
+v AS (SELECT c, 'path' AS field, path AS value, sum(weight) AS weight FROM w WHERE path IS NOT NULL GROUP BY ALL UNION ALL SELECT c, 'size', size, sum(weight) FROM w WHERE size IS NOT NULL GROUP BY ALL),
+t AS (SELECT *, sum(weight) OVER (PARTITION BY c, field) AS total, row_number() OVER (PARTITION BY c, field ORDER BY weight DESC, value) AS rn FROM v)
+SELECT c AS content_hash, field, value FROM t WHERE rn = 1 AND (field = 'size' OR 2 * weight >= total)""",
     "p4_forms": f"WITH {_FORMS} SELECT id, field, form FROM forms",
     "p4_found": f"""WITH {_FORMS}
 SELECT DISTINCT least(a.id, b.id) AS id_a, greatest(a.id, b.id) AS id_b, a.field FROM forms a JOIN forms b ON a.form = b.form AND b.field = 'path' AND a.id <> b.id AND a.text <> b.text""",

@@ -106,7 +106,8 @@ def _marked(df: DataFrame, key: str, plan: FragmentPlan) -> DataFrame:
 
 
 def _home(key: str, plan: FragmentPlan) -> Column:
-    return F.get(F.lit(list(plan.bucket_task)), F.pmod(F.xxhash64(key), F.lit(len(plan.bucket_task))).cast("int"))
+    tasks = F.split(F.lit(",".join(map(str, plan.bucket_task))), ",").cast("array<int>")  # one literal, folded once
+    return F.get(tasks, F.pmod(F.xxhash64(key), F.lit(len(plan.bucket_task))).cast("int"))
 
 
 def route(df: DataFrame, key: str, identity: list[str], plan: FragmentPlan) -> DataFrame:

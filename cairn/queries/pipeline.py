@@ -234,15 +234,16 @@ NOW = "2025-06-01 00:00:00"
 
 
 def _before_last_date(spark, d, *columns: str):
-    last = _files(spark, d).agg(F.max(F.to_date("scanned_at")).alias("__cairn_last"))  # one row
-    early = _files(spark, d).crossJoin(F.broadcast(last)).where(F.to_date("scanned_at") < F.col("__cairn_last"))
-    return early.select(*columns or _files(spark, d).columns).distinct()
+    last = _files(spark, d).agg(F.max(F.to_date("scanned_at"))).scalar()
+    early = _files(spark, d).where(F.to_date("scanned_at") < last)
+    return early.select(*columns or early.columns).distinct()
 
 
 def upsert_files(spark, d):
     """A scan of every file put into the catalog as it was before the last scan date."""
     new = _files(spark, d).select("path", (F.col("size") + 1).alias("size"), "mtime", "hash", "metadata_only")  # repeated deliveries count once there
-    return store.upsert_files(_before_last_date(spark, d), new, F.lit(NOW).cast("timestamp_ntz")).select("path", "size", "hash", "metadata_only", "is_duplicate", "scanned_at")
+    top = _files(spark, d).agg(F.max("id")).first()[0] or 0  # one row
+    return store.upsert_files(_before_last_date(spark, d), new, F.lit(NOW).cast("timestamp_ntz"), top=top).select("path", "size", "hash", "metadata_only", "is_duplicate", "scanned_at")
 
 
 def mark_dups(spark, d):

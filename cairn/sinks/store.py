@@ -28,6 +28,14 @@ def _top(old: DataFrame, top: int | None) -> int:
     return old.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0] if top is None else top
 
 
+def _numbered(rows: DataFrame, key: str, top: int) -> DataFrame:
+    """rows with the ids that follow top."""
+    from cairn.operators.ranking import running
+
+    one = running(rows.withColumn("__cairn_one", F.lit(1)), ["__cairn_one"], [key], "__cairn_n")
+    return one.withColumn("id", F.col("__cairn_n") + top + 1).drop("__cairn_one", "__cairn_n")
+
+
 def upsert_files(old: DataFrame, new: DataFrame, now, clear_flags: bool = False, top: int | None = None) -> DataFrame:
     """old with the rows of new (path, size, mtime, hash, metadata_only) put in by path.
 
@@ -37,19 +45,16 @@ def upsert_files(old: DataFrame, new: DataFrame, now, clear_flags: bool = False,
     """
     fields = ("size", "mtime", "hash", "metadata_only")
     batch = new.where("path is not null").groupBy("path").agg(F.max(F.struct("mtime", "hash", "size", "metadata_only")).alias("n"))
-    both = old.withColumn("__cairn_old", F.lit(True)).join(batch, "path", "full")
+    when = F.lit(now).cast("timestamp_ntz")
     hit = F.col("n").isNotNull()
-    top = _top(old, top)
     pick = {c: F.when(hit, F.col(f"n.{c}")).otherwise(F.col(c)) for c in fields}
-    pick["metadata_only"] = F.coalesce(pick["metadata_only"], F.lit(False))
-    stale = {c: F.when(hit, F.lit(v)).otherwise(F.col(c)) if clear_flags else F.coalesce(c, F.lit(v)) for c, v in (("is_duplicate", False),)}
-    fresh = F.col("__cairn_old").isNull()
-    out = both.withColumns(pick | stale | {"scanned_at": F.when(hit, F.lit(now).cast("timestamp_ntz")).otherwise(F.col("scanned_at"))})
-    kept = out.where(~fresh).select(*FILES.fieldNames())
-    from cairn.operators.ranking import running
-
-    added = running(out.where(fresh).withColumn("__cairn_one", F.lit(1)), ["__cairn_one"], ["path"], "__cairn_n")
-    return kept.unionByName(added.withColumn("id", F.col("__cairn_n") + top + 1).select(*FILES.fieldNames()))
+    flag = F.when(hit, F.lit(False)).otherwise(F.col("is_duplicate")) if clear_flags else F.coalesce("is_duplicate", F.lit(False))
+    pick |= {"metadata_only": F.coalesce(pick["metadata_only"], F.lit(False)), "is_duplicate": flag, "scanned_at": F.when(hit, when).otherwise(F.col("scanned_at"))}
+    kept = old.join(batch, "path", "left").withColumns(pick).select(*FILES.fieldNames())
+    fresh = _numbered(batch.join(old.select("path"), "path", "left_anti"), "path", _top(old, top))
+    said = {c: F.col(f"n.{c}") for c in fields} | {"is_duplicate": F.lit(False), "duplicate_of": F.lit(None).cast("string"), "scanned_at": when}
+    said["metadata_only"] = F.coalesce(said["metadata_only"], F.lit(False))
+    return kept.unionByName(fresh.withColumns(said).select(*FILES.fieldNames()))
 
 
 def mark_duplicates(files: DataFrame, marks: DataFrame) -> DataFrame:
@@ -86,16 +91,14 @@ def by_file(files: DataFrame, new: DataFrame) -> DataFrame:
 
 def put_classifications(old: DataFrame, batch: DataFrame, now, top: int | None = None) -> DataFrame:
     """old with batch (file_id, n as by_file gives it) put in, one row a file."""
-    both = old.withColumn("__cairn_old", F.lit(True)).join(batch, "file_id", "full")
-    hit, fresh = F.col("n").isNotNull(), F.col("__cairn_old").isNull()
-    top = _top(old, top)
-    take = {c: F.when(hit, F.col(f"n.{c}")).otherwise(F.col(c)) for c in ("category", "confidence")}
-    keep = {c: F.when(hit, F.coalesce(F.col(f"n.{c}"), F.col(c))).otherwise(F.col(c)) for c in ("owner", "year")}
-    out = both.withColumns(take | keep | {"classified_at": F.when(hit, F.lit(now).cast("timestamp_ntz")).otherwise(F.col("classified_at"))})
-    from cairn.operators.ranking import running
-
-    added = running(out.where(fresh).withColumn("__cairn_one", F.lit(1)), ["__cairn_one"], ["file_id"], "__cairn_n").withColumn("id", F.col("__cairn_n") + top + 1)
-    return out.where(~fresh).select(*CLASSIFICATIONS.fieldNames()).unionByName(added.select(*CLASSIFICATIONS.fieldNames()))
+    when = F.lit(now).cast("timestamp_ntz")
+    hit = F.col("n").isNotNull()
+    pick = {c: F.when(hit, F.col(f"n.{c}")).otherwise(F.col(c)) for c in ("category", "confidence")}
+    pick |= {c: F.when(hit, F.coalesce(F.col(f"n.{c}"), F.col(c))).otherwise(F.col(c)) for c in ("owner", "year")}
+    kept = old.join(batch, "file_id", "left").withColumns(pick | {"classified_at": F.when(hit, when).otherwise(F.col("classified_at"))})
+    fresh = _numbered(batch.join(old.select("file_id"), "file_id", "left_anti"), "file_id", _top(old, top))
+    fresh = fresh.withColumns({c: F.col(f"n.{c}") for c in ("category", "owner", "year", "confidence")} | {"classified_at": when})
+    return kept.select(*CLASSIFICATIONS.fieldNames()).unionByName(fresh.select(*CLASSIFICATIONS.fieldNames()))
 
 
 def save_classifications(old: DataFrame, files: DataFrame, new: DataFrame, now) -> DataFrame:

@@ -150,7 +150,7 @@ def verified(pairs: DataFrame, new_sets: DataFrame, old_sets: DataFrame, percent
     a = new_sets.select("c1", "c2", "first", F.col("words").alias("a"))
     b = old_sets.select(F.col("c1").alias("o1"), F.col("first").alias("o_first"), F.col("words").alias("b"))
     if small:
-        met = b.join(F.broadcast(pairs.join(a, "c1")), "o1")  # at most SMALL pairs
+        met = b.join(F.broadcast(pairs), "o1").join(a, "c1")  # at most SMALL pairs of two numbers
     else:
         met = fragment_join(fragment_join(pairs, a, "c1", ["o1"]), b, "o1", ["c1"])
     shared = F.size(F.array_intersect("a", "b"))
@@ -227,8 +227,10 @@ class HistoryIndex:
         hit = keys.agg(*(F.collect_set(self._bucket(key, n)).alias(str(n)) for n in counts)).first()
         out = None
         for s in held:
-            part = self.spark.read.parquet(f"{self.path}/{s['name']}/{name}")
-            part = part.where(F.col("bucket").isin(*hit[str(s["buckets"][name])]) if hit[str(s["buckets"][name])] else F.lit(False)).drop("bucket")
+            part, some = self.spark.read.parquet(f"{self.path}/{s['name']}/{name}"), hit[str(s["buckets"][name])]
+            if len(some) < s["buckets"][name]:
+                part = part.where(F.col("bucket").isin(*some) if some else F.lit(False))
+            part = part.drop("bucket")
             out = part if out is None else out.unionByName(part)
         return out
 

@@ -128,9 +128,11 @@ def replicate(df: DataFrame, key: str, plan: FragmentPlan) -> DataFrame:
     return df.withColumn(TASK, F.explode(to)).drop(SPLIT).repartitionById(plan.tasks, TASK)
 
 
-def fragment_join(left: DataFrame, right: DataFrame, key: str, identity: list[str], how: str = "inner", plan: FragmentPlan | None = None) -> DataFrame:
+def fragment_join(left: DataFrame, right: DataFrame, key: str, identity: list[str], how: str = "inner", plan: FragmentPlan | None = None, keep_task: bool = False) -> DataFrame:
     """Join on key, left routed by load and right copied to the shards of cut keys.
 
+    keep_task: leave the column __cairn_task, by which the result is laid out.
+
     how: inner, left, left_semi or left_anti; each left row is in one task, so all four are exact.
     Columns of right that left has too are left's in the result.
     """
@@ -140,7 +142,8 @@ def fragment_join(left: DataFrame, right: DataFrame, key: str, identity: list[st
     clash = [c for c in right.columns if c != key and c in left.columns]
     a = route(left, key, identity, plan)
     b = replicate(right.drop(*clash), key, plan)
-    return a.join(b.hint("merge"), [TASK, key], how).drop(TASK)
+    met = a.join(b.hint("merge"), [TASK, key], how)
+    return met if keep_task else met.drop(TASK)
 
 
 def key_totals(df: DataFrame, key: str = "hash", row_id: str = "id", size: str = "size", path: str = "path", plan: FragmentPlan | None = None) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.catalog import content
-from cairn.operators.skew import fragment_join, plan_fragments
+from cairn.operators.skew import TASK, fragment_join, plan_fragments
 from cairn.session import cut
 
 GUIDE = 24
@@ -259,10 +259,8 @@ def consensus(rows: DataFrame, group: str, value: str, row_id: str, weight: Colu
         for b in batches:
             out = []
             for (g, total), part in b.groupby(["g", "total"], sort=False):
-                if g not in kept:
-                    if len(kept) > 200:
-                        kept.clear()
-                    kept[g] = Profile(json.loads(part["columns"].iloc[0]), part["weight"].iloc[0])
+                if (columns := part["columns"].dropna()).size:  # the first row of a group, whose rows follow each other
+                    kept = {g: Profile(json.loads(columns.iloc[0]), part["weight"].iloc[0])}
                 tokens = [TOKEN.findall(v) for v in part["v"]]
                 seen = [kept[g].numbered(t) for t in tokens]
                 unlike = list(dict.fromkeys(seen))
@@ -275,7 +273,9 @@ def consensus(rows: DataFrame, group: str, value: str, row_id: str, weight: Colu
                 out += [(g, total, *k, w) for k, w in sums.items()]
             yield pd.DataFrame(out, columns=["g", "total", "c", "o", "t", "w"])
 
-    met = fragment_join(left, large, "g", ["v"], "inner", plan).select("g", "total", "v", "w", "columns", "weight")
+    met = fragment_join(left, large, "g", ["v"], "inner", plan, keep_task=True)
+    head = F.row_number().over(Window.partitionBy(TASK, "g").orderBy("v")) == 1
+    met = met.select("g", "total", "v", "w", F.when(head, F.col("columns")).alias("columns"), "weight")  # columns go to Python once a shard
     votes = met.mapInPandas(vote, f"g {kind}, total double, c int, o int, t string, w double")
     token = votes.groupBy("g", "c", "o", "t").agg(F.sum("w").alias("w"), F.max("total").alias("total"))
     slot = token.groupBy("g", "c", "o").agg(F.min(F.struct((-F.col("w")).alias("w"), "t")).alias("best"), F.sum("w").alias("voted"), F.max("total").alias("total"))

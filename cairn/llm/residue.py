@@ -5,8 +5,8 @@ hashed words, word pairs and letter triples, length and title features. It learn
 response status as the title of a short text, phrases of such pages, slots that make up most of a
 text, and filler by its lack of ordinary words; a text that only mentions such things in running prose
 is a negative. Labels are made for a bounded sample of documents, for training alone: no rule has a say
-in the judgement. Some repositories ("hosts") stay out of training; on them the threshold is tuned.
-Every document is judged.
+in the judgement. Some repositories ("hosts") stay out of training at first; on them it is validated and
+its threshold tuned, before it learns from all. Every document is judged.
 
 Null and empty texts are no cases. Repeated documents are judged alike. A score that equals the
 threshold makes a case.
@@ -30,6 +30,7 @@ TRAIN_DOCS = 10_000  #: documents whose cells are labelled for training, at most
 NEGATIVES = 5_000  #: of the plain negatives among their cells, about so many are kept; of hosts left out four times the part
 BITS = 16
 LENIENT = 1 / 6  #: where in a gap between content and residue the threshold lies
+FEW = 2  #: texts of either kind on unseen hosts without which no threshold is tuned
 LEAST_WORDS = 5  #: shorter blocks of a plain text are judged with the whole only
 
 # Slot forms, status titles, phrases and ordinary words of the weak labels.
@@ -323,9 +324,9 @@ def tune(scores: np.ndarray, labels: np.ndarray) -> float:
 
     Of the intervals of thresholds that are as good it takes the widest, and there a point near the lower
     end: residue of a wording that no label knows scores lower than what was learned, content of unseen
-    hosts as low as any.
+    hosts as low as any. With fewer than FEW texts of a kind it is 0, where both are as likely.
     """
-    if not len(scores) or labels.min() == labels.max():
+    if min((labels == 1).sum(), (labels == 0).sum()) < FEW:
         return 0.0
     order = np.argsort(scores)
     s, y = scores[order], labels[order]
@@ -338,7 +339,10 @@ def tune(scores: np.ndarray, labels: np.ndarray) -> float:
 
 
 def train(documents: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[np.ndarray, dict[str, float]]:
-    """Weights, and how they do on the hosts that were kept out, with the threshold tuned there."""
+    """Weights, and how those learned without the unseen hosts do there, with the threshold tuned there.
+
+    The weights returned are learned once more, from the cells of all hosts.
+    """
     got = labelled(documents, train_docs).toArrow()  # bounded by train_docs
     y = got.column("label").to_numpy().astype(np.int64)
     unseen = np.array(got.column("unseen").to_pylist(), bool)
@@ -351,6 +355,8 @@ def train(documents: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[np.ndarra
     threshold = tune(z, y[unseen])
     p, t = z >= threshold, y[unseen] == 1
     hit = int((p & t).sum())
+    every = [i for i in range(len(xs)) if len(xs[i])]
+    weights = fit([xs[i] for i in every], y[every])
     return weights, {"train": len(keep), "held_out": len(z), "positives": int(t.sum()), "threshold": threshold, "precision": hit / max(1, int(p.sum())), "recall": hit / max(1, int(t.sum()))}
 
 

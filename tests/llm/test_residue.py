@@ -61,7 +61,7 @@ def test_threshold_lies_low_in_the_widest_best_gap():
     z, y = np.array([-3.0, -1.0, 2.0, 5.0]), np.array([0, 0, 1, 1])
     assert residue.tune(z, y) == -1.0 + 3 * residue.LENIENT
     assert residue.tune(np.array([-2.0, -1.0, 0.0, 4.0]), np.array([0, 1, 0, 1])) == 4 * residue.LENIENT
-    assert residue.tune(z[:0], y[:0]) == 0.0 == residue.tune(z, np.zeros(4, int))
+    assert residue.tune(z[:0], y[:0]) == 0.0 == residue.tune(z, np.zeros(4, int)) == residue.tune(z, np.array([0, 0, 0, 1]))
 
 
 # Families of phrases, by the key words of their patterns, each left out of the labels in turn.

@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark import SparkConf
+from pyspark import SparkConf, SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 #: Settings a stand-alone run starts with; a cluster's own session keeps its own.
@@ -27,6 +27,7 @@ def session(name: str = "cairn") -> SparkSession:
     """The session there is, or one as the cluster's own settings say; only what is unset gets a default."""
     if (now := SparkSession.getActiveSession()) is not None:
         return now
+    SparkContext._ensure_initialized()  # before that no setting is seen
     given = SparkConf()  # what spark-submit and the environment set
     build = SparkSession.builder.appName(given.get("spark.app.name", name))
     for k, v in (DEFAULTS | {"spark.master": "local[*]"}).items():
